@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,14 @@ def crc_mod(column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """mapInArrow whose Python workers find this package where the driver does (elsewhere ship it with --py-files)."""
+    env, here = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH")) if x)
+    return df.mapInArrow(fn, schema)
+
+
 def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str, str]], keep: Sequence[str], make: Callable | None = None, rows: int = 512) -> DataFrame:
     """keep columns of df plus fields that fn computes from lists of texts (null: "").
 
@@ -63,7 +73,7 @@ def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str,
                 out = fn(texts, state) if make else fn(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types))], names=names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:

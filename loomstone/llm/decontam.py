@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT
+from .common import TEXT, arrow_map
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000  # words of a shard (a longer document is one shard)
@@ -234,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
                         items.append(sorted(i | set(old_items or ())))
                     yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=names)
 
-        rows = rows.mapInArrow(run, schema)
+        rows = arrow_map(rows, run, schema)
     return rows.select(*keep, *([F.col(TEXT)] if TEXT in keep else []), "n_words", F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
@@ -283,4 +283,4 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             new = pa.array([cut(t, s) if t and s else t for t, s in zip(texts, spans)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 : len(names)]], names=names)
 
-    return found.select(*names, "spans").mapInArrow(run, schema)
+    return arrow_map(found.select(*names, "spans"), run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT, crc_mod, map_text
+from .common import TEXT, arrow_map, crc_mod, map_text
 
 TOP, PROFILE = 300, 400  # n-grams of a text that are ranked; n-grams of a language's profile (also the distance of an absent one)
 PER_LANG = 600  # expected training documents of a language
@@ -91,7 +91,7 @@ def fit_profiles(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_i
         for lang, mine in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(mine.keys(), pa.int64()), pa.array(mine.values(), pa.int64())], names=["lang", "code", "n"])
 
-    summed = part.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    summed = arrow_map(part, count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = summed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect()
     profiles: dict[str, list[int]] = {}

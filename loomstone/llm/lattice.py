@@ -1,8 +1,8 @@
 """LM scoring by subword lattice likelihood.
 
-An existing vocabulary's pieces span a lattice over each word; the word's probability is the sum over all segmentations, by a forward
-recursion in log space. The vocabulary's own scores (ranks) set the first piece weights; one forward-backward pass over the corpus'
-words, weighted by their counts, fits them to it. A text's score is the log10 probability of its words and one end.
+An existing vocabulary's pieces, and the corpus' common words as pieces of their own, span a lattice over each word; the word's
+probability is the sum over all segmentations, by a forward recursion in log space. The vocabulary's own scores (ranks) set the first
+piece weights; forward-backward passes over the corpus' words, weighted by their counts, fit them to it. A text's score is the log10 probability of its words and one end.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT, crc_mod, written
+from .common import TEXT, arrow_map, crc_mod, written
 
 SPACE = "▁"
-FREQUENT = 65_536  # words that occur more often than one in so many tokens: at most as many of them, so they may be broadcast
+FREQUENT = 65_536  # at most so many of the most frequent words are broadcast; no other word has more than one in so many tokens
 FLUSH = 400_000  # distinct words that a task counts before it hands them on
 LN10 = math.log(10)
 
@@ -88,8 +88,9 @@ class Lattice:
                     into[t] = into.get(t, 0.0) + k
 
 
-def vocabulary(path: str) -> dict[str, float]:
-    """Log probability of each piece of a sentencepiece model: its scores fall by one with each rank, so the rank's Zipf weight."""
+def vocabulary(path: str, words: dict[str, int], tokens: int) -> dict[str, float]:
+    """First log probability of each piece: half by the sentencepiece model's own scores (they fall by one with each rank, so the
+    rank's Zipf weight), half for whole words that are common in the corpus, by their share of its tokens."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -98,7 +99,10 @@ def vocabulary(path: str) -> dict[str, float]:
         if not sp.is_control(i) and not sp.is_unknown(i):
             pieces[sp.id_to_piece(i)] = 1 / (2.7 - sp.get_score(i)) if not sp.is_byte(i) else 1e-6
     total = sum(pieces.values())
-    return {t: math.log(v / total) for t, v in pieces.items()}
+    pieces = {t: v / total for t, v in pieces.items()}
+    for w, c in words.items():
+        pieces[SPACE + w] = pieces.get(SPACE + w, 0.0) + c / tokens
+    return {t: math.log(v / 2) for t, v in pieces.items()}
 
 
 def word_counts(docs: DataFrame, train: str) -> DataFrame:
@@ -120,7 +124,19 @@ def word_counts(docs: DataFrame, train: str) -> DataFrame:
                     total = Counter()
         yield put()
 
-    return docs.select(TEXT, train).mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select(TEXT, train), run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def frequent_above(counts: DataFrame, most: int = FREQUENT) -> int:
+    """A count that at most `most` words exceed, from a histogram of about a thousand rows: those words may be broadcast."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    bins = sorted((r["b"], r["n"], r["hi"]) for r in counts.where("c > 0").groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("hi")).collect())
+    total = 0
+    for _, n, hi in reversed(bins):
+        total += n
+        if total > most:
+            return hi
+    return 0
 
 
 def fit_pieces(words: DataFrame, start: dict[str, float], ends: int, smoothing: float = 0.1) -> tuple[dict[str, float], float]:
@@ -135,19 +151,19 @@ def fit_pieces(words: DataFrame, start: dict[str, float], ends: int, smoothing:
                 lattice.expect(w, c, into)
         yield pa.RecordBatch.from_arrays([pa.array(into.keys(), pa.string()), pa.array(into.values(), pa.float64())], names=["piece", "n"])
 
-    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(words.where("c > 0").select("word", "c"), run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     n = {r["piece"]: r["n"] for r in rows if r["piece"] in start}
     total = sum(n.values()) + smoothing * (len(start) + 1) + ends
     return {t: math.log((n.get(t, 0.0) + smoothing) / total) for t in start}, math.log((ends + smoothing) / total)
 
 
-def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
+def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, passes: int = 1) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from rows whose crc32(id as text) mod fold is not held (null ids: not learned from, not held out). Null text: only the end.
-    Repeated rows each count and give a row. base_score is the add-one unigram score of the contract. Words more frequent than one in
-    FREQUENT tokens are at most FREQUENT many and go to all tasks; all others meet their counts in one join by word, in which no word
-    has more than one in FREQUENT of the rows. Without training rows every base term is log10(1) = 0.
+    Repeated rows each count and give a row. base_score is the add-one unigram score of the contract. The most frequent words, at
+    most FREQUENT, go to all tasks; all others meet their counts in one join by word, in which no word has more than about one in
+    FREQUENT of the rows. Without training rows every base term is log10(1) = 0.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT), (F.col(id_col).isNotNull() & (crc_mod(id_col, fold) != held)).alias("train"), (crc_mod(id_col, fold) == held).alias("held_out"))
@@ -155,8 +171,11 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     ends = rows.where("train").count()
     stats = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, distinct = (stats["n"] or 0) + ends, stats["v"] + (1 if ends else 0)
-    prior = vocabulary(model_path)
-    logp, end = fit_pieces(counts, prior, ends)
+    limit = frequent_above(counts)
+    common = {r["word"]: r["c"] for r in counts.where(F.col("c") > limit).select("word", "c").collect()}
+    logp, end = vocabulary(model_path, common, n_all), 0.0
+    for _ in range(passes):
+        logp, end = fit_pieces(counts, logp, ends)
     model = spark.sparkContext.broadcast(logp)
 
     def score_words(batches):
@@ -166,10 +185,9 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([w, pa.array(np.log10(c.to_numpy() + 1.0)), pa.array(c.to_numpy() > 0), pa.array([lattice.word(x) for x in w.to_pylist()], pa.float64())], names=["word", "lc", "known", "lp"])
 
     schema = "word string, lc double, known boolean, lp double"
-    limit = max(1, n_all // FREQUENT)
-    often = {r["word"]: (r["lc"], r["lp"]) for r in counts.where(F.col("c") > limit).select("word", "c").mapInArrow(score_words, schema).collect()}
+    often = {r["word"]: (r["lc"], r["lp"]) for r in arrow_map(counts.where(F.col("c") > limit).select("word", "c"), score_words, schema).collect()}
     frequent = spark.sparkContext.broadcast(often)
-    seldom = counts.where(F.col("c") <= limit).select("word", "c").mapInArrow(score_words, schema)
+    seldom = arrow_map(counts.where(F.col("c") <= limit).select("word", "c"), score_words, schema)
 
     def spread(batches):
         """Per text one row with what its frequent words and its end give, under a key that is no word; per other word a row."""
@@ -212,7 +230,7 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     id_kind = rows.schema["__id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
-    tokens = rows.mapInArrow(spread, f"row bigint, word string, tf bigint, id {id_kind}, held_out boolean, s_lc double, s_lp double, s_known bigint, n_tokens bigint")
+    tokens = arrow_map(rows, spread, f"row bigint, word string, tf bigint, id {id_kind}, held_out boolean, s_lc double, s_lp double, s_known bigint, n_tokens bigint")
     both = tokens.join(seldom, "word", "left")
     each = both.groupBy("row").agg(
         F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import arrow_map, map_text
 
 ROW = 64  # samples in a row of a payload image; payloads are padded to whole rows
 
@@ -176,7 +176,7 @@ def media_features(media: DataFrame, keep: list[str], media_col: str = "media",
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds))], names=names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def media_digests(docs: DataFrame, form: str = "pgm", side: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

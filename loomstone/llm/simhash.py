@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, written
+from .common import arrow_map, map_text, written
 
 SEED, SHINGLE, BITS = 42, 4, 4
 LOW23 = (1 << 23) - 1
@@ -110,7 +110,7 @@ def _probes(fps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
                 out = [(np.repeat(fp, (valid >= 0).sum(1)), key[valid >= 0], side) for key, valid, side in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in out]))], names=["fp", "key", "side"])
 
-    return fps.select("fp").mapInArrow(run, "fp bigint, key bigint, side int")
+    return arrow_map(fps.select("fp"), run, "fp bigint, key bigint, side int")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
