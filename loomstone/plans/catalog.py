@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, search, streams, text
 
-MODULES = (relational,)
+MODULES = (relational, text, search, streams)
 
 
 def queries() -> dict:
