@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .common import crc_mod, labelled_sample, map_text
 
 PER_CLASS, MAX_CHARS = 1500, 20_000  # bounds of the training sample
-MIN_TERM, WINDOW, MEMO = 4, 6, 400_000
+MIN_TERM, STEM, WINDOW, MEMO = 4, 9, 6, 400_000
 EDGE = re.compile(r"^\W+|\W+$")
 QUOTES = "\"“”„‟«»‹›"
 # Words that report speech, and words that address a reader, in the four languages.
@@ -139,23 +139,34 @@ def learn_lexicon(rows: list[tuple[str, int]], purity: float = 0.97, support: fl
     endings: dict[str, set[str]] = {}
     for text, y in rows:
         seen = {c for c in map(core, set(words_of(text))) if len(c) >= MIN_TERM and c.isalpha()}
-        starts = {w[:k] + "*" for w in seen for k in range(MIN_TERM, min(7, len(w)))}
+        starts = {w[:k] + "*" for w in seen for k in range(MIN_TERM, min(STEM, len(w)))}
         counts[y].update(seen)
         counts[y].update(starts)
         if y:
             for w in seen:
-                for k in range(MIN_TERM, min(7, len(w))):
+                for k in range(MIN_TERM, min(STEM, len(w))):
                     endings.setdefault(w[:k], set()).add(w[k : k + 3])
     if not n[0] or not n[1]:
         return [], []
     rate = lambda w: counts[1][w] / n[1] / (counts[1][w] / n[1] + (counts[0][w] + 0.02) / n[0])
-    enough = lambda w: counts[1][w] >= max(4, support * n[1]) and rate(w) >= purity
+    enough = lambda w, least=4: counts[1][w] >= max(least, support * n[1]) and rate(w) >= purity
+    whole: dict[str, int] = {}  # toxic texts of the most frequent word that begins so
+    longer: dict[str, list[str]] = {}
+    for w, k in counts[1].items():
+        if w[-1] != "*":
+            for at in range(MIN_TERM, min(STEM, len(w))):
+                whole[w[:at]] = max(whole.get(w[:at], 0), k)
+        else:
+            longer.setdefault(w[:-2], []).append(w[:-1])
     stems: list[str] = []
-    for w in sorted((w for w in counts[1] if w[-1] == "*" and enough(w)), key=len):
-        if len(endings[w[:-1]]) >= 4 and not any(w.startswith(s) for s in stems):
-            stems.append(w[:-1])
+    for w in sorted((w[:-1] for w in counts[1] if w[-1] == "*" and enough(w, 3)), key=len):
+        if len(endings[w]) < 4 or whole[w] > 0.5 * counts[1][w + "*"] or any(w.startswith(s) for s in stems):
+            continue
+        while more := [x for x in longer.get(w, ()) if counts[1][x + "*"] >= 0.9 * counts[1][w + "*"]]:
+            w = more[0]  # as long as it keeps nearly all of its texts
+        stems.append(w)
     terms = sorted(w for w in counts[1] if w[-1] != "*" and enough(w) and not any(w.startswith(s) for s in stems))
-    return terms, sorted(stems)
+    return terms, sorted(set(stems))
 
 
 class ToxicityModel:
@@ -172,9 +183,18 @@ class ToxicityModel:
             for h in plain or {h for _, h in hits}:  # misspellings are judged by documents without a plain term
                 tally.setdefault(h, [0.0, 0.0])[y] += 1 / max(1, n[y])
         unit = 1 / max(1, n[1])
-        for h, (clean, toxic) in tally.items():
-            prior = 0.95 if h[1] == 0 else 0.75
-            self.weight[h] = (toxic + 2 * unit * prior) / (toxic + clean + 2 * unit)
+        family: dict[tuple[str, int], list[float]] = {}  # what looks like a misspelling is judged with terms that begin alike
+        for (term, e), (clean, toxic) in tally.items():
+            both = family.setdefault((term[:3], e > 0), [0.0, 0.0])
+            both[0] += clean
+            both[1] += toxic
+        for term in [*terms, *(x + "*" for x in stems)]:
+            for e in range(edits_for(term) + 1):
+                clean, toxic = tally.get((term, e), (0.0, 0.0))
+                if e:
+                    more = family.get((term[:3], True), (0.0, 0.0))
+                    clean, toxic = clean + more[0], toxic + more[1]
+                self.weight[term, e] = (toxic + 2 * unit * (0.75 if e else 0.95)) / (toxic + clean + 2 * unit)
 
     def _ready(self):
         self.lexicon = Lexicon(self.terms, self.stems)
