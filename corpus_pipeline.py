@@ -35,7 +35,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     groups = written(simhash.near_duplicates(docs).select("doc_id", "component_id"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # the ids to go grow with the documents: never broadcast
     if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").take(1):
         kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
     return kept.select(*COLUMNS)
