@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 50_000  # rows of one source that are sorted together
+BUCKET_ROWS = 4_096  # rows of one source that are sorted together
 
 
 def word_count(text: str) -> Column:
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     words = F.round("target").cast("long")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", words - F.col("epochs") * F.col("source_size"))
     plan = written(plan.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS)))
-    joined = rows.join(plan, "part").withColumn("bucket", F.floor(F.col("buckets") * (1 - F.exp(-F.col("key")))))
+    joined = rows.join(plan, "part").withColumn("bucket", F.floor(F.col("buckets") * F.col("key") / (1 + F.col("key"))))
     totals = joined.groupBy("part", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
