@@ -13,13 +13,28 @@ def col(x) -> Column:
 
 
 def normalize_url(url) -> Column:
-    """https, lower-case host without www. and default port, no query, fragment or trailing slash; an empty path stays empty."""
+    """https for http, lower-case host without www. and default port, . and .. resolved, escapes decoded and written anew, no query,
+    fragment or trailing slash. A root with a slash ends in the host, one without ends in "/.". On mp.weixin.qq.com the parameters
+    __biz and mid stay: they name the article. Malformed escapes are taken as they are. Null: null."""
     u = F.regexp_replace(F.trim(col(url)), r"^//", "https://")
-    u = F.regexp_replace(F.regexp_replace(u, r"[?#].*$", ""), r"^[hH][tT][tT][pP][sS]?://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/]*)", 1)), r"^www\.|:(80|443)$", "")
-    host = F.regexp_replace(host, r":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(u, r"^[^/]*(.*)$", 1), r"/+", "/")
-    return F.concat(F.lit("https://"), host, F.regexp_replace(path, r"/$", ""))
+    old = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    rest = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    rest = F.regexp_replace(rest, r"[?#].*$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/]*)", 1)), r"^www\.", "")
+    host = F.when(old == "http", F.regexp_replace(host, r":80$", "")).otherwise(F.regexp_replace(host, r":443$", ""))
+    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/]*(.*)$", 1), r"\+", "%2B")
+    path = F.coalesce(F.try_url_decode(path), path)
+    step = lambda kept, p: F.when(p.isin("", "."), kept).when(p == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(p)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    lead = F.when(path.rlike(r"^//([^/]|$)"), "//").otherwise("/")
+    clean = F.when(path == "", "/.").otherwise(F.regexp_replace(F.concat(lead, F.array_join(parts, "/")), r"/+$", ""))
+    quoted = F.url_encode(clean)
+    for spelled, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        quoted = F.replace(quoted, F.lit(spelled), F.lit(plain))
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: p.startswith("__biz=") | p.startswith("mid=")), "&")
+    scheme = F.when(old.isin("http", ""), "https").otherwise(old)
+    return F.concat(scheme, F.lit("://"), host, quoted, F.when((host == "mp.weixin.qq.com") & (kept != ""), F.concat(F.lit("?"), kept)).otherwise(""))
 
 
 def short_hash(x, digits: int = 16) -> Column:
@@ -67,8 +82,10 @@ def decay(age: Column, half_life: float) -> Column:
     return F.when(fine, F.exp(-F.lit(math.log(2) / half_life) * age)).otherwise(1.0)
 
 
-def timeliness(age: Column) -> Column:
-    return F.when(age <= 1, 1.0).when(age <= 7, 0.8).when(age <= 30, 0.6).otherwise(0.4)
+def timeliness(published, happened) -> Column:
+    """1 within 6 hours between the event and its report, then .85 (24), .65 (72), .45 (168), .30; .7 where a time is unknown."""
+    apart = F.abs(F.unix_micros(col(published).cast("timestamp")) - F.unix_micros(col(happened).cast("timestamp"))) / 3.6e9
+    return F.when(apart.isNull(), 0.7).when(apart <= 6, 1.0).when(apart <= 24, 0.85).when(apart <= 72, 0.65).when(apart <= 168, 0.45).otherwise(0.3)
 
 
 def dot(a, b) -> Column:
@@ -108,38 +125,67 @@ def backoff_seconds(attempt) -> Column:
     return (F.lit(60) * F.pow(F.lit(2), col(attempt))).cast("long")
 
 
-# What a secret looks like.
-SECRETS = (r"sk-[A-Za-z0-9]{16,}", r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{20,}", r"(?i)bearer\s+[A-Za-z0-9._-]{16,}", r"(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+# What a secret looks like, and what takes its place.
+SECRETS = (
+    (r"(?i)(postgresql(?:\+[a-z]+)?://[^:]+:)([^@]+)(@.+)", "$1***$3"),
+    (r"(?i)(redis://[^:]+:)([^@]+)(@.+)", "$1***$3"),
+    (r"(?i)(bolt://[^:]+:)([^@]+)(@.+)", "$1***$3"),
+    (r"(?i)([?&]api[_-]?key=)([^&]+)", "$1***"),
+    (r"(?i)(password[\"']?\s*[=:]\s*[\"']?)([^\"'\s,]+)", "$1***"),
+    (r"(?i)(token[\"']?\s*[=:]\s*[\"']?)([^\"'\s,]+)", "$1***"),
+    (r"(?i)(secret[\"']?\s*[=:]\s*[\"']?)([^\"'\s,]+)", "$1***"),
+)
 
 
 def redact(text) -> Column:
     out = col(text)
-    for pattern in SECRETS:
-        out = F.regexp_replace(out, pattern, "[REDACTED]")
+    for pattern, put in SECRETS:
+        out = F.regexp_replace(out, pattern, put)
     return out
 
 
 def status_label(score) -> Column:
-    return F.when(col(score) >= 80, "good").when(col(score) >= 60, "fair").when(col(score) >= 40, "poor").otherwise("bad")
+    return F.when(col(score) >= 80, "healthy").when(col(score) >= 60, "moderate").when(col(score) >= 40, "degraded").otherwise("critical")
+
+
+# Words, ports and shorteners of suspicious addresses, and hosts that must not be called.
+SUSPICIOUS_WORDS = "login signin sign-in verify verification secure security account update confirm password credential auth authenticate banking wallet payment transaction phishing scam fraud suspended locked alert warning urgent limited expire".split()
+SUSPICIOUS_PORTS = (22, 23, 445, 3389, 4444, 5555, 6667)
+SHORTENERS = ("bit.ly", "goo.gl", "tinyurl.com", "t.co", "is.gd", "buff.ly", "ow.ly", "short.link", "dlvr.it", "cutt.ly")
+METADATA_HOSTS = ("metadata.google.internal", "metadata", "169.254.169.254", "100.100.100.200")
+BLOCKED_V4 = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|169\.254\.|127\.|0\.|22[4-9]\.|2[3-5]\d\.)[\d.]+$"
+BLOCKED_V6 = r"^\[(::1|::|fe[89ab][0-9a-f]?:.*|f[cd][0-9a-f]{0,2}:.*)\]$"
+RISKS = ("safe", "low", "medium", "high", "blocked")
+
+
+def _level(*tests) -> Column:
+    """The level of the first test that holds, else 0."""
+    out = None
+    for test, level in tests:
+        out = F.when(test, level) if out is None else out.when(test, level)
+    return out.otherwise(0)
+
+
+def url_checks(url) -> dict[str, Column]:
+    """Level of each check: 0 safe, 1 low, 2 medium, 3 high, 4 blocked. Names are not looked up in the network. Null: blocked scheme."""
+    u = F.coalesce(col(url), F.lit(""))
+    address = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)
+    host = F.regexp_replace(F.lower(address), r":\d*$", "")
+    port = F.coalesce(F.regexp_extract(address, r":(\d+)$", 1).try_cast("int"), F.lit(0))
+    plain = F.coalesce(F.try_url_decode(F.regexp_replace(u, r"\+", "%2B")), u)
+    labels = F.split(host, r"\.")
+    words = sum(F.lower(plain).contains(w).cast("int") for w in SUSPICIOUS_WORDS)
+    odd = sum(t.cast("int") for t in (F.size(labels) > 5, F.exists(labels, lambda p: F.length(p) > 63), F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit(""))) > 5, host.contains("xn--"), labels[0].rlike(r"^\d+$")))
+    return {
+        "address": _level((~F.lower(u).rlike(r"^https?://") | (host == "") | host.isin(*METADATA_HOSTS) | host.rlike(BLOCKED_V4) | host.rlike(BLOCKED_V6), 4)),
+        "encoding": _level((plain.contains("%"), 2), (F.lower(u).rlike(r"%00|%0d|%0a|%2e%2e|%25"), 3)),
+        "words": _level((words >= 3, 3), (words >= 1, 2)),
+        "domain": _level((host.isin(*SHORTENERS), 1), (odd >= 2, 3), (odd == 1, 2)),
+        "port": _level((port.isin(*SUSPICIOUS_PORTS), 3), (port > 49151, 2)),
+        "length": _level((F.length(u) > 2000, 2), (F.length(u) > 1000, 1)),
+    }
 
 
 def url_risk(url) -> Column:
-    """0 safe, 1 low, 2 medium, 3 high: the worst of scheme, address, length, port, host shape and encoding."""
-    host = url_host(url)
-    bare = F.regexp_replace(host, r":\d+$", "")
-    port = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(host, r":(\d+)$", 1), F.lit("")), F.lit("99999")).cast("int"), F.lit(443))
-    risk = lambda test, level: F.when(test, level).otherwise(0)
-    return F.greatest(
-        risk(~col(url).rlike(r"^https?://"), 3),
-        risk(bare.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.)"), 3),
-        risk(bare.rlike(r"^\d+\.\d+\.\d+\.\d+$"), 2),
-        risk(port.isin(21, 22, 23, 25, 3389, 5900, 6379), 3),
-        risk(port > 49151, 2),
-        risk(F.length(col(url)) > 2000, 2),
-        risk(F.length(col(url)) > 1000, 1),
-        risk(F.size(F.split(bare, r"\.")) > 6, 2),
-        risk(bare.rlike(r"(^|\.)xn--"), 2),
-        risk((F.length(bare) - F.length(F.replace(bare, F.lit("-"), F.lit("")))) > 5, 1),
-        risk(col(url).rlike(r"%25[0-9A-Fa-f]{2}"), 2),
-        risk(F.lower(col(url)).rlike(r"(javascript|vbscript|data):|<script|%3cscript"), 3),
-    )
+    """The worst level of all checks (RISKS names the levels)."""
+    return F.greatest(*url_checks(url).values())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, search, streams, text
+from . import knowledge, relational, search, streams, text
 
-MODULES = (relational, text, search, streams)
+MODULES = (relational, text, search, knowledge, streams)
 
 
 def queries() -> dict:

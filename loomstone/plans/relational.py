@@ -30,7 +30,7 @@ R.sql("F9_failure_filter", "SELECT event_id, ts FROM events WHERE event_type = '
 R.sql("F10_needs_review", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal < 0")
 R.sql("F11_stale_pending", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY")
 R.sql("F12_substring_preset", "SELECT page_id, s_suppkey FROM pages JOIN supplier ON url LIKE '%/' || CAST(s_suppkey AS VARCHAR(20)) || '%' WHERE s_suppkey < 20 AND s_acctbal IS NOT NULL")
-R.sql("F13_entity_text_search", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%green%' OR lower(p_type) LIKE '%brass%'")
+R.sql("F13_entity_text_search", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_type) LIKE '%small%'")
 R.sql("F15_names_in_list", "SELECT n_nationkey, n_name FROM nation WHERE n_name IN ('FRANCE', 'GERMANY', 'NATION_3', 'NATION_7')")
 R.sql("F16_community_text_search", "SELECT r_regionkey, r_name FROM region WHERE lower(r_name) LIKE '%a%' ORDER BY r_regionkey")
 R.sql("F20_events_by_range", "SELECT event_id, ts FROM events WHERE ts BETWEEN (SELECT min(ts) FROM events) AND (SELECT min(ts) FROM events) + INTERVAL 24 HOUR ORDER BY ts, event_id LIMIT 500")
@@ -39,7 +39,7 @@ R.sql("F22_tolerant_prune", "SELECT d.doc_id FROM documents d LEFT JOIN labels l
 R.sql("F23_strict_prune", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.toxic = 1)")
 R.sql("F26_transition_check", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN o_totalprice > 0 WHEN 'O' THEN o_totalprice > 1000 ELSE FALSE END AS allowed FROM orders")
 R.sql("J1_vector_article_join", "SELECT vec_id, label, d.source, d.lang FROM embeddings JOIN documents d ON vec_id = d.doc_id")
-R.sql("J4_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+R.sql("J4_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 R.sql("J5_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 R.sql("J8_unassigned_count", "SELECT count(*) AS unassigned FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.08)")
 R.sql("J10_dangling_parent", "SELECT n.n_nationkey FROM nation n LEFT JOIN (SELECT r_regionkey FROM region WHERE r_regionkey <> 2) r ON n.n_regionkey = r.r_regionkey WHERE n.n_regionkey IS NOT NULL AND r.r_regionkey IS NULL")

@@ -66,10 +66,10 @@ def x27(spark, d):
     return e.crossJoin(F.broadcast(newest)).select("event_id", F.round(C.decay(C.age_days("ts", F.col("newest")), 30.0), 9).alias("weight"))  # newest is one row
 
 
-@R.frame("X28_timeliness", "SELECT o_orderkey, CASE WHEN a <= 1 THEN 1.0 WHEN a <= 7 THEN 0.8 WHEN a <= 30 THEN 0.6 ELSE 0.4 END::DOUBLE AS score FROM (SELECT o_orderkey, (epoch_us((SELECT max(o_orderdate) FROM orders)) - epoch_us(o_orderdate)) / 86400000000.0 AS a FROM orders)")
+@R.frame("X28_timeliness", "SELECT o_orderkey, l_linenumber, CASE WHEN a IS NULL THEN 0.7 WHEN a <= 6 THEN 1.0 WHEN a <= 24 THEN 0.85 WHEN a <= 72 THEN 0.65 WHEN a <= 168 THEN 0.45 ELSE 0.3 END::DOUBLE AS score FROM (SELECT o_orderkey, l_linenumber, abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0 AS a FROM orders JOIN lineitem ON l_orderkey = o_orderkey)")
 def x28(spark, d):
-    o = table(spark, d, "orders")
-    return o.crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("newest")))).select("o_orderkey", C.timeliness(C.age_days("o_orderdate", F.col("newest"))).alias("score"))
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select("o_orderkey", "l_linenumber", C.timeliness("l_shipdate", "o_orderdate").alias("score"))
 
 
 @R.frame("X32_cosine", "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
@@ -99,21 +99,46 @@ def x38(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@R.frame("X39_redact")
+def _redacted() -> str:
+    out = "text"
+    for pattern, put in C.SECRETS:
+        quoted, put = pattern.replace("'", "''"), put.replace("$", "\\")
+        out = f"regexp_replace({out}, '{quoted}', '{put}', 'g')"
+    return out
+
+
+@R.frame("X39_redact", f"SELECT doc_id, {_redacted()} AS text FROM documents")
 def x39(spark, d):
     return table(spark, d, "documents").select("doc_id", C.redact("text").alias("text"))
 
 
-@R.frame("X42_status_label", "SELECT s_suppkey, CASE WHEN s_acctbal / 100 >= 80 THEN 'good' WHEN s_acctbal / 100 >= 60 THEN 'fair' WHEN s_acctbal / 100 >= 40 THEN 'poor' ELSE 'bad' END AS status FROM supplier")
+@R.frame("X42_status_label", "SELECT s_suppkey, CASE WHEN s_acctbal / 100 >= 80 THEN 'healthy' WHEN s_acctbal / 100 >= 60 THEN 'moderate' WHEN s_acctbal / 100 >= 40 THEN 'degraded' ELSE 'critical' END AS status FROM supplier")
 def x42(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", C.status_label(F.col("s_acctbal") / 100).alias("status"))
 
 
-@R.frame("V1_url_risk")
+_HOST = "regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)), ':[0-9]*$', '')"
+_PORT = "coalesce(try_cast(regexp_extract(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1), ':([0-9]+)$', 1) AS INTEGER), 0)"
+_WORDS = " + ".join(f"contains(lower(p), '{w}')::INTEGER" for w in C.SUSPICIOUS_WORDS)
+_RISK = f"""WITH u AS (SELECT page_id, u, {_HOST} AS host, {_PORT} AS port, url_decode(replace(u, '+', '%2B')) AS p FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)),
+c AS (SELECT *, string_split(host, '.') AS labels, {_WORDS} AS words FROM u),
+o AS (SELECT *, (len(labels) > 5)::INTEGER + (len(list_filter(labels, lambda x: length(x) > 63)) > 0)::INTEGER + (length(host) - length(replace(host, '-', '')) > 5)::INTEGER + contains(host, 'xn--')::INTEGER + regexp_matches(labels[1], '^[0-9]+$')::INTEGER AS odd FROM c),
+r AS (SELECT page_id, CASE WHEN NOT regexp_matches(lower(u), '^https?://') OR host = '' OR host IN {C.METADATA_HOSTS} OR regexp_matches(host, '{C.BLOCKED_V4}') OR regexp_matches(host, '{C.BLOCKED_V6}') THEN 4 ELSE 0 END AS address,
+ CASE WHEN contains(p, '%') THEN 2 WHEN regexp_matches(lower(u), '%00|%0d|%0a|%2e%2e|%25') THEN 3 ELSE 0 END AS encoding, CASE WHEN words >= 3 THEN 3 WHEN words >= 1 THEN 2 ELSE 0 END AS words,
+ CASE WHEN host IN {C.SHORTENERS} THEN 1 WHEN odd >= 2 THEN 3 WHEN odd = 1 THEN 2 ELSE 0 END AS domain, CASE WHEN port IN {C.SUSPICIOUS_PORTS} THEN 3 WHEN port > 49151 THEN 2 ELSE 0 END AS port,
+ CASE WHEN length(u) > 2000 THEN 2 WHEN length(u) > 1000 THEN 1 ELSE 0 END AS length FROM o)"""
+
+
+@R.frame("V1_url_risk", f"{_RISK} SELECT page_id, greatest(address, encoding, words, domain, port, length) AS risk FROM r")
 def v1(spark, d):
     return table(spark, d, "pages").select("page_id", C.url_risk("url").alias("risk"))
 
 
+@R.frame("V2_url_checks", f"{_RISK} SELECT * FROM r")
+def v2(spark, d):
+    return table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in C.url_checks("url").items()))
+
+
 @R.frame("D1_url_dedup", f"SELECT normal, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_NORM} AS normal FROM pages) GROUP BY normal")
 def d1(spark, d):
     return table(spark, d, "pages").select("page_id", C.normalize_url("url").alias("normal")).groupBy("normal").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
