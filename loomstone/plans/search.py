@@ -14,9 +14,9 @@ QUERIES, SQL = R.QUERIES, R.SQL
 _TOK = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _BM25 = f"""WITH t AS (SELECT doc_id, len({_TOK}) AS n, unnest({_TOK}) AS term FROM documents),
 p AS (SELECT doc_id, term, count(*) AS tf, max(n) AS n FROM t GROUP BY ALL),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK})) AS term FROM benchmark),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT count(*) AS docs, avg(len({_TOK})) AS mean FROM documents), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-b AS (SELECT query_id, doc_id AS id, sum(greatest(0, ln(1 + (docs - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY ALL)"""
+b AS (SELECT query_id, doc_id AS id, sum(greatest(0, ln(1 + (docs - df + 0.5) / (df + 0.5))) * times * tf / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY ALL)"""
 
 
 def _queries(spark, d):

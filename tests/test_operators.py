@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomstone.functions import columns as C
-from loomstone.operators import graph, retrieval
+from loomstone.operators import context, entities, graph, health, memory, retrieval
 from loomstone.sources import tables
 
 
@@ -14,14 +14,27 @@ def one(spark, text, make):
 
 
 def test_normalize_url(spark):
-    for url, want in {"//a.com/x": "https://a.com/x", "http://WWW.A.com:80/x/?q=1#f": "https://a.com/x", "https://a.com:443": "https://a.com", "https://a.com/": "https://a.com"}.items():
-        assert one(spark, url, C.normalize_url) == want
+    for url, want in {
+        "//a.com/x": "https://a.com/x", "http://WWW.A.com:80/x/?q=1#f": "https://a.com/x", "https://a.com:443": "https://a.com/.", "https://a.com/": "https://a.com", "http://a.com:443/": "https://a.com:443",
+        "https://a.com/b/../c/./d//e": "https://a.com/c/d/e", "https://a.com/a%20b%2Bc/%E4%B8%AD+x": "https://a.com/a%20b%2Bc/%E4%B8%AD%2Bx", "https://a.com/100%": "https://a.com/100%25",
+        "https://mp.weixin.qq.com/s?__biz=1&x=2&mid=3": "https://mp.weixin.qq.com/s?__biz=1&mid=3", "ftp://a.com/f": "ftp://a.com/f",
+    }.items():
+        assert one(spark, url, C.normalize_url) == want, url
 
 
 def test_redact_and_risk(spark):
-    assert one(spark, "mail a.b@c.de now", C.redact) == "mail a.b@c.de now"
-    for url, level in {"https://a.com/": 0, "ftp://a.com": 3, "http://127.0.0.1/": 3, "http://8.8.8.8/": 2, "https://a.com:22/": 3, "https://a.com:50000/": 2}.items():
-        assert one(spark, url, C.url_risk) == level
+    for text, want in {"redis://u:pw@h": "redis://u:***@h", "a?api_key=k1&b": "a?api_key=***&b", "password = x1, Token: y": "password = ***, Token: ***", "plain": "plain"}.items():
+        assert one(spark, text, C.redact) == want
+    for url, level in {
+        "https://a.com/": 0, "ftp://a.com": 4, None: 4, "http://127.0.0.1/": 4, "http://172.20.1.1/": 4, "http://[fe80::1]/": 4, "http://metadata/": 4, "http://8.8.8.8/": 2, "https://a.com:22/": 3,
+        "https://a.com:50000/": 2, "https://bit.ly/x": 1, "https://a.com/login": 2, "https://a.com/login-verify-account": 3, "https://1.b.c.d.e.com/": 3, "https://a.com/%00": 3, "https://a.com/" + "x" * 1001: 1,
+    }.items():
+        assert one(spark, url, C.url_risk) == level, url
+
+
+def test_timeliness(spark):
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS a, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, h) AS b FROM VALUES (0), (6), (24), (-72), (168), (169), (NULL) AS t(h)")
+    assert [r[0] for r in df.select(C.timeliness("a", "b")).collect()] == [1.0, 1.0, 0.85, 0.65, 0.45, 0.3, 0.7]
 
 
 def test_decay_guards(spark):
@@ -84,3 +97,86 @@ def test_upsert_and_columns(spark):
     new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "k int, v string, n int")
     assert {(r["k"], r["v"]) for r in tables.upsert(old, new, ["k"], "n").collect()} == {(1, "a"), (2, "d"), (3, "e")}
     assert tables.ensure_columns(old, {"z": "double"}).columns == ["k", "v", "z"]
+
+
+def test_normal_names(spark):
+    for name, want in {"  open　ai  Inc. ": "Open Ai Inc", "Ｇｏｏｇｌｅ": "Google", "「华为」技术": "华为技术", "USA - made": "USA-Made", "acme CORPORATION": "Acme Corp", "": "", None: ""}.items():
+        assert one(spark, name, lambda x: entities.normal_name(x, True)["normalized"]) == want, name
+    got = one(spark, "", lambda x: entities.normal_name(x))
+    assert (got["changes"], got["confidence"]) == (["empty_name"], 0.0)
+    names = spark.createDataFrame([(1, "openai"), (1, "OpenAI"), (1, "人工智能"), (2, None), (3, "b"), (3, "B")], "g int, name string")
+    assert {r["g"]: r["canonical"] for r in entities.best_name(names, "g").collect()} == {1: "人工智能", 2: "", 3: "B"}
+
+
+def test_match_rules(spark):
+    pairs = [("A", "A", None, "exact", 1.0), ("a", "A", None, "case", 0.95), ("Phone (4a)", "Phone", None, "bracket", 0.9), ("谷歌", "Google", None, "alias", 0.95), ("谷歌", "Alphabet", None, "alias", 0.9), ("AI", "人工智能", None, "abbreviation", 0.9),
+             ("Japan", "日本", None, "translation", 0.9), ("王先生", "王", "人物", "person", 0.85), ("某某公司", "某某集团", "组织机构", "organisation", 0.85), ("南京市", "南京", "地点", "place", 0.85), ("x", "y", "地点", None, None), (None, "y", None, None, None)]
+    df = spark.createDataFrame([p[:3] for p in pairs], "a string, b string, k string").select(entities.match_rule("a", "b", "k").alias("m"))
+    assert [(r["m"]["rule"], r["m"]["confidence"]) if r["m"] else (None, None) for r in df.collect()] == [p[3:] for p in pairs]
+
+
+def test_relation_types_and_metrics(spark):
+    for raw, want in {"收购了": "ACQUIRES", "合作的关系中": "PARTNERS_WITH", "supplies": "SUPPLIES", "unheard": None, None: None}.items():
+        assert one(spark, raw, entities.relation_type) == want, raw
+    for raw, want in {"12.73%": True, "97.65亿元": True, "2.42亿股": True, "本土市场游戏收入1642亿元": True, "每10股派发现金红利0.86元(含税)": True, "华为": False, "Windows 11": False, "": False, None: False}.items():
+        assert one(spark, raw, entities.is_metric) == want, raw
+
+
+def test_resolve_and_merge(spark):
+    known = spark.createDataFrame([("Google", "ORG", ["谷歌"], None), ("Acme Corp", "ORG", None, "old")], "name string, kind string, aliases array<string>, description string")
+    names = spark.createDataFrame([("google", "ORG"), ("谷歌", "ORG"), ("Acme  Corp", "ORG"), ("New One", "ORG"), ("Alphabet", "ORG"), (None, "ORG"), ("google", "ORG")], "name string, kind string")
+    near = spark.createDataFrame([("Alphabet", "Acme Corp", 0.99), ("Alphabet", "Google", 0.9)], "name string, known string, similarity double")
+    got = {r["name"]: (r["entity"], r["how"]) for r in entities.resolve(names, known, near).collect()}
+    assert got == {"google": ("Google", "normal"), "谷歌": ("Google", "alias"), "Acme  Corp": ("Acme Corp", "normal"), "New One": (None, None), "Alphabet": ("Google", "alias")}
+    text = spark.createDataFrame([("Google", "ORG", "given"), ("Acme Corp", "ORG", "not taken")], "name string, kind string, description string")
+    rows = {r["name"]: r for r in entities.merge_entities(known, entities.resolve(names, known, near), text).collect()}
+    assert set(rows) == {"Google", "Acme Corp", "New One"} and rows["Google"]["aliases"] == ["谷歌", "Alphabet", "google"] and rows["Google"]["description"] == "given" and rows["Acme Corp"]["description"] == "old"
+    assert entities.resolve(names.limit(0), known).count() == 0
+
+
+def test_walks_against_loops(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(30), rng.randrange(30), rng.choice(["causal", "temporal", "entity", "semantic"])) for _ in range(90)]
+    df = spark.createDataFrame(edges, "src int, dst int, kind string")
+    got = {(r["query"], r["node"]): (round(r["score"], 6), r["depth"]) for r in memory.beam_search(df, spark.createDataFrame([(1, "why", 3), (2, "none", 7)], "query int, intent string, node int"), 4, 3).collect()}
+    want = {}
+    for q, intent, at in ((1, "why", 3), (2, "open", 7)):
+        beam, seen = {at: 0.0}, {at}
+        want[q, at] = (0.0, 0)
+        for k in range(1, 5):
+            level = {}
+            for a, b, kind in edges:
+                if a in beam and b not in seen:
+                    level[b] = max(level.get(b, 0), beam[a] * 0.9 + math.exp(memory.INTENTS[intent][memory.KINDS.index(kind)]))
+            beam = dict(sorted(level.items(), key=lambda x: (-round(x[1], 9), x[0]))[:3])
+            seen |= set(beam)
+            want |= {(q, n): (round(s, 6), k) for n, s in beam.items()}
+    assert got == want
+    typed = df.withColumn("type", F.when(F.col("kind") == "semantic", "PREVENTS").otherwise("CAUSES"))
+    chain = {r["node"]: r["distance"] for r in memory.causal_chain(typed, spark.createDataFrame([(3,)], "event int"), 3).collect()}
+    reach, front = {3: 0}, {3}
+    for k in (1, 2, 3):
+        front = {a for a, b, kind in edges if b in front and kind != "semantic"} - set(reach)
+        reach |= dict.fromkeys(front, k)
+    assert chain == {n: d for n, d in reach.items() if d}
+
+
+def test_pack_context(spark):
+    rows = spark.createDataFrame([(1, 5.0, 1, "a" * 40), (1, 4.0, 2, "b" * 40), (1, 3.0, 3, "c" * 400), (1, 2.0, 4, None), (2, 1.0, 9, "d" * 999)], "query int, score double, node int, text string")
+    got = {r["query"]: (r["used"], r["kept"], r["dropped"]) for r in memory.pack_context(rows, 25).collect()}
+    assert got == {1: (20, [1, 2], [3, 4]), 2: (0, [], [9])}
+
+
+def test_health_of_empty_tables(spark):
+    c = spark.createDataFrame([], "community int, parent int, entity_count long")
+    m = spark.createDataFrame([], "node int, community int")
+    r = spark.createDataFrame([], "community int, stale boolean, updated_at timestamp")
+    found = health.issues(c, m, r, F.current_timestamp())
+    assert found.count() == 0 and health.repair(c, m).count() == 0 and health.drifted(c, m).count() == 0
+    assert health.community_score(c, found).first().asDict() == {"score": 0.0, "status": "critical"}
+
+
+def test_scores(spark):
+    df = spark.createDataFrame([("政治", 0.8, None, 1.0), ("其他", None, 1.0, 0.5)], "k string, s double, c double, t double")
+    assert [r[0] for r in df.select(context.credibility("k", "s", "c", "t")).collect()] == [0.83, 0.7]
+    assert one(spark, "为什么下跌", lambda x: context.route(context.intent(x))) == "local" and one(spark, None, lambda x: context.route(context.intent(x))) == "global"
