@@ -12,10 +12,11 @@ R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
 
 _TOK = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-_BM25 = f"""WITH t AS (SELECT doc_id, len({_TOK}) AS n, unnest({_TOK}) AS term FROM documents),
-p AS (SELECT doc_id, term, count(*) AS tf, max(n) AS n FROM t GROUP BY ALL),
+_POSTINGS = f"""w AS MATERIALIZED (SELECT doc_id, {_TOK} AS words FROM documents), l AS MATERIALIZED (SELECT doc_id, len(words) AS n FROM w),
+c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM w) GROUP BY ALL), p AS (SELECT doc_id, term, tf, n FROM c JOIN l USING (doc_id))"""
+_BM25 = f"""WITH {_POSTINGS},
 q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL),
-s AS (SELECT count(*) AS docs, avg(len({_TOK})) AS mean FROM documents), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT count(*) AS docs, avg(n) AS mean FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 b AS (SELECT query_id, doc_id AS id, sum(greatest(0, ln(1 + (docs - df + 0.5) / (df + 0.5))) * times * tf / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY ALL)"""
 
 
@@ -33,7 +34,7 @@ def bm25_scores(spark, d):
     return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@R.frame("R1_bm25_index", f"SELECT doc_id AS id, term, count(*) AS tf, CAST(max(n) AS BIGINT) AS length FROM (SELECT doc_id, len({_TOK}) AS n, unnest({_TOK}) AS term FROM documents) GROUP BY doc_id, term")
+@R.frame("R1_bm25_index", f"WITH {_POSTINGS} SELECT doc_id AS id, term, tf, CAST(n AS BIGINT) AS length FROM p")
 def bm25_index(spark, d):
     return retrieval.postings(table(spark, d, "documents"), "doc_id", "text")
 
