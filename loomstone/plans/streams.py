@@ -17,7 +17,7 @@ def hourly(spark, d):
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "event_type", "calls", "least", "most")
 
 
-@R.frame("Y11_sliding_stream")
+@R.frame("Y11_sliding_stream", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * back) AS bucket, event_type, count(*) AS calls FROM events, (VALUES (0), (1)) v(back) GROUP BY 1, 2")
 def sliding(spark, d):
     found = windows.run_once(windows.sliding(windows.event_stream(spark, f"{d}/events.parquet")), "complete")
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "event_type", "calls")
