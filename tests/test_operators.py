@@ -180,3 +180,26 @@ def test_scores(spark):
     df = spark.createDataFrame([("政治", 0.8, None, 1.0), ("其他", None, 1.0, 0.5)], "k string, s double, c double, t double")
     assert [r[0] for r in df.select(context.credibility("k", "s", "c", "t")).collect()] == [0.83, 0.7]
     assert one(spark, "为什么下跌", lambda x: context.route(context.intent(x))) == "local" and one(spark, None, lambda x: context.route(context.intent(x))) == "global"
+
+
+def test_r7_fuses_two_lists_for_every_query(spark, tmp_path):
+    from loomstone.plans import catalog
+
+    r = random.Random(7)
+    docs = [(i, " ".join(r.choices(["red", "blue", "green", "grey"], k=r.randint(0, 30))) if i % 11 else None, f"src{i % 23}") for i in range(700)]
+    items = [(i, r.choice(["red blue", "green", "grey grey red", "none"])) for i in range(90)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {i: (t or "").split() for i, t, _ in docs}
+    mean, df = sum(map(len, words.values())) / len(docs), {t: sum(t in w for w in words.values()) for t in ("red", "blue", "green", "grey", "none")}
+    want = {}
+    for q, text in items:
+        score = {i: sum(math.log(1 + (700 - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in text.split()) for i, w in words.items() if set(w) & set(text.split())}
+        longest = sorted((-len(t) if t is not None else math.inf, i) for i, t, s in docs if s == f"src{q % 20}")
+        for best in (sorted(score, key=lambda i: (-round(score[i], 12), i)), [i for _, i in longest]):
+            for rank, i in enumerate(best[:20], 1):
+                want[q, i] = want.get((q, i), 0) + 1 / (60 + rank)
+    got = {(x["query_id"], x["id"]): x["score"] for x in catalog.queries()["R7_rrf"](spark, str(tmp_path)).collect()}
+    assert {k for k in got if k[0] >= 40} and {q for q, _ in got} == {q for q, _ in items}
+    assert all(abs(got.get(k, 0) - v) < 1e-8 for k, v in want.items()) and len(got) == len(want)
