@@ -1,8 +1,9 @@
 """HTML main text by tag-path ratios.
 
 Each text node belongs to a root-to-leaf tag path. Text length and punctuation are summed per path; both ratios (per node of the
-path) are smoothed over neighbouring nodes in page order, fused by their product, and thresholded: paths above the threshold hold
-content. The element under which the content paths' text gathers is the article; its blocks are the result.
+path) are smoothed over neighbouring nodes in page order and fused by their product. Names of furniture (tags, roles, words of classes
+and ids) lower the score of what is under them, links that of lists and cells. Blocks that reach a share of the length-weighted mean
+are content; with them goes what lies between them, before them or in their containers. Only what a browser does not show always goes.
 """
 
 from __future__ import annotations
@@ -23,40 +24,45 @@ RAW = set("script style noscript template svg math iframe object canvas textarea
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio picture".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
-BOILER = set("nav aside footer form menu head button dialog fieldset search".split())
+BOILER = set("nav aside footer form menu button dialog fieldset search".split())
+FIRM = BOILER - {"form", "fieldset"}  # furniture even where it holds most of the page's text
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular comment comments commentlist reply replies respond disqus pagination pager toolbar widget copyright legal disclaimer skip paywall".split()
 )
+LEAST, PROSE = 0.25, 10.0  # of the mean score, to be content; a score that is enough however long other blocks are
+SIGN = (1.0, 0.4, 0.05)  # what scores keep under no sign of furniture, a word in a longer name, and a whole name, role or tag
 
 
 class _Node:
-    __slots__ = ("tag", "up", "path", "boiler", "depth")
+    __slots__ = ("tag", "up", "path", "hidden", "sign", "marked")
 
-    def __init__(self, tag, up, mark="", boiler=False):
-        self.tag, self.up = tag, up
+    def __init__(self, tag, up, mark="", sign=0, hidden=False):
+        self.tag, self.up, self.sign = tag, up, sign
         self.path = (up.path if up else "") + "/" + tag + mark
-        self.boiler = boiler or bool(up and up.boiler)
-        self.depth = up.depth + 1 if up else 0
+        self.hidden = hidden or bool(up and up.hidden)
+        self.marked = self if sign else up.marked if up else None  # the nearest element with a sign
 
 
-def _boiler(tag: str, up: _Node, token: str) -> tuple[str, bool]:
-    """The path's mark of the element (its class), and whether the element is furniture by name, role, class or id."""
-    if tag in BOILER:
-        return "", True
-    mark, bad = "", tag == "header" and not _inside(up, ("article", "main"))
+def _signs(tag: str, up: _Node, token: str) -> tuple[str, int, bool]:
+    """The path's mark of the element (its class), its sign of furniture (an index of SIGN), and whether it is not shown."""
+    mark, hidden = "", tag == "head"
+    sign = 2 if tag in BOILER or tag == "header" and not _inside(up, ("article", "main")) else 0
     if "=" in token or "hidden" in token:
         for name, value in ATTR.findall(token):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "role":
-                bad |= value in ROLES
+                sign = 2 if value in ROLES else sign
             elif name in ("class", "id"):
                 mark += ("." if name == "class" else "#" if len(value) < 24 else "") + (value if name == "class" else "")
-                if tag not in ("html", "body", "article", "main"):
-                    bad |= not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                if tag not in ("html", "body", "article", "main", *HEADING):
+                    for word in value.split():
+                        parts = set(re.split(r"[^a-z0-9]+", word)) - {""}
+                        if parts & WORDS:
+                            sign = max(sign, 2 if parts <= WORDS else 1)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                bad = True
-    return mark, bad
+                hidden = True
+    return ("" if tag in BOILER else mark), sign, hidden
 
 
 def _inside(node: _Node | None, tags) -> bool:
@@ -129,9 +135,9 @@ def blocks(html: str) -> list[tuple[_Node, str, int]]:
                         probe = probe.up
                     if probe.tag == tag and probe.up:
                         node = probe.up
-            mark, bad = _boiler(tag, node, token)
+            mark, sign, hidden = _signs(tag, node, token)
             if not token.endswith("/>") or tag in BLOCK or tag in INLINE:
-                node = _Node(tag, node, mark, bad)
+                node = _Node(tag, node, mark, sign, hidden)
         else:
             probe = node
             while probe.up and probe.tag != tag:
@@ -147,7 +153,7 @@ def blocks(html: str) -> list[tuple[_Node, str, int]]:
 
 
 def tag_path_scores(found: list[tuple[_Node, str, int]]) -> np.ndarray:
-    """Fused, smoothed tag-path ratio of each block."""
+    """Fused tag-path ratio of each block, smoothed where that does not raise it: a neighbour's length is no sign of content."""
     paths: dict[str, list[float]] = {}
     for node, text, _ in found:
         row = paths.setdefault(node.path, [0, 0, 0])
@@ -159,42 +165,70 @@ def tag_path_scores(found: list[tuple[_Node, str, int]]) -> np.ndarray:
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
-    return np.sqrt(smooth(text) * (1 + smooth(marks)))
+    return np.sqrt(np.minimum(smooth(text) * (1 + smooth(marks)), text * (1 + marks)))
+
+
+def _above(node: _Node | None):
+    while node:
+        yield node
+        node = node.up
+
+
+def _marks(node: _Node):
+    """The elements with a sign at or above the node."""
+    at = node.marked
+    while at:
+        yield at
+        at = at.up.marked if at.up else None
+
+
+def _refuted(found: list[tuple[_Node, str, int]]) -> set[_Node]:
+    """Elements whose sign is wrong: a form or wrapper that holds most of the text outside links, and the article if there is one."""
+    named = [_inside(node, ("article", "main")) for node, _, _ in found]
+    held: dict[_Node, int] = {}
+    total, holds = 0, set()
+    for (node, text, link), inside in zip(found, named):
+        total += len(text) - link
+        for at in _marks(node):
+            held[at] = held.get(at, 0) + len(text) - link
+            if inside:
+                holds.add(at)
+    return {at for at, n in held.items() if at.tag not in FIRM and 2 * n >= total > 0 and (at in holds or not any(named))}
 
 
 def main_text(html: str) -> str:
-    """Main text of a page: its blocks joined by one newline; "" if it has none."""
-    found = [x for x in blocks(html)]
-    kept = [x for x in found if not x[0].boiler and not _inside(x[0], ("head",))]
-    kept = [x for x in kept if x[2] < 0.8 * len(x[1]) or x[0].tag in ("p", *HEADING)]
-    if not kept:
+    """Main text of a page: its blocks joined by one newline; "" if it has none.
+
+    Content are the blocks whose score, lowered by signs of furniture and by links, is at least LEAST of the mean or PROSE. With them go blocks
+    between the first and the last of them, headings and siblings directly before one, and all that is in an article, main or
+    parent element (but body) of one; none of these if a sign is above it that is above no content, and lists of links only after content.
+    """
+    found = [x for x in blocks(html) if not x[0].hidden]
+    if not found:
+        return ""
+    wrong = _refuted(found)
+    keeps = np.array([min((SIGN[at.sign] for at in _marks(node) if at not in wrong), default=1.0) for node, _, _ in found])
+    linked = [link >= 0.8 * len(text) and node.tag not in ("p", *HEADING) for node, text, link in found]
+    size = np.array([len(text) for _, text, _ in found]) * keeps * np.where(linked, 0.1, 1.0)
+    scores = tag_path_scores(found)
+    content = scores * keeps * np.where(linked, 0.1, 1.0) >= min(PROSE, LEAST * (scores * size).sum() / size.sum())
+    if not content.any():
         return ""
-    scores = tag_path_scores(kept)
-    content = scores >= 0.5 * scores.std() if len(scores) > 1 else scores >= 0
-    weight: dict[int, float] = {}
-    nodes: dict[int, _Node] = {}
-    total = 0.0
-    for (node, text, _), ok in zip(kept, content):
+    first, last = int(content.argmax()), len(content) - 1 - int(content[::-1].argmax())
+    shown, homes = set(wrong), set()
+    for (node, _, _), ok in zip(found, content):
         if ok:
-            size = len(text)
-            total += size
-            probe = node
-            while probe:
-                weight[id(probe)] = weight.get(id(probe), 0) + size
-                nodes[id(probe)] = probe
-                probe = probe.up
-    named = [k for k, n in nodes.items() if n.tag in ("article", "main") and weight[k] >= 0.5 * total]
-    pool = named or [k for k in nodes if weight[k] >= 0.9 * total and nodes[k].tag not in ("p", "li", *HEADING)] or list(nodes)
-    best = nodes[max(pool, key=lambda k: (nodes[k].depth, weight[k]))]
-    return "\n".join(text for node, text, _ in kept if _under(node, best))
-
-
-def _under(node: _Node | None, top: _Node) -> bool:
-    while node:
-        if node is top:
-            return True
-        node = node.up
-    return False
+            shown.update(_marks(node))
+            homes.update(at for at in _above(node.up) if at.tag in ("article", "main") or at is node.up and at.tag not in ("", "html", "body"))
+    taken = content.copy()
+    for k in reversed(range(len(found))):
+        node = found[k][0]
+        if content[k] or any(at not in shown for at in _marks(node)):
+            continue
+        before = k < last and taken[k + 1] and (node.tag in HEADING or node.up is found[k + 1][0].up)
+        within = first < k < last or any(at in homes for at in _above(node))
+        taken[k] = before or within and (k > first or not linked[k])
+    return "\n".join(text for (_, text, _), ok in zip(found, taken) if ok)
 
 
 def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

@@ -78,6 +78,21 @@ def test_main_text():
     assert html.main_text("") == "" and html.main_text("<p>") == "" and html.main_text("<<< a < b") != None  # noqa: E711
 
 
+def test_main_text_keeps_every_content_block():
+    say = lambda n, word: " ".join(f"Sentence {k} of the {word}, which goes on for a while, has marks." for k in range(n))
+    menu, foot = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<footer>All rights reserved, every one.</footer>"
+    p = lambda n, word: (f"<p>{say(n, word)}</p>", say(n, word))
+    (a, ta), (b, tb), (c, tc) = p(6, "first"), p(5, "second"), p(40, "third")
+    for body, want in {
+        f"<article><h2>One</h2>{a}</article><article><h2>Two</h2>{b}</article>": ["One", ta, "Two", tb],
+        f"<main><article>{a}</article><section><h2>More</h2><p>{tb[:190]}</p></section><section><p>{tb[:200]}</p></section></main>": [ta, "More", tb[:190], tb[:200]],
+        f"<h1>Title</h1><p>{ta[:90]}</p><div class=body>{c}</div>": ["Title", ta[:90], tc],
+        f"<h1>Title</h1><p>{ta[:90]}</p><div class=body>{a}</div>": ["Title", ta[:90], ta],
+        f"<article>{a}<ul><li><a href=x>A source</a></li><li><a href=y>Another one</a></li></ul></article>": [ta, "A source", "Another one"],
+    }.items():
+        assert html.main_text(f"<html><body>{menu}{body}{foot}</body></html>").split("\n") == want, body[:60]
+
+
 def test_mix(spark, docs, odd):
     rows = mixing.mix(docs).collect()
     sizes, taken = Counter(), Counter()
