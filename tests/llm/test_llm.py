@@ -93,6 +93,21 @@ def test_main_text_keeps_every_content_block():
         assert html.main_text(f"<html><body>{menu}{body}{foot}</body></html>").split("\n") == want, body[:60]
 
 
+def test_names_are_only_signs_of_furniture():
+    say = lambda n, word: " ".join(f"Sentence {k} of the {word}, which goes on for a while, has marks." for k in range(n))
+    menu, foot = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<footer>All rights reserved, every one.</footer>"
+    ta, tb = say(6, "first"), say(5, "second")
+    a, b = f"<p>{ta}</p>", f"<p>{tb}</p>"
+    for body, want in {
+        f"<article>{a}<h2 id=legal-status>Status</h2>{b}<section id=social-effects><h2>Effects</h2>{a}</section></article>": [ta, "Status", tb, "Effects", ta],
+        f"<div class=popular-science><h2>Science</h2>{a}</div>": ["Science", ta],
+        f"<form>{a}{b}</form>": [ta, tb],
+        f"<div class=top-box>Buy our fine things now.</div><article>{a}<div class=share-this>Share it</div></article>": [ta],
+    }.items():
+        assert html.main_text(f"<html><body>{menu}{body}{foot}</body></html>").split("\n") == want, body[:60]
+    assert html.main_text(menu + foot) == "" and html.main_text(f"<div hidden>{a}</div>") == ""
+
+
 def test_mix(spark, docs, odd):
     rows = mixing.mix(docs).collect()
     sizes, taken = Counter(), Counter()
