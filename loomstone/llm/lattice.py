@@ -1,8 +1,9 @@
 """LM scoring by subword lattice likelihood.
 
-An existing vocabulary's pieces, and the corpus' common words as pieces of their own, span a lattice over each word; the word's
-probability is the sum over all segmentations, by a forward recursion in log space. The vocabulary's own scores (ranks) set the first
-piece weights; forward-backward passes over the corpus' words, weighted by their counts, fit them to it. A text's score is the log10 probability of its words and one end.
+An existing vocabulary's pieces span a lattice over each word, and each training word has an edge of its own over its whole length; the
+word's probability is the sum over all segmentations, by a forward recursion in log space. The vocabulary's own scores (ranks) set the
+first piece weights, counts those of whole words; forward-backward passes over the corpus' words, weighted by their counts, fit both. Whole
+words' weights are a column beside the counts, so the model grows with the corpus. A text's score is the log10 probability of its words and one end.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import TEXT, arrow_map, crc_mod, written
 
 SPACE = "▁"
 FREQUENT = 65_536  # at most so many of the most frequent words are broadcast; no other word has more than one in so many tokens
+DISCOUNT = 0.75  # of a training word's count goes to its pieces, so that words outside training keep a share
 FLUSH = 400_000  # distinct words that a task counts before it hands them on
 LN10 = math.log(10)
 
@@ -63,17 +65,20 @@ class Lattice:
             a[j] = (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))) if y != -math.inf else x
         return a
 
-    def word(self, w: str) -> float:
-        """Natural log of the probability of a word, over all its segmentations."""
+    def word(self, w: str, own: float = -math.inf) -> float:
+        """Natural log of the probability of a word, over all its segmentations and the edge of its own (own: that edge's log)."""
         s = SPACE + w
-        return self.forward(s, self.edges(s))[-1]
+        return float(np.logaddexp(self.forward(s, self.edges(s))[-1], own))
 
-    def expect(self, w: str, n: float, into: dict[str, float]) -> None:
-        """Adds n times the expected number of each piece in the word's segmentations."""
+    def expect(self, w: str, n: float, into: dict[str, float], own: float = -math.inf, discount: float = 0.0) -> float:
+        """Adds to `into` the expected number of each piece in n occurrences of the word; returns that of its own edge, n less the
+        discount times its posterior: the discount goes to the segmentations."""
         s = SPACE + w
         edges = list(self.edges(s))
         a = self.forward(s, edges)
         z, b = a[-1], [-math.inf] * (len(s) + 1)
+        whole = max(n - discount, 0.0) * math.exp(own - float(np.logaddexp(z, own)))
+        n -= whole
         b[-1] = 0.0
         exp, log1p = math.exp, math.log1p
         for i, j, t, p in reversed(edges):
@@ -86,11 +91,12 @@ class Lattice:
                 for c in s[i].encode("utf-8", "replace"):
                     t = f"<0x{c:02X}>"
                     into[t] = into.get(t, 0.0) + k
+        return whole
 
 
-def vocabulary(path: str, words: dict[str, int], tokens: int) -> dict[str, float]:
-    """First log probability of each piece: half by the sentencepiece model's own scores (they fall by one with each rank, so the
-    rank's Zipf weight), half for whole words that are common in the corpus, by their share of its tokens."""
+def vocabulary(path: str) -> dict[str, float]:
+    """First log probability of each piece, by the sentencepiece model's own scores (they fall by one with each rank, so the rank's
+    Zipf weight); half of the whole, the other half is for whole words by their share of the training tokens."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -99,10 +105,7 @@ def vocabulary(path: str, words: dict[str, int], tokens: int) -> dict[str, float
         if not sp.is_control(i) and not sp.is_unknown(i):
             pieces[sp.id_to_piece(i)] = 1 / (2.7 - sp.get_score(i)) if not sp.is_byte(i) else 1e-6
     total = sum(pieces.values())
-    pieces = {t: v / total for t, v in pieces.items()}
-    for w, c in words.items():
-        pieces[SPACE + w] = pieces.get(SPACE + w, 0.0) + c / tokens
-    return {t: math.log(v / 2) for t, v in pieces.items()}
+    return {t: math.log(v / total / 2) for t, v in pieces.items()}
 
 
 def word_counts(docs: DataFrame, train: str) -> DataFrame:
@@ -139,30 +142,35 @@ def frequent_above(counts: DataFrame, most: int = FREQUENT) -> int:
     return 0
 
 
-def fit_pieces(words: DataFrame, start: dict[str, float], ends: int, smoothing: float = 0.1) -> tuple[dict[str, float], float]:
-    """Piece log probabilities after one pass of expectation over all words with their counts, and the end's. The driver gets one
-    number a piece."""
+def fit_pieces(words: DataFrame, start: dict[str, float], ends: int, smoothing: float = 0.1) -> tuple[dict[str, float], float, DataFrame]:
+    """Piece log probabilities after one pass of expectation over all words (word, c, own), the end's, and the words with the log of
+    their own weights from the same pass (null: not in training). The driver gets one number a piece."""
     shared = words.sparkSession.sparkContext.broadcast(start)
 
     def run(batches):
         lattice, into = Lattice(shared.value), {}
+        row = lambda piece, word, c, n: pa.RecordBatch.from_arrays([pa.array(piece, pa.string()), pa.array(word, pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.float64())], names=["piece", "word", "c", "n"])
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lattice.expect(w, c, into)
-        yield pa.RecordBatch.from_arrays([pa.array(into.keys(), pa.string()), pa.array(into.values(), pa.float64())], names=["piece", "n"])
+            word, count, own = (x.to_pylist() for x in batch.columns)
+            yield row([None] * len(word), word, count, [lattice.expect(w, c, into, o, DISCOUNT) for w, c, o in zip(word, count, own)])
+        yield row(into.keys(), [None] * len(into), [None] * len(into), into.values())
 
-    rows = arrow_map(words.where("c > 0").select("word", "c"), run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    n = {r["piece"]: r["n"] for r in rows if r["piece"] in start}
-    total = sum(n.values()) + smoothing * (len(start) + 1) + ends
-    return {t: math.log((n.get(t, 0.0) + smoothing) / total) for t in start}, math.log((ends + smoothing) / total)
+    found = written(arrow_map(words.where("c > 0").select("word", "c", "own"), run, "piece string, word string, c bigint, n double"))
+    n = {r["piece"]: r["n"] for r in found.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    whole = n.pop(None, 0.0)
+    n = {t: x for t, x in n.items() if t in start}
+    total = sum(n.values()) + whole + smoothing * (len(start) + 1) + ends
+    fitted = found.where("word IS NOT NULL").select("word", "c", F.log(F.greatest(F.col("n") / F.lit(total), F.lit(1e-300))).alias("own"))
+    every = fitted.unionByName(words.where("c = 0").select("word", "c", F.lit(None).cast("double").alias("own")))
+    return {t: math.log((n.get(t, 0.0) + smoothing) / total) for t in start}, math.log((ends + smoothing) / total), every
 
 
 def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, passes: int = 1) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from rows whose crc32(id as text) mod fold is not held (null ids: not learned from, not held out). Null text: only the end.
-    Repeated rows each count and give a row. base_score is the add-one unigram score of the contract. The most frequent words, at
-    most FREQUENT, go to all tasks; all others meet their counts in one join by word, in which no word has more than about one in
+    Repeated rows each count and give a row. base_score is the add-one unigram score of the contract. Every training word is in the
+    model; how words travel does not change a score. The most frequent words, at most FREQUENT, go to all tasks; all others meet their counts in one join by word, in which no word has more than about one in
     FREQUENT of the rows. Without training rows every base term is log10(1) = 0.
     """
     spark = docs.sparkSession
@@ -172,22 +180,23 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     stats = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, distinct = (stats["n"] or 0) + ends, stats["v"] + (1 if ends else 0)
     limit = frequent_above(counts)
-    common = {r["word"]: r["c"] for r in counts.where(F.col("c") > limit).select("word", "c").collect()}
-    logp, end = vocabulary(model_path, common, n_all), 0.0
+    logp, end = vocabulary(model_path), 0.0
+    words = counts.withColumn("own", F.when(F.col("c") > 0, F.log(F.col("c") / F.lit(2.0 * max(n_all, 1)))))
     for _ in range(passes):
-        logp, end = fit_pieces(counts, logp, ends)
+        logp, end, words = fit_pieces(words, logp, ends)
     model = spark.sparkContext.broadcast(logp)
 
     def score_words(batches):
         lattice = Lattice(model.value)
         for batch in batches:
-            w, c = batch.column(0), batch.column(1)
-            yield pa.RecordBatch.from_arrays([w, pa.array(np.log10(c.to_numpy() + 1.0)), pa.array(c.to_numpy() > 0), pa.array([lattice.word(x) for x in w.to_pylist()], pa.float64())], names=["word", "lc", "known", "lp"])
+            w, c, own = batch.columns
+            lp = [lattice.word(x, -math.inf if o is None else o) for x, o in zip(w.to_pylist(), own.to_pylist())]
+            yield pa.RecordBatch.from_arrays([w, pa.array(np.log10(c.to_numpy() + 1.0)), pa.array(c.to_numpy() > 0), pa.array(lp, pa.float64())], names=["word", "lc", "known", "lp"])
 
     schema = "word string, lc double, known boolean, lp double"
-    often = {r["word"]: (r["lc"], r["lp"]) for r in arrow_map(counts.where(F.col("c") > limit).select("word", "c"), score_words, schema).collect()}
+    often = {r["word"]: (r["lc"], r["lp"]) for r in arrow_map(words.where(F.col("c") > limit).select("word", "c", "own"), score_words, schema).collect()}
     frequent = spark.sparkContext.broadcast(often)
-    seldom = arrow_map(counts.where(F.col("c") <= limit).select("word", "c"), score_words, schema)
+    seldom = arrow_map(words.where(F.col("c") <= limit).select("word", "c", "own"), score_words, schema)
 
     def spread(batches):
         """Per text one row with what its frequent words and its end give, under a key that is no word; per other word a row."""

@@ -266,6 +266,21 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(sum(into[t] * len(t) for t in into), 2 * 3)
 
 
+def test_every_training_word_has_its_own_edge(docs, monkeypatch):
+    m = lattice.Lattice({"▁": -1.0, "a": -1.2, "b": -1.5})
+    assert np.isclose(np.exp(m.word("ab", -2.0)), np.exp(-3.7) + np.exp(-2.0)) and np.isclose(m.word("ab"), -3.7)
+    into = {}
+    own = m.expect("ab", 2.0, into, -2.0)
+    assert np.isclose(own, 2 * np.exp(-2.0) / (np.exp(-3.7) + np.exp(-2.0))) and np.isclose(own + into["a"], 2)
+    few = docs.where("doc_id < 60")
+    read = lambda: {r["doc_id"]: r["score"] for r in lattice.lattice_scores(few, PIECES).collect()}
+    whole = read()
+    for above in (3, 10**9):  # the bound of what is broadcast is no part of the model
+        monkeypatch.setattr(lattice, "frequent_above", lambda counts: above)
+        again = read()
+        assert whole.keys() == again.keys() and all(np.isclose(whole[k], again[k], rtol=1e-9) for k in whole)
+
+
 def test_lm_base_score(docs, spark, sf):
     text = {r["doc_id"]: lattice.words_of(r["text"] or "") for r in docs.collect()}
     train = Counter(w for i, ws in text.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*ws, ("end",)])
