@@ -189,15 +189,20 @@ def link_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return components(links).withColumnRenamed("node", "fp")
 
 
+def grouped(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, fp, root (a fingerprint that names the component), component_id. Components that share an id can share component_id."""
+    rows = written(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), ("__id",), "__t"))
+    mine = written(rows.groupBy("fp").agg(F.min("__id").alias("least")))
+    roots = written(mine.join(link_components(mine.select("fp"), bits), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.select("fp", "root").join(named, "root")
+    return rows.join(of, "fp").select(F.col("__id").alias(id_col), "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most `bits` bits).
 
     Null text: as empty, fingerprint 0, linked like any other. Null ids give a row and take part, but are no component's name unless
     it has no other. Equal texts share a fingerprint, so copies never meet as pairs.
     """
-    rows = written(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), ("__id",), "__t"))
-    mine = written(rows.groupBy("fp").agg(F.min("__id").alias("least")))
-    roots = written(mine.join(link_components(mine.select("fp"), bits), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, bits, id_col, text_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

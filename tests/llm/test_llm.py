@@ -349,3 +349,14 @@ def test_pipeline_stages(spark, sf):
         assert 0 < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_dedup_stage_tells_rows_of_one_id_apart(spark, sf):
+    import corpus_pipeline
+
+    say = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    a, b, c, d = map(say, range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, d), (4, d), (5, b), (None, say(9)), (6, say(10))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs, sf).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, say(9)), (6, say(10))], key=str)
