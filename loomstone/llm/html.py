@@ -1,9 +1,10 @@
 """HTML main text by tag-path ratios.
 
-Each text node belongs to a root-to-leaf tag path. Text length and punctuation are summed per path; both ratios (per node of the
-path) are smoothed over neighbouring nodes in page order and fused by their product. Names of furniture (tags, roles, words of classes
-and ids) lower the score of what is under them, links that of lists and cells. Blocks that reach a share of the length-weighted mean
-are content; with them goes what lies between them, before them or in their containers. Only what a browser does not show always goes.
+Each block of text belongs to a root-to-leaf tag path. Text length and punctuation are summed per path; both ratios (per block of the
+path) are smoothed over neighbouring blocks in page order, fused by their product and averaged per path. Paths whose fused score
+reaches a share of the length-weighted mean are content. Names of furniture (tags, roles, words of classes and ids) lower the score of
+what is under them, links that of lists and cells. With the selected blocks go short ones between them or directly before them, and the
+rest of a container whose text is mostly selected. Only what a browser does not show always goes.
 """
 
 from __future__ import annotations
@@ -16,68 +17,110 @@ from pyspark.sql import DataFrame
 
 from .common import map_text
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
+# Quotation marks part a tag only after "="; possessive, so that a broken tag costs one scan.
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg math iframe object canvas textarea title select".split())
+RAW = set("script style noscript iframe textarea title noembed noframes xmp".split())  # ended by their own end tag only
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
+UNSEEN = set("head template svg object canvas select datalist".split())
+IN_HEAD = RAW | set("head meta link base template".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio picture".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var math mi mo mn ms mtext mrow mfrac msup msub msqrt".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
+ITEM = set("li dd dt tr td th option".split())
+LIST = ("ul", "ol", "dl", "table", "tbody", "menu", "select")
 BOILER = set("nav aside footer form menu button dialog fieldset search".split())
 FIRM = BOILER - {"form", "fieldset"}  # furniture even where it holds most of the page's text
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = set(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular comment comments commentlist reply replies respond disqus pagination pager toolbar widget copyright legal disclaimer skip paywall".split()
-)
+WORDS = set("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing comment comments commentlist reply replies respond disqus pagination pager toolbar widget paywall".split())
+WEAK = set("notice alert social related recommended recommendations trending popular copyright legal disclaimer skip".split())  # may as well name what the text is about
 LEAST, PROSE = 0.25, 10.0  # of the mean score, to be content; a score that is enough however long other blocks are
-SIGN = (1.0, 0.4, 0.05)  # what scores keep under no sign of furniture, a word in a longer name, and a whole name, role or tag
+OUTSIDE = 0.5  # of the mean score, to be content beside an article or main element that holds most of the text
+SIGN = (1.0, 0.4, 0.05)  # what scores keep under no sign of furniture, a weak word or one in a longer name, and a whole name, role or tag
+MOST = 0.5  # of a container's text is selected: the rest belongs to it
 
 
 class _Node:
-    __slots__ = ("tag", "up", "path", "hidden", "sign", "marked")
+    """An element: its place in the order of creation, that of its parent, the number of its tag path, and what is known of it."""
 
-    def __init__(self, tag, up, mark="", sign=0, hidden=False):
-        self.tag, self.up, self.sign = tag, up, sign
-        self.path = (up.path if up else "") + "/" + tag + mark
-        self.hidden = hidden or bool(up and up.hidden)
-        self.marked = self if sign else up.marked if up else None  # the nearest element with a sign
+    __slots__ = ("at", "tag", "up", "path", "sign", "hidden", "named", "link", "block")
 
+    def __init__(self, at, tag, up, path, sign, hidden, named, link, block):
+        self.at, self.tag, self.up, self.path, self.sign = at, tag, up, path, sign
+        self.hidden, self.named, self.link = hidden, named, link  # not shown; in an article or main element; in a link
+        self.block = block  # depth of the nearest element that is not inline
 
-def _signs(tag: str, up: _Node, token: str) -> tuple[str, int, bool]:
+
+def _signs(tag: str, named: bool, token: str) -> tuple[str, int, bool]:
     """The path's mark of the element (its class), its sign of furniture (an index of SIGN), and whether it is not shown."""
-    mark, hidden = "", tag == "head"
-    sign = 2 if tag in BOILER or tag == "header" and not _inside(up, ("article", "main")) else 0
+    mark, hidden = "", tag in UNSEEN
+    sign = 2 if tag in BOILER or tag == "header" and not named else 0
     if "=" in token or "hidden" in token:
-        for name, value in ATTR.findall(token):
+        for name, value in ATTR.findall(token, len(tag) + 1):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "role":
                 sign = 2 if value in ROLES else sign
             elif name in ("class", "id"):
-                mark += ("." if name == "class" else "#" if len(value) < 24 else "") + (value if name == "class" else "")
+                mark += f".{value}" if name == "class" else "#" if len(value) < 24 else ""
                 if tag not in ("html", "body", "article", "main", *HEADING):
                     for word in value.split():
                         parts = set(re.split(r"[^a-z0-9]+", word)) - {""}
-                        if parts & WORDS:
+                        if parts & WORDS or parts & WEAK:
                             sign = max(sign, 2 if parts <= WORDS else 1)
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            elif name == "aria-hidden" and value == "true":
+                sign = max(sign, 1)
+            elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
     return ("" if tag in BOILER else mark), sign, hidden
 
 
-def _inside(node: _Node | None, tags) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.up
-    return False
-
-
-def blocks(html: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, links' characters) of each block in page order: character references decoded, white space one space."""
-    root = node = _Node("", None)
-    out, parts, link, raw = [], [], 0, ""
-    owner = root
+class _Tree:
+    """The open elements of a page while it is read. Each step is amortised: what is passed over is closed for good."""
+
+    def __init__(self):
+        self.nodes = [_Node(0, "", -1, 0, 0, False, False, False, 0)]
+        self.stack, self.open, self.paths = [self.nodes[0]], {}, {}
+
+    def push(self, tag: str, token: str) -> None:
+        up = self.stack[-1]
+        mark, sign, hidden = _signs(tag, up.named, token)
+        path = self.paths.setdefault((up.path, tag + mark), len(self.paths) + 1)
+        depth = len(self.stack)
+        node = _Node(len(self.nodes), tag, up.at, path, sign, up.hidden or hidden, up.named or tag in ("article", "main"), up.link or tag == "a", up.block if tag in INLINE else depth)
+        self.nodes.append(node)
+        self.stack.append(node)
+        self.open.setdefault(tag, []).append(depth)
+
+    def deepest(self, *tags: str) -> int:
+        """Depth of the innermost open element of the tags; 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.open[self.stack.pop().tag].pop()
+
+    def start(self, tag: str, token: str) -> None:
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.close(len(self.stack) - 1)
+        if tag in BLOCK and self.stack[self.stack[-1].block].tag == "p":
+            self.close(self.stack[-1].block)  # a block ends an open paragraph, and what is open inside it
+        if tag in ITEM and (at := self.deepest(tag)) > self.deepest(*LIST):
+            self.close(at)
+        self.push(tag, token)
+
+    def end(self, tag: str) -> None:
+        at = self.deepest(tag)
+        if at and not (tag in INLINE and at < self.stack[-1].block):
+            self.close(at)
+
+
+def blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """The elements, and (element, text, links' characters) of each block in page order: character references decoded, white space
+    one space."""
+    tree, out, parts, link = _Tree(), [], [], 0
+    owner = tree.nodes[0]
 
     def flush():
         nonlocal parts, link
@@ -87,147 +130,121 @@ def blocks(html: str) -> list[tuple[_Node, str, int]]:
                 out.append((owner, text, min(link, len(text))))
             parts, link = [], 0
 
-    for token in TOKEN.findall(html):
-        if token[0] != "<" or len(token) == 1 or not (token[1].isalpha() or token[1] in "/!?"):
-            if raw:
-                continue
-            if not parts:
-                owner = node
-                while owner.up and owner.tag in INLINE:
-                    owner = owner.up
-            text = unescape(token) if "&" in token else token
-            parts.append(text)
-            if node.tag == "a" or _inside(node, ("a",)):
-                link += len(text)
+    def say(text):
+        nonlocal owner, link
+        if tree.stack[-1].tag == "head" and not text.isspace():
+            tree.close(len(tree.stack) - 1)
+        node = tree.stack[-1]
+        if not parts:
+            owner = tree.stack[node.block]
+        text = unescape(text) if "&" in text else text
+        parts.append(text)
+        if node.link:
+            link += len(text)
+
+    at, size = 0, len(html)
+    while at < size:
+        start = html.find("<", at)
+        found = TAG.match(html, start) if start >= 0 else None
+        if start < 0 or not found:
+            upto = size if start < 0 else start + 1
+            say(html[at:upto])
+            at = upto
             continue
+        if start > at:
+            say(html[at:start])
+        token, at = found[0], found.end()
         if token[1] in "!?":
             continue
-        m = NAME.match(token)
-        if not m:
-            continue
-        tag = m[1].lower()
-        if raw:
-            if token[1] == "/" and tag == raw:
-                raw = ""
-            continue
-        if token[1] != "/":
-            if tag in RAW:
-                raw = "" if token.endswith("/>") else tag
-                continue
-            if tag == "br":
-                parts.append(" ")
-                continue
-            if tag in VOID:
-                if tag == "hr":
-                    flush()
-                continue
-            if tag not in INLINE:
-                if tag in BLOCK:
-                    flush()
-                    probe = node  # a block ends an open paragraph, and what is open inside it
-                    while probe.up and probe.tag in INLINE:
-                        probe = probe.up
-                    if probe.tag == "p":
-                        node = probe.up
-                if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                    probe = node
-                    while probe.up and probe.tag not in ("ul", "ol", "dl", "table", "tbody", "menu", "select") and probe.tag != tag:
-                        probe = probe.up
-                    if probe.tag == tag and probe.up:
-                        node = probe.up
-            mark, sign, hidden = _signs(tag, node, token)
-            if not token.endswith("/>") or tag in BLOCK or tag in INLINE:
-                node = _Node(tag, node, mark, sign, hidden)
+        tag = NAME.match(token)[1].lower()
+        if token[1] == "/":
+            if tag in BLOCK:
+                flush()
+            tree.end(tag)
+        elif tag in RAW:
+            ends = RAW_END[tag].search(html, at)
+            at = ends.start() if ends else size if tag in ("script", "style") else at
+        elif tag == "br":
+            parts.append(" ")
+        elif tag in VOID:
+            if tag == "hr":
+                flush()
         else:
-            probe = node
-            while probe.up and probe.tag != tag:
-                if tag in INLINE and probe.tag in BLOCK:
-                    break
-                probe = probe.up
-            if tag not in INLINE and tag in BLOCK:
+            if tag in BLOCK:
                 flush()
-            if probe.tag == tag and probe.up:
-                node = probe.up
+            if not token.endswith("/>") or tag in BLOCK or tag in INLINE:
+                tree.start(tag, token)
     flush()
-    return out
-
-
-def tag_path_scores(found: list[tuple[_Node, str, int]]) -> np.ndarray:
-    """Fused tag-path ratio of each block, smoothed where that does not raise it: a neighbour's length is no sign of content."""
-    paths: dict[str, list[float]] = {}
-    for node, text, _ in found:
-        row = paths.setdefault(node.path, [0, 0, 0])
-        row[0] += 1
-        row[1] += len(text)
-        row[2] += sum(map(text.count, ".,;:!?"))
-    text = np.array([paths[n.path][1] / paths[n.path][0] for n, _, _ in found])
-    marks = np.array([paths[n.path][2] / paths[n.path][0] for n, _, _ in found])
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    kernel /= kernel.sum()
-    smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
-    return np.sqrt(np.minimum(smooth(text) * (1 + smooth(marks)), text * (1 + marks)))
+    return tree.nodes, out
 
 
-def _above(node: _Node | None):
-    while node:
-        yield node
-        node = node.up
-
-
-def _marks(node: _Node):
-    """The elements with a sign at or above the node."""
-    at = node.marked
-    while at:
-        yield at
-        at = at.up.marked if at.up else None
+def tag_path_scores(paths: list[int], texts: list[str]) -> np.ndarray:
+    """Fused ratio of each block's path: its text length and its punctuation per block, smoothed where that does not raise them (a
+    neighbour's length is no sign of content), multiplied, and averaged over the blocks of the path."""
+    _, path = np.unique(np.asarray(paths), return_inverse=True)
+    n = np.bincount(path)
+    ratio = lambda of: (np.bincount(path, [of(t) for t in texts]) / n)[path]
+    length, marks = ratio(len), ratio(lambda t: sum(map(t.count, ".,;:!?")))
+    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+    smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel / kernel.sum(), "valid")
+    fused = np.sqrt(np.minimum(smooth(length) * (1 + smooth(marks)), length * (1 + marks)))
+    return (np.bincount(path, fused) / n)[path]
 
 
-def _refuted(found: list[tuple[_Node, str, int]]) -> set[_Node]:
-    """Elements whose sign is wrong: a form or wrapper that holds most of the text outside links, and the article if there is one."""
-    named = [_inside(node, ("article", "main")) for node, _, _ in found]
-    held: dict[_Node, int] = {}
-    total, holds = 0, set()
-    for (node, text, link), inside in zip(found, named):
-        total += len(text) - link
-        for at in _marks(node):
-            held[at] = held.get(at, 0) + len(text) - link
-            if inside:
-                holds.add(at)
-    return {at for at, n in held.items() if at.tag not in FIRM and 2 * n >= total > 0 and (at in holds or not any(named))}
+def _below(nodes: list[_Node], found, values) -> list[float]:
+    """Sum of the blocks' values under each element."""
+    total = [0.0] * len(nodes)
+    for (node, _, _), v in zip(found, values):
+        total[node.at] += v
+    for node in reversed(nodes[1:]):
+        total[node.up] += total[node.at]
+    return total
 
 
 def main_text(html: str) -> str:
     """Main text of a page: its blocks joined by one newline; "" if it has none.
 
-    Content are the blocks whose score, lowered by signs of furniture and by links, is at least LEAST of the mean or PROSE. With them go blocks
-    between the first and the last of them, headings and siblings directly before one, and all that is in an article, main or
-    parent element (but body) of one; none of these if a sign is above it that is above no content, and lists of links only after content.
+    Content are the blocks whose path's score, lowered by signs of furniture and by links, is at least LEAST of the mean or PROSE (OUTSIDE
+    of it beside an article or main element that holds most text). With them go blocks between the first and the last of them,
+    headings and siblings directly before one, and all of an article, main or parent element (but body) whose text is mostly
+    content; none of these if a sign is above it that is above no content, and lists of links only after content. A sign is refuted by
+    most of the page's text (a form or wrapper round all).
     """
-    found = [x for x in blocks(html) if not x[0].hidden]
+    nodes, found = blocks(html)
+    found = [x for x in found if not x[0].hidden]
     if not found:
         return ""
-    wrong = _refuted(found)
-    keeps = np.array([min((SIGN[at.sign] for at in _marks(node) if at not in wrong), default=1.0) for node, _, _ in found])
+    prose = [len(text) - link for _, text, link in found]
+    inside = [node.named for node, _, _ in found]
+    under, named = _below(nodes, found, prose), _below(nodes, found, inside)
+    keep, wrong = [1.0] * len(nodes), [False] * len(nodes)
+    for node in nodes[1:]:
+        wrong[node.at] = bool(node.sign) and node.tag not in FIRM and 2 * under[node.at] >= under[0] > 0 and (named[node.at] > 0 or not named[0])
+        keep[node.at] = min(keep[node.up], 1.0 if wrong[node.at] else SIGN[node.sign])
     linked = [link >= 0.8 * len(text) and node.tag not in ("p", *HEADING) for node, text, link in found]
-    size = np.array([len(text) for _, text, _ in found]) * keeps * np.where(linked, 0.1, 1.0)
-    scores = tag_path_scores(found)
-    content = scores * keeps * np.where(linked, 0.1, 1.0) >= min(PROSE, LEAST * (scores * size).sum() / size.sum())
+    lowered = np.array([keep[node.at] * (0.1 if much else 1.0) for (node, _, _), much in zip(found, linked)])
+    size = lowered * [len(text) for _, text, _ in found]
+    scores = tag_path_scores([node.path for node, _, _ in found], [text for _, text, _ in found])
+    mean = (scores * size).sum() / size.sum()
+    apart = 2 * sum(p for p, x in zip(prose, inside) if x) >= under[0]
+    content = scores * lowered >= np.where(apart & ~np.array(inside), OUTSIDE * mean, min(PROSE, LEAST * mean))
     if not content.any():
         return ""
     first, last = int(content.argmax()), len(content) - 1 - int(content[::-1].argmax())
-    shown, homes = set(wrong), set()
-    for (node, _, _), ok in zip(found, content):
-        if ok:
-            shown.update(_marks(node))
-            homes.update(at for at in _above(node.up) if at.tag in ("article", "main") or at is node.up and at.tag not in ("", "html", "body"))
+    chosen, whole = _below(nodes, found, content * size), _below(nodes, found, size)
+    parents = {nodes[node.at].up for (node, _, _), ok in zip(found, content) if ok}
+    closed, home = [False] * len(nodes), [False] * len(nodes)
+    for node in nodes[1:]:
+        closed[node.at] = closed[node.up] or bool(node.sign) and not wrong[node.at] and not chosen[node.at]
+        frame = node.tag in ("article", "main") or node.at in parents and node.tag not in ("html", "body")
+        home[node.at] = home[node.up] or frame and chosen[node.at] > 0 and chosen[node.at] >= MOST * whole[node.at]
     taken = content.copy()
     for k in reversed(range(len(found))):
         node = found[k][0]
-        if content[k] or any(at not in shown for at in _marks(node)):
+        if content[k] or closed[node.at]:
             continue
-        before = k < last and taken[k + 1] and (node.tag in HEADING or node.up is found[k + 1][0].up)
-        within = first < k < last or any(at in homes for at in _above(node))
-        taken[k] = before or within and (k > first or not linked[k])
+        before = k < last and taken[k + 1] and (node.tag in HEADING or node.up == found[k + 1][0].up)
+        taken[k] = before or (first < k < last or home[node.at]) and (k > first or not linked[k])
     return "\n".join(text for (_, text, _), ok in zip(found, taken) if ok)
 
 
