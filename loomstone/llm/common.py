@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import discard, written  # noqa: F401
+
 TEXT = "__loom_text"
+SLICE_BYTES = 4 << 20  # of texts that a task works on at a time
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
          "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
@@ -22,22 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path under spark.checkpoint.dir; only where that is unset (tests), under a new temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and lost executors cost nothing that was done."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null id counts as remainder -1, so it is in no held-out fold and never learned from."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
@@ -51,11 +37,24 @@ def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, most: int = SLICE_BYTES):
+    """Parts of the batch of at most `rows` rows and, by the text or binary column, about `most` bytes; a longer text is a part of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    at = total = 0
+    for k, n in enumerate(size):
+        if k > at and (k - at >= rows or total + n > most):
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += n
+    if at < len(size):
+        yield batch.slice(at)
+
+
 def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str, str]], keep: Sequence[str], make: Callable | None = None, rows: int = 512) -> DataFrame:
     """keep columns of df plus fields that fn computes from lists of texts (null: "").
 
-    fn(texts[, state]) returns one list or array per field. make() builds the state once per task. Work is done in slices of
-    `rows` rows, so that a task holds little beside the Arrow batch that Spark hands over.
+    fn(texts[, state]) returns one list or array per field. make() builds the state once per task. Work is done in slices of at most
+    `rows` rows and SLICE_BYTES bytes, so that a task holds little beside the Arrow batch that Spark hands over.
     """
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(TEXT))
     schema = T.StructType([source.schema[c] for c in keep])
@@ -67,8 +66,7 @@ def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str,
     def run(batches):
         state = make() if make else None
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, batch.num_columns - 1, rows):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 out = fn(texts, state) if make else fn(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types))], names=names)
