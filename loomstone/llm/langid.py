@@ -16,26 +16,27 @@ TOP, PROFILE = 300, 400  # n-grams of a text that are ranked; n-grams of a langu
 PER_LANG = 600  # expected training documents of a language
 
 
+BLANK = 1  # stands for the end of a word; no letter has this code point
+
+
 @cache
 def _letters() -> np.ndarray:
-    """For each code point: 0 for what is no letter, else a code of 10 bits (its lower bits)."""
-    points = np.arange(0x110000, dtype=np.uint32)
-    alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    code = points & 0x3FF
-    return np.where(alpha, np.where(code == 0, 1, code), 0).astype(np.uint32)
+    """For each code point: itself if it is a letter, else BLANK."""
+    points = np.arange(0x110000, dtype=np.uint64)
+    return np.where(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000), points, np.uint64(BLANK))
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(code, count) of the 1-, 2- and 3-grams of the lower-cased words, a blank on both sides of each word."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    c = _letters()[points]
-    if not c.any():
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    c = np.concatenate([[0], c, [0]]).astype(np.uint32)
-    c = c[(c != 0) | (np.concatenate([[1], c[:-1]]) != 0)]
-    two = (c[:-1] << np.uint32(10)) | c[1:]
-    three = (c[:-2] << np.uint32(20)) | (c[1:-1] << np.uint32(10)) | c[2:]
-    every = np.concatenate([c[c != 0], two | np.uint32(1 << 30), three[c[1:-1] != 0] | np.uint32(2 << 30)])
+    """(code, count) of the 1-, 2- and 3-grams of the lower-cased words, a blank on both sides of each word, in order of codes. A code
+    holds the code points of its letters, 21 bits each, so different n-grams of any script have different codes."""
+    c = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
+    if not len(c) or c.max() == BLANK:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    c = np.concatenate([[np.uint64(BLANK)], c, [np.uint64(BLANK)]])
+    c = c[(c != BLANK) | np.concatenate([[True], c[:-1] != BLANK])]
+    two = (c[:-1] << np.uint64(21)) | c[1:]
+    three = ((two[:-1] << np.uint64(21)) | c[2:])[c[1:-1] != BLANK]
+    every = np.concatenate([c[c != BLANK], two, three])
     every.sort()
     edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     return every[edge], np.diff(np.append(edge, len(every)))
@@ -46,17 +47,17 @@ class RankProfiles:
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
-        codes = np.unique(np.concatenate([np.asarray(profiles[x], np.uint32) for x in self.langs])) if self.langs else np.zeros(0, np.uint32)
+        codes = np.unique(np.concatenate([np.asarray(profiles[x], np.uint64) for x in self.langs])) if self.langs else np.zeros(0, np.uint64)
         self.codes = codes
         self.ranks = np.full((len(codes), len(self.langs)), -1, np.int64)
         for k, lang in enumerate(self.langs):
-            self.ranks[np.searchsorted(codes, np.asarray(profiles[lang], np.uint32)), k] = np.arange(len(profiles[lang]))
+            self.ranks[np.searchsorted(codes, np.asarray(profiles[lang], np.uint64)), k] = np.arange(len(profiles[lang]))
 
     def identify(self, text: str) -> tuple[str, float]:
         code, count = ngrams(text)
         if not len(code) or not self.langs:
             return "und", 0.0
-        order = np.argsort((count.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - code.astype(np.uint64)))[::-1][:TOP]
+        order = np.argsort(-count, kind="stable")[:TOP]  # ties by code
         top = code[order]
         at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
         rank = np.where((self.codes[at] == top)[:, None], self.ranks[at], -1)
@@ -71,7 +72,7 @@ def fit_profiles(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_i
     """Learns from text and non-null language of documents outside the held-out fold (crc32 of the id mod 4 = 2).
 
     About per_lang documents of each language, taken by a hash of the id. Counting is distributed; the driver gets PROFILE n-grams of
-    each language.
+    each language. Repeated rows count each time; without training rows there are no profiles and every text is und.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(TEXT), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (crc_mod("id", 4) != 2))
     counts = rows.groupBy("lang").count().collect()
@@ -101,7 +102,8 @@ def fit_profiles(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_i
 
 
 def identify_language(docs: DataFrame, profiles: RankProfiles, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """keep columns, predicted language and score (0 to 1). Null text or no letter: und, 0. One Arrow pass, no shuffle."""
+    """keep columns, predicted language and score (0 to 1). Null text or no letter: und, 0. A tie goes to the first language
+    by name. Repeated rows each give a row. One Arrow pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def fn(texts):
