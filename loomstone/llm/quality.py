@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 
 from .common import crc_mod, labelled_sample, map_text
 
-PASSAGE = 64  # words
+PASSAGE, LONG = 64, 1000  # words of a passage, characters of a word
+COUNTED = 1 << 18  # bytes of passages whose characters are counted at a time
 PER_CLASS, MAX_CHARS = 1500, 20_000  # bounds of the training sample: texts of each class, characters of a text
 
 
@@ -30,22 +31,48 @@ N_KINDS = 25
 N_FEATURES = N_KINDS + 6
 
 
+WHITE = "\n\t\r\x0b\x0c\x85\u00a0\u2028\u2029\u3000"
+
+
+def _words(text: str) -> list[str]:
+    """The text cut after each white space character but the blank, and at blanks; words beyond LONG characters in parts of so many."""
+    for c in WHITE:
+        if c in text:
+            text = text.replace(c, c + " ")
+    words = text.split(" ")
+    if len(text) > LONG * len(words) or max(map(len, words)) > LONG:
+        words = [w[k : k + LONG] for w in words for k in range(0, max(1, len(w)), LONG)]
+    return words
+
+
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts, and the index of each text's first passage. An empty text is one empty passage."""
-    starts, parts, extra = [], [], []
+    starts, parts, extra, counts = [], [], [], []
+    size = first = 0
+
+    def count():
+        nonlocal size, first
+        n = np.fromiter(map(len, parts[first:]), np.int64, len(parts) - first)
+        kinds = KIND[np.frombuffer(b"".join(parts[first:]), np.uint8)]
+        counts.append(np.sqrt(np.bincount(np.repeat(np.arange(len(n)) * N_KINDS, n) + kinds, minlength=len(n) * N_KINDS).reshape(-1, N_KINDS) / np.maximum(n, 1)[:, None]))
+        parts[first:] = [b""] * len(n)
+        size, first = 0, len(parts)
+
     for text in texts:
         starts.append(len(parts))
-        words = text.split(" ")
+        words = _words(text)
         for at in range(0, len(words), PASSAGE):
             p = words[at : at + PASSAGE]
             n, alone = len(p), len(set(p))
             twice = sum(map(str.__eq__, p, p[1:]))
             parts.append(" ".join(p).encode("utf-8", "replace"))
+            size += len(parts[-1])
             extra.append((alone / n, twice / n, min(2.0, len(parts[-1]) / n / 8), float(n == PASSAGE), sum(map(str.isupper, p)) / n, float(at == 0 and n < 12)))
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    kinds = KIND[np.frombuffer(b"".join(parts), np.uint8)]
-    count = np.bincount(np.repeat(np.arange(len(parts)) * N_KINDS, size) + kinds, minlength=len(parts) * N_KINDS).reshape(-1, N_KINDS)
-    return np.hstack([np.sqrt(count / np.maximum(size, 1)[:, None]), np.asarray(extra, np.float64).reshape(-1, 6)]), np.asarray(starts, np.int64)
+            if size > COUNTED:
+                count()
+    if len(parts) > first or not counts:
+        count()
+    return np.hstack([np.concatenate(counts), np.asarray(extra, np.float64).reshape(-1, 6)]), np.asarray(starts, np.int64)
 
 
 def _sigmoid(x):
@@ -73,13 +100,15 @@ class AttentionMIL:
         z = np.add.reduceat(alpha[:, None] * h, starts)
         return x, h, t, g, alpha, bag, z, _sigmoid(z @ p["c"] + p["c0"])
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, and the attention of each text's most attended passage."""
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, the attention of each text's most attended passage, and that passage's number (the first of equal ones)."""
         if not texts:
-            return np.zeros(0), np.zeros(0)
+            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
         x, starts = encode(texts)
-        *_, alpha, _, _, y = self.forward(x, starts)
-        return y, np.maximum.reduceat(alpha, starts)
+        *_, alpha, bag, _, y = self.forward(x, starts)
+        most = np.maximum.reduceat(alpha, starts)
+        at = np.where(alpha == most[bag], np.arange(len(alpha)), len(alpha))
+        return y, most, np.minimum.reduceat(at, starts) - starts
 
     def gradients(self, x, starts, y):
         p = self.p
@@ -123,7 +152,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     return AttentionMIL().fit(labelled_sample(docs, labels, "quality", crc_mod("id", 3) != 1, per_class, max_chars))
 
 
-def score_quality(docs: DataFrame, model: AttentionMIL, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score: str = "score", attention: str = "attention") -> DataFrame:
-    """keep columns, score and the largest attention weight of a passage. Null text: as empty. One Arrow pass, no shuffle."""
+def score_quality(docs: DataFrame, model: AttentionMIL, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score: str = "score", attention: str = "attention", passage: str = "passage") -> DataFrame:
+    """keep columns, score, the largest attention weight of a passage and that passage's number.
+
+    Null text: as empty, which is one empty passage. Repeated rows each give a row. Names of the new columns must not be among the kept
+    ones. One Arrow pass, no shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_text(docs, text_col, lambda texts: list(shared.value.score(texts)), [(score, "double"), (attention, "double")], list(keep), rows=128)
+    return map_text(docs, text_col, lambda texts: list(shared.value.score(texts)), [(score, "double"), (attention, "double"), (passage, "bigint")], list(keep), rows=128)
