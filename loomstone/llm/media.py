@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_map, map_text
+from .common import arrow_map, map_text, slices
 
 ROW = 64  # samples in a row of a payload image; payloads are padded to whole rows
 
@@ -59,9 +59,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = end
     w, h = found[:2]
     top = found[2] if need == 3 else 1
-    if not 0 < top < 65536:
-        raise ValueError("bad Netpbm maximum")
     depth = 3 if kind in (3, 6) else 1
+    if not 0 < top < 65536 or not 0 < w * h * depth <= 8 * len(data):
+        raise ValueError("bad Netpbm size or maximum")
     if kind == 4:
         line = (w + 7) // 8
         out = 1 - np.unpackbits(np.frombuffer(data, np.uint8, h * line, at + 1).reshape(h, line), axis=1)[:, :w]
@@ -70,8 +70,10 @@ def _netpbm(data: bytes) -> np.ndarray:
         out = np.frombuffer(data, np.dtype(">u2") if top > 255 else np.uint8, h * w * depth, at + 1)
     else:
         body = b"\n".join(x.split(b"#")[0] for x in data[at:].split(b"\n"))
-        out = np.array([255 * (c == 48) for c in body if c in b"01"] if kind == 1 else body.split(), np.int64)[: h * w * depth]
-    if kind not in (1, 4) and top != 255:
+        out = np.array([255 * (c == 48) for c in body if c in b"01"] if kind == 1 else [int(x) for x in body.split()[: h * w * depth]])[: h * w * depth]
+    if kind not in (1, 4) and top != 255 or kind == 3 or kind == 2:
+        if out.min() < 0 or out.max() > top:
+            raise ValueError("a sample is above the maximum")
         out = (out.astype(np.int64) * 255 + top // 2) // top
     out = np.asarray(out).astype(np.uint8, copy=False)
     return out.reshape((h, w, 3) if depth == 3 else (h, w))
@@ -83,8 +85,13 @@ def _bmp(data: bytes) -> np.ndarray:
     if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w <= 0 or h == 0:
         raise ValueError("this kind of BMP is not supported")
     line = (w * bits + 31) // 32 * 4
+    if abs(h) * line > len(data):
+        raise ValueError("the BMP is cut")
     rows = np.frombuffer(data, np.uint8, abs(h) * line, at).reshape(abs(h), line)
     rows = rows[::-1] if h > 0 else rows
+    if packed == 3:
+        if bits != 32 or [n(54 + 4 * k) & 0xFFFFFFFF for k in range(3)] != [0xFF0000, 0xFF00, 0xFF]:
+            raise ValueError("only the usual bit fields are supported")
     if bits >= 24:
         return rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1]
     index = rows if bits == 8 else np.unpackbits(rows, axis=1) if bits == 1 else np.stack([rows >> 4, rows & 15], 2).reshape(abs(h), -1)
@@ -94,13 +101,14 @@ def _bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """uint8 array (h, w) or (h, w, 3) of a P1-P6 or BMP file; None for anything that is not a whole image."""
+    """uint8 array (h, w) or (h, w, 3) of a P1-P6 or BMP file; None for anything that is not a whole image: cut or empty ones, samples
+    above the maximum, BMP with other bit fields than blue, green, red, unused."""
     try:
         if data and data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
             return _netpbm(data)
         if data and data[:2] == b"BM":
             return _bmp(data)
-    except (ValueError, IndexError):
+    except (ValueError, IndexError, OverflowError):
         pass
     return None
 
@@ -169,8 +177,7 @@ def media_features(media: DataFrame, keep: list[str], media_col: str = "media",
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, batch.num_columns - 1, 128):
                 images = [decode(x) for x in part.column(part.num_columns - 1).to_pylist()]
                 got = [(None,) * 5 if x is None else (x.shape[1], x.shape[0], x.tobytes(), npy_tile(x, side), difference_hash(x)) for x in images]
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string())
@@ -180,9 +187,9 @@ def media_features(media: DataFrame, keep: list[str], media_col: str = "media",
 
 
 def media_digests(docs: DataFrame, form: str = "pgm", side: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tile (NPY).
 
-    Stores each text as an image file, decodes that file again and describes what was read: feature is the difference hash, the
+    Null text: empty, one row of zeros. Repeated rows and null ids each give a row. Stores each text as an image file, decodes that file again and describes what was read: feature is the difference hash, the
     size of the image and the CRC of its NPY tile. One pass, no shuffle; at most 128 images at a time are in a task.
     """
 
@@ -193,9 +200,10 @@ def media_digests(docs: DataFrame, form: str = "pgm", side: int = 16, id_col: st
             stored = WRITERS[form](image)
             read = decode(stored)
             back = read.tobytes()
-            feature = f"{difference_hash(read)}-{read.shape[1]}x{read.shape[0]}-{zlib.crc32(npy_tile(read, side)):08x}"
-            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-        return [list(x) for x in zip(*out)] if out else [[]] * 7
+            tile = npy_tile(read, side)
+            feature = f"{difference_hash(read)}-{read.shape[1]}x{read.shape[0]}-{zlib.crc32(tile):08x}"
+            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, tile))
+        return [list(x) for x in zip(*out)]
 
-    fields = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
+    fields = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("tile", "binary")]
     return map_text(docs, text_col, fn, fields, [id_col], rows=128)
