@@ -1,9 +1,11 @@
 """LM scoring by subword lattice likelihood.
 
-An existing vocabulary's pieces span a lattice over each word, and each training word has an edge of its own over its whole length; the
-word's probability is the sum over all segmentations, by a forward recursion in log space. The vocabulary's own scores (ranks) set the
-first piece weights, counts those of whole words; forward-backward passes over the corpus' words, weighted by their counts, fit both. Whole
-words' weights are a column beside the counts, so the model grows with the corpus. A text's score is the log10 probability of its words and one end.
+The pieces of an existing unigram vocabulary span a lattice over each word; its scores, normalised once, weight all segmentations, and a
+forward recursion in log space returns the word's marginal probability (the product over its words and one end is `lattice_score`). That
+marginal is the base measure of the corpus' model: of a training word's count DISCOUNT is given up, and what all words give up is shared
+out by the lattice, so every text has a probability, known words by their counts and any word by its segmentations. The document's
+marginal probability under this model is `score`. Counts of all training words are kept, so the model grows with the corpus; nothing
+in it depends on how words travel.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT, arrow_map, crc_mod, written
+from .common import TEXT, arrow_map, crc_mod, slices, written
 
 SPACE = "▁"
 FREQUENT = 65_536  # at most so many of the most frequent words are broadcast; no other word has more than one in so many tokens
-DISCOUNT = 0.75  # of a training word's count goes to its pieces, so that words outside training keep a share
+DISCOUNT = 0.75  # of each distinct training word's count is shared out by the lattice
 FLUSH = 400_000  # distinct words that a task counts before it hands them on
 LN10 = math.log(10)
+BYTES = 1e-4  # share of the byte pieces beside all others
 
 
 def words_of(text: str) -> list[str]:
@@ -31,81 +34,55 @@ def words_of(text: str) -> list[str]:
 
 
 class Lattice:
-    """Log probabilities of pieces; a byte piece stands for each byte of a character that no piece covers."""
+    """Log probabilities of pieces in a trie; the byte pieces stand for each byte of a character that no piece covers."""
 
     def __init__(self, logp: dict[str, float]):
-        self.logp = logp
-        self.longest = max((len(p) for p in logp if not p.startswith("<0x")), default=1)
-        self.starts = {p[:k] for p in logp for k in range(1, len(p) + 1)}
         floor = min(logp.values(), default=-20.0) - 5
         self.bytes = [logp.get(f"<0x{b:02X}>", floor) for b in range(256)]
-
-    def edges(self, s: str):
-        """(from, to, piece or None, log probability) in order of their beginnings; every place has an edge of one character."""
-        logp, starts, n = self.logp, self.starts, len(s)
+        self.trie: dict = {}
+        for piece, p in logp.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = p
+
+    def word(self, w: str) -> float:
+        """Natural log of the probability of a word, over all its segmentations: sums of what leads to each place, in log space. Time
+        grows with the length of the word times that of the longest piece, memory with the length."""
+        s = SPACE + w
+        n, exp, log1p, nothing = len(s), math.exp, math.log1p, -math.inf
+        a = [nothing] * (n + 1)
+        a[0] = 0.0
         for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                t = s[i:j]
-                if t not in starts:
+            here, node, single = a[i], self.trie, False
+            for j in range(i, n):
+                node = node.get(s[j])
+                if node is None:
                     break
-                p = logp.get(t)
+                p = node.get("")
                 if p is not None:
-                    single = single or j == i + 1
-                    yield i, j, t, p
+                    single = single or j == i
+                    x, y = here + p, a[j + 1]
+                    a[j + 1] = x if y == nothing else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
             if not single:
-                yield i, i + 1, None, sum(self.bytes[b] for b in s[i].encode("utf-8", "replace"))
-
-    def forward(self, s: str, edges) -> list[float]:
-        a = [-math.inf] * (len(s) + 1)
-        a[0] = 0.0
-        exp, log1p = math.exp, math.log1p
-        for i, j, _, p in edges:
-            x, y = a[i] + p, a[j]
-            a[j] = (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))) if y != -math.inf else x
-        return a
-
-    def word(self, w: str, own: float = -math.inf) -> float:
-        """Natural log of the probability of a word, over all its segmentations and the edge of its own (own: that edge's log)."""
-        s = SPACE + w
-        return float(np.logaddexp(self.forward(s, self.edges(s))[-1], own))
-
-    def expect(self, w: str, n: float, into: dict[str, float], own: float = -math.inf, discount: float = 0.0) -> float:
-        """Adds to `into` the expected number of each piece in n occurrences of the word; returns that of its own edge, n less the
-        discount times its posterior: the discount goes to the segmentations."""
-        s = SPACE + w
-        edges = list(self.edges(s))
-        a = self.forward(s, edges)
-        z, b = a[-1], [-math.inf] * (len(s) + 1)
-        whole = max(n - discount, 0.0) * math.exp(own - float(np.logaddexp(z, own)))
-        n -= whole
-        b[-1] = 0.0
-        exp, log1p = math.exp, math.log1p
-        for i, j, t, p in reversed(edges):
-            x, y = b[j] + p, b[i]
-            b[i] = (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))) if y != -math.inf else x
-            k = n * exp(a[i] + p + b[j] - z)
-            if t is not None:
-                into[t] = into.get(t, 0.0) + k
-            else:
-                for c in s[i].encode("utf-8", "replace"):
-                    t = f"<0x{c:02X}>"
-                    into[t] = into.get(t, 0.0) + k
-        return whole
+                x, y = here + sum(self.bytes[b] for b in s[i].encode("utf-8", "replace")), a[i + 1]
+                a[i + 1] = x if y == nothing else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+        return a[n]
 
 
 def vocabulary(path: str) -> dict[str, float]:
-    """First log probability of each piece, by the sentencepiece model's own scores (they fall by one with each rank, so the rank's
-    Zipf weight); half of the whole, the other half is for whole words by their share of the training tokens."""
+    """Log probability of each piece by the sentencepiece model's own scores, normalised once. A model of unigram kind gives log
+    probabilities; in one of merges a score falls by one with each rank, so the rank's Zipf weight is taken; bytes get a small share."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {}
-    for i in range(sp.get_piece_size()):
-        if not sp.is_control(i) and not sp.is_unknown(i):
-            pieces[sp.id_to_piece(i)] = 1 / (2.7 - sp.get_score(i)) if not sp.is_byte(i) else 1e-6
-    total = sum(pieces.values())
-    return {t: math.log(v / total / 2) for t, v in pieces.items()}
+    usual = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    score = {sp.id_to_piece(i): sp.get_score(i) for i in usual}
+    merges = min(score.values(), default=0.0) < -100
+    weight = {t: 1 / (2.7 - x) if merges else math.exp(x) for t, x in score.items()}
+    total = sum(weight.values()) * (1 + BYTES)
+    bytes_ = {sp.id_to_piece(i): BYTES / 256 / (1 + BYTES) for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+    return {t: math.log(v / total) for t, v in weight.items()} | {t: math.log(v) for t, v in bytes_.items()}
 
 
 def word_counts(docs: DataFrame, train: str) -> DataFrame:
@@ -142,36 +119,15 @@ def frequent_above(counts: DataFrame, most: int = FREQUENT) -> int:
     return 0
 
 
-def fit_pieces(words: DataFrame, start: dict[str, float], ends: int, smoothing: float = 0.1) -> tuple[dict[str, float], float, DataFrame]:
-    """Piece log probabilities after one pass of expectation over all words (word, c, own), the end's, and the words with the log of
-    their own weights from the same pass (null: not in training). The driver gets one number a piece."""
-    shared = words.sparkSession.sparkContext.broadcast(start)
-
-    def run(batches):
-        lattice, into = Lattice(shared.value), {}
-        row = lambda piece, word, c, n: pa.RecordBatch.from_arrays([pa.array(piece, pa.string()), pa.array(word, pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.float64())], names=["piece", "word", "c", "n"])
-        for batch in batches:
-            word, count, own = (x.to_pylist() for x in batch.columns)
-            yield row([None] * len(word), word, count, [lattice.expect(w, c, into, o, DISCOUNT) for w, c, o in zip(word, count, own)])
-        yield row(into.keys(), [None] * len(into), [None] * len(into), into.values())
-
-    found = written(arrow_map(words.where("c > 0").select("word", "c", "own"), run, "piece string, word string, c bigint, n double"))
-    n = {r["piece"]: r["n"] for r in found.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    whole = n.pop(None, 0.0)
-    n = {t: x for t, x in n.items() if t in start}
-    total = sum(n.values()) + whole + smoothing * (len(start) + 1) + ends
-    fitted = found.where("word IS NOT NULL").select("word", "c", F.log(F.greatest(F.col("n") / F.lit(total), F.lit(1e-300))).alias("own"))
-    every = fitted.unionByName(words.where("c = 0").select("word", "c", F.lit(None).cast("double").alias("own")))
-    return {t: math.log((n.get(t, 0.0) + smoothing) / total) for t in start}, math.log((ends + smoothing) / total), every
-
-
-def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, passes: int = 1) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score (log10).
 
     Learns from rows whose crc32(id as text) mod fold is not held (null ids: not learned from, not held out). Null text: only the end.
-    Repeated rows each count and give a row. base_score is the add-one unigram score of the contract. Every training word is in the
-    model; how words travel does not change a score. The most frequent words, at most FREQUENT, go to all tasks; all others meet their counts in one join by word, in which no word has more than about one in
-    FREQUENT of the rows. Without training rows every base term is log10(1) = 0.
+    Repeated rows each count and give a row. base_score is the add-one unigram score of the contract; lattice_score the marginal over
+    all segmentations by the vocabulary's scores alone, the end counted as one more piece; score that of the corpus' model with the lattice
+    as its base measure. The most frequent words, at most FREQUENT, go to all tasks; all others meet their values in one join by word, in
+    which no word has more than about one in FREQUENT of the rows; that changes no score. Without training rows every base term is
+    log10(1) = 0 and score is lattice_score.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT), (F.col(id_col).isNotNull() & (crc_mod(id_col, fold) != held)).alias("train"), (crc_mod(id_col, fold) == held).alias("held_out"))
@@ -180,48 +136,55 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     stats = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, distinct = (stats["n"] or 0) + ends, stats["v"] + (1 if ends else 0)
     limit = frequent_above(counts)
-    logp, end = vocabulary(model_path), 0.0
-    words = counts.withColumn("own", F.when(F.col("c") > 0, F.log(F.col("c") / F.lit(2.0 * max(n_all, 1)))))
-    for _ in range(passes):
-        logp, end, words = fit_pieces(words, logp, ends)
-    model = spark.sparkContext.broadcast(logp)
+    logp = vocabulary(model_path)
+    end = math.log(1 / (1 + len(logp)))  # the lattice's end: as likely as a piece is on the mean
+    model = spark.sparkContext.broadcast((logp, math.log1p(-math.exp(end))))
+    log_shared = math.log(DISCOUNT * distinct / n_all) if n_all else 0.0
+
+    def mixed(c, lp):
+        """Natural log of a word's probability: its discounted share of all tokens and the lattice's part of what was given up."""
+        given, own = lp + log_shared, max(c - DISCOUNT, 0.0) / max(n_all, 1)
+        if own == 0:
+            return given
+        kept = math.log(own)
+        return max(kept, given) + math.log1p(math.exp(-abs(kept - given)))
 
     def score_words(batches):
-        lattice = Lattice(model.value)
+        logp, going_on = model.value
+        lattice = Lattice(logp)
         for batch in batches:
-            w, c, own = batch.columns
-            lp = [lattice.word(x, -math.inf if o is None else o) for x, o in zip(w.to_pylist(), own.to_pylist())]
-            yield pa.RecordBatch.from_arrays([w, pa.array(np.log10(c.to_numpy() + 1.0)), pa.array(c.to_numpy() > 0), pa.array(lp, pa.float64())], names=["word", "lc", "known", "lp"])
+            for part in slices(batch, 0, 4096):
+                w, c = part.columns
+                lp = [lattice.word(x) + going_on for x in w.to_pylist()]
+                yield pa.RecordBatch.from_arrays([w, pa.array(np.log10(c.to_numpy() + 1.0)), pa.array(c.to_numpy() > 0), pa.array(lp, pa.float64()), pa.array(map(mixed, c.to_pylist(), lp), pa.float64())], names=["word", "lc", "known", "lp", "mp"])
 
-    schema = "word string, lc double, known boolean, lp double"
-    often = {r["word"]: (r["lc"], r["lp"]) for r in arrow_map(words.where(F.col("c") > limit).select("word", "c", "own"), score_words, schema).collect()}
+    schema = "word string, lc double, known boolean, lp double, mp double"
+    often = {r["word"]: (r["lc"], r["lp"], r["mp"]) for r in arrow_map(counts.where(F.col("c") > limit).select("word", "c"), score_words, schema).collect()}
     frequent = spark.sparkContext.broadcast(often)
-    seldom = arrow_map(words.where(F.col("c") <= limit).select("word", "c", "own"), score_words, schema)
+    seldom = arrow_map(counts.where(F.col("c") <= limit).select("word", "c"), score_words, schema)
 
     def spread(batches):
-        """Per text one row with what its frequent words and its end give, under a key that is no word; per other word a row."""
-        table, serial, part = frequent.value, 0, None
+        """Per text one row with what its frequent words give, under a key that is no word; per other word a row."""
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        table, serial, part = frequent.value, 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                key, word, tf, ids, held_out, lc, lp, known, total = [], [], [], [], [], [], [], [], []
-                for i, text, h in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(3).to_pylist()):
-                    c = Counter(text.encode("utf-8", "replace").lower().split())
+            for piece in slices(batch, 1, 512):
+                key, word, tf, ids, held_out, sums, known, total = [], [], [], [], [], [], [], []
+                for at, (text, h) in enumerate(zip(piece.column(1).to_pylist(), piece.column(3).to_pylist())):
                     row = part << 36 | serial
                     serial += 1
-                    s_lc = s_lp = 0.0
+                    s_lc = s_lp = s_mp = 0.0
                     s_known = n = 0
                     rest = []
-                    for w, k in c.items():
+                    for w, k in Counter(text.encode("utf-8", "replace").lower().split()).items():
                         w = w.decode("utf-8", "replace")
                         hit = table.get(w)
                         n += k
                         if hit:
                             s_lc += k * hit[0]
                             s_lp += k * hit[1]
+                            s_mp += k * hit[2]
                             s_known += k
                         else:
                             rest.append((w, k))
@@ -229,22 +192,20 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
                     key += [row] * (m + 1)
                     word += [f" {row}", *(w for w, _ in rest)]
                     tf += [0, *(k for _, k in rest)]
-                    ids += [i] + [None] * m
+                    ids += [at] + [None] * m
                     held_out += [h] + [None] * m
-                    lc += [s_lc] + [None] * m
-                    lp += [s_lp] + [None] * m
+                    sums += [(s_lc, s_lp, s_mp)] + [(None,) * 3] * m
                     known += [s_known] + [None] * m
                     total += [n + 1] + [None] * m
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(word, pa.string()), pa.array(tf, pa.int64()), pa.array(ids, id_type), pa.array(held_out, pa.bool_()), pa.array(lc, pa.float64()), pa.array(lp, pa.float64()), pa.array(known, pa.int64()), pa.array(total, pa.int64())], names=["row", "word", "tf", "id", "held_out", "s_lc", "s_lp", "s_known", "n_tokens"])
+                own = piece.column(0).take(pa.array(ids, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(word, pa.string()), pa.array(tf, pa.int64()), own, pa.array(held_out, pa.bool_()), *(pa.array([x[k] for x in sums], pa.float64()) for k in range(3)), pa.array(known, pa.int64()), pa.array(total, pa.int64())], names=["row", "word", "tf", "id", "held_out", "s_lc", "s_lp", "s_mp", "s_known", "n_tokens"])
 
     id_kind = rows.schema["__id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
-    tokens = arrow_map(rows, spread, f"row bigint, word string, tf bigint, id {id_kind}, held_out boolean, s_lc double, s_lp double, s_known bigint, n_tokens bigint")
-    both = tokens.join(seldom, "word", "left")
-    each = both.groupBy("row").agg(
+    tokens = arrow_map(rows, spread, f"row bigint, word string, tf bigint, id {id_kind}, held_out boolean, s_lc double, s_lp double, s_mp double, s_known bigint, n_tokens bigint")
+    part = lambda x: F.sum(F.coalesce(f"s_{x}", F.col("tf") * F.col(x), F.lit(0.0))).alias(x)
+    each = tokens.join(seldom, "word", "left").groupBy("row").agg(
         F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("s_known", F.when(F.col("known"), F.col("tf")), F.lit(0)))).cast("long").alias("n_known"),
-        F.sum(F.coalesce("s_lc", F.col("tf") * F.col("lc"), F.lit(0.0))).alias("lc"), F.sum(F.coalesce("s_lp", F.col("tf") * F.col("lp"), F.lit(0.0))).alias("lp"))
-    per_token = math.log10(n_all + distinct + 1)
+        (F.sum(F.coalesce("s_known", F.when(F.col("known"), F.col("tf")), F.lit(0)))).cast("long").alias("n_known"), part("lc"), part("lp"), part("mp"))
+    per_token, last = math.log10(n_all + distinct + 1), mixed(ends, end)
     return each.select(id_col, "held_out", "n_tokens", (F.col("n_known") + (1 if ends else 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-                       (F.col("lc") + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), ((F.col("lp") + F.lit(end)) / LN10).alias("score"))
+                       (F.col("lc") + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), ((F.col("mp") + F.lit(last)) / LN10).alias("score"), ((F.col("lp") + F.lit(end)) / LN10).alias("lattice_score"))

@@ -252,33 +252,51 @@ def test_near_duplicates_of_odd_rows(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_lattice_sums_all_segmentations():
-    logp = {"▁": -1.0, "a": -1.2, "b": -1.5, "ab": -2.0, "▁a": -1.7}
-    m = lattice.Lattice(logp)
+LOGP = {"▁": -1.0, "a": -1.2, "b": -1.5, "ab": -2.0, "▁a": -1.7}
+
 
+def test_lattice_sums_all_segmentations():
     def brute(s):
-        return 1.0 if not s else sum(np.exp(p) * brute(s[len(t) :]) for t, p in logp.items() if s.startswith(t))
+        return 1.0 if not s else sum(np.exp(p) * brute(s[len(t) :]) for t, p in LOGP.items() if s.startswith(t))
 
+    m = lattice.Lattice(LOGP)
     for w in ("a", "ab", "abab", "bb"):
         assert np.isclose(np.exp(m.word(w)), brute("▁" + w))
-    into = {}
-    m.expect("ab", 2.0, into)
-    assert np.isclose(sum(into[t] * len(t) for t in into), 2 * 3)
+    assert np.isfinite(m.word("ab" * 500_000))  # memory grows with the length of a word only
+
+
+def test_lm_scores_by_brute_force(docs, monkeypatch):
+    logp = lattice.vocabulary(PIECES)
+    assert np.isclose(sum(map(np.exp, logp.values())), 1)
+    longest = max(map(len, logp))
+    floor = min(logp.values()) - 5
 
+    def marginal(w):  # backward, over plain probabilities scaled by their logs
+        s = "▁" + w
+        b = {len(s): 0.0}
+        for i in reversed(range(len(s))):
+            found = [logp[s[i:j]] + b[j] for j in range(i + 1, min(len(s), i + longest) + 1) if s[i:j] in logp]
+            if s[i] not in logp:
+                found.append(sum(logp.get(f"<0x{x:02X}>", floor) for x in s[i].encode()) + b[i + 1])
+            b[i] = np.logaddexp.reduce(found)
+        return b[0]
 
-def test_every_training_word_has_its_own_edge(docs, monkeypatch):
-    m = lattice.Lattice({"▁": -1.0, "a": -1.2, "b": -1.5})
-    assert np.isclose(np.exp(m.word("ab", -2.0)), np.exp(-3.7) + np.exp(-2.0)) and np.isclose(m.word("ab"), -3.7)
-    into = {}
-    own = m.expect("ab", 2.0, into, -2.0)
-    assert np.isclose(own, 2 * np.exp(-2.0) / (np.exp(-3.7) + np.exp(-2.0))) and np.isclose(own + into["a"], 2)
     few = docs.where("doc_id < 60")
-    read = lambda: {r["doc_id"]: r["score"] for r in lattice.lattice_scores(few, PIECES).collect()}
+    text = {r["doc_id"]: lattice.words_of(r["text"] or "") for r in few.collect()}
+    train = Counter(w for i, ws in text.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in text)
+    n, v, end = sum(train.values()) + ends, len(train) + 1, np.log(1 / (1 + len(logp)))
+    lp = {w: marginal(w) + np.log1p(-np.exp(end)) for w in {w for ws in text.values() for w in ws}}
+    p = lambda c, base: max(c - lattice.DISCOUNT, 0) / n + lattice.DISCOUNT * v / n * np.exp(base)
+    read = lambda: {r["doc_id"]: r for r in lattice.lattice_scores(few, PIECES).collect()}
     whole = read()
+    for i, r in whole.items():
+        assert np.isclose(r["lattice_score"], (sum(lp[w] for w in text[i]) + end) / np.log(10), rtol=1e-9)
+        assert np.isclose(r["score"], (sum(np.log(p(train[w], lp[w])) for w in text[i]) + np.log(p(ends, end))) / np.log(10), rtol=1e-9)
     for above in (3, 10**9):  # the bound of what is broadcast is no part of the model
         monkeypatch.setattr(lattice, "frequent_above", lambda counts: above)
         again = read()
-        assert whole.keys() == again.keys() and all(np.isclose(whole[k], again[k], rtol=1e-9) for k in whole)
+        assert whole.keys() == again.keys() and all(np.isclose(whole[k]["score"], again[k]["score"], rtol=1e-9) for k in whole)
 
 
 def test_lm_base_score(docs, spark, sf):
