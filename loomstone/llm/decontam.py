@@ -8,19 +8,17 @@ ends a run, so that suffixes are told apart after a few words.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import TEXT, arrow_map
+from .common import TEXT, arrow_map, discard, slices, written
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000  # words of a shard (a longer document is one shard)
-BLOCK_WORDS = 2_000_000  # words of benchmark items that are searched together; more items make more blocks
+BLOCK_WORDS = 500_000  # words of benchmark items that are searched together; more items make more blocks
+BLOCK_BYTES = 128 << 20  # of a block's phrases, which go to all tasks
 STEP = 8  # one in so many suffix positions is kept
 # Bytes of words: ASCII letters (lowered) and digits, and all beyond ASCII; every other byte parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -135,20 +133,34 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items: numbered words, distinct windows and the items of each."""
+    """The windows of a block of benchmark items: numbered words, distinct windows (rows, right-aligned) and, by window, the items that
+    have it. Arrays only, beside the words themselves: size() bounds what a broadcast of it takes."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
+        self.names = sorted({item for item, _ in items if item is not None})
+        place = {item: k for k, item in enumerate(self.names)}
+        rows, owners = [np.zeros((0, window), np.int32)], []
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                found.setdefault(tuple(ids[at : at + window]), set()).add(item)
+            ids = np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)), np.int32)
+            if len(ids):
+                mine = np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else np.pad(ids, (window - len(ids), 0))[None]
+                rows.append(np.ascontiguousarray(mine))
+                owners.append(np.full(len(mine), place.get(item, -1), np.int64))
         self.bits = max(1, len(self.number).bit_length())
-        self.items = [sorted(x for x in s if x is not None) for s in found.values()]
-        self.lengths = np.array([len(k) for k in found], np.int64)
-        width = max(map(len, found), default=1)
-        self.rows = np.array([(0,) * (width - len(k)) + k for k in found], np.int64).reshape(-1, width)
+        self.rows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.rows != 0).sum(1)
+        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate([np.zeros(0, np.int64), *owners])]), axis=1)
+        pairs = pairs[:, pairs[1] >= 0]
+        self.first = np.searchsorted(pairs[0], np.arange(len(self.rows) + 1)).astype(np.int32)
+        self.owner = pairs[1].astype(np.int32)
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.owner[self.first[window] : self.first[window + 1]]]
+
+    def size(self) -> int:
+        """Bytes, about: a word or name takes some 120 beside its letters."""
+        return self.rows.nbytes + self.lengths.nbytes + self.first.nbytes + self.owner.nbytes + sum(map(len, self.number)) + 120 * (len(self.number) + len(self.names))
 
 
 def hits(texts: list[str], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], set]]:
@@ -184,58 +196,71 @@ def hits(texts: list[str], phrases: Phrases) -> list[tuple[int, list[tuple[int,
             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
             spans.append((a, b))
-        items.update(phrases.items[which[k]])
+        items.update(phrases.items(which[k]))
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words: int):
-    """Benchmark items in blocks of a bounded number of words, one after the other."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words: int, window: int):
+    """Phrases of the benchmark's items, block by block: each of about `words` words at most, halved while it takes more than BLOCK_BYTES.
+    One block is on the driver at a time; an item is never cut."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-int(total) // (words * 4)) or 1  # a word has four characters or more with what parts it; shorter ones make blocks larger
-    for k in range(n):
+    todo = [(n, k) for k in reversed(range(n))]
+    while todo:
+        n, k = todo.pop()
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+        rows = [(r["item"], r["text"]) for r in part.collect()]
+        phrases = Phrases(rows, window)
+        if phrases.size() > BLOCK_BYTES and len(set(rows)) > 1:
+            todo += [(2 * n, k + n), (2 * n, k)]
+        else:
+            yield phrases
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """keep columns plus n_words, spans (word positions begin, end, begin, end, ..., merged) and items (ids as text, sorted).
-
-    Null or empty texts have no words; an item without words is never found; one shorter than the window is one window. Null item ids
-    hit words but are not listed. Repeated rows each give a row. The documents are never shuffled: each block of items goes to all
-    tasks, whose shards hold SHARD_WORDS words at most (or one document). Blocks follow each other in one pass.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, bench_text: str, window: int, block_words: int) -> DataFrame:
+    """row (a struct of all other columns of docs, whatever their names), text, n_words, spans, items. A single block's pass stays lazy; with
+    more, each pass is written before the next block is built, and what it read is discarded."""
     spark = docs.sparkSession
-    rows = docs.select(*keep, F.col(text_col).alias(TEXT), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    base = T.StructType([f for f in rows.schema if f.name not in ("__spans", "__items")])
-    schema = base.add("n_words", T.LongType()).add("__spans", T.ArrayType(T.LongType())).add("__items", T.ArrayType(T.StringType()))
-    rows = rows.withColumn("n_words", F.lit(None).cast("long")).select(*schema.names)
-    names = schema.names
-    for block in _blocks(benchmark, item_col, bench_text, block_words):
-        shared = spark.sparkContext.broadcast(Phrases([(None if i is None else str(i), t) for i, t in block], window))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(True).alias("none")]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    schema, shared, last = rows.schema, None, None
+    for phrases in _blocks(benchmark, item_col, bench_text, block_words, window):
+        if shared is not None:
+            rows = written(rows)
+            shared.unpersist()
+            discard(last)
+            last = rows
+        shared = spark.sparkContext.broadcast(phrases)
 
         def run(batches, shared=shared):
             phrases = shared.value
             for batch in batches:
-                at = 0
-                while at < batch.num_rows:  # shards by text bytes: no more than about SHARD_WORDS words
-                    texts, size, end = [], 0, at
-                    while end < batch.num_rows and (end == at or size < 4 * SHARD_WORDS):
-                        texts.append(batch.column(len(names) - 4)[end].as_py() or "")
-                        size += len(texts[-1])
-                        end += 1
-                    part = batch.slice(at, end - at)
-                    at = end
+                for part in slices(batch, 1, batch.num_rows, 4 * SHARD_WORDS):  # shards of no more than about SHARD_WORDS words
                     spans, items, words = [], [], []
-                    earlier = zip(part.column(len(names) - 2).to_pylist(), part.column(len(names) - 1).to_pylist())
-                    for (n, s, i), (old_spans, old_items) in zip(hits(texts, phrases), earlier):
+                    found = hits(part.column(1).to_pylist(), phrases)
+                    for (n, s, i), old_spans, old_items in zip(found, part.column(3).to_pylist(), part.column(4).to_pylist()):
                         words.append(n)
                         spans.append(merge(s, old_spans))
                         items.append(sorted(i | set(old_items or ())))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=names)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
         rows = arrow_map(rows, run, schema)
-    return rows.select(*keep, *([F.col(TEXT)] if TEXT in keep else []), "n_words", F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+    return rows
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """keep columns plus n_words, spans (word positions begin, end, begin, end, ..., merged) and items (ids as text, sorted).
+
+    Null or empty texts have no words; an item without words is never found; one shorter than the window is one window. Null item ids
+    hit words but are not listed. Repeated rows each give a row. The documents are never shuffled: each block of items goes to all
+    tasks, whose shards hold SHARD_WORDS words at most (or one document). Other columns of docs may have any name; one of the names
+    above among `keep` is an error.
+    """
+    if clash := {"n_words", "spans", "items"} & set(keep):
+        raise ValueError(f"keep has names of the result: {sorted(clash)}")
+    found = _found(docs.select(*keep, F.col(text_col).alias(TEXT)), benchmark, TEXT, item_col, bench_text, window, block_words)
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "n_words", "spans", "items")
 
 
 def merge(spans: list[tuple[int, int]], flat: list[int] | None) -> list[int]:
@@ -270,17 +295,15 @@ def cut(text: str, spans: list[int]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with the spans cut out of the text column; all columns and rows stay. Null texts stay null."""
-    names = docs.columns
-    found = find_leaks(docs.select(*[F.col(f"`{c}`") for c in names]), benchmark, keep=tuple(c for c in names), text_col=text_col, **options)
-    schema = docs.schema
-    at = names.index(text_col)
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with the spans cut out of the text column; all columns and rows stay, whatever the columns' names. Null texts stay null,
+    repeated rows are each cut, a text that is all leak becomes what parts its words."""
+    found = _found(docs, benchmark, text_col, item_col, bench_text, window, block_words)
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            new = pa.array([cut(t, s) if t and s else t for t, s in zip(texts, spans)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 : len(names)]], names=names)
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cut(t, s) if t and s else t for t, s in zip(texts, spans)], pa.string())], names=["row", "text"])
 
-    return arrow_map(found.select(*names, "spans"), run, schema)
+    clean = arrow_map(found.select("row", "text", "spans"), run, found.select("row", "text").schema)
+    return clean.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
