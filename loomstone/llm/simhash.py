@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, map_text, written
+from .common import arrow_map, discard, map_text, written
 
 SEED, SHINGLE, BITS = 42, 4, 4
 LOW23 = (1 << 23) - 1
@@ -124,19 +124,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while pairs.take(1):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        moved = True
+        moved, jumped = True, None
         while moved:
             far = up.select(F.col("node").alias("n2"), F.col("to").alias("far"))
-            jumped = written(up.join(far, F.col("to") == F.col("n2")).select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            jumped, last = written(up.join(far, F.col("to") == F.col("n2")).select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved"))), jumped
+            discard(last)
             moved = bool(jumped.where("moved").take(1))
             up = jumped.select("node", "to")
         ends = up.select(F.col("node").alias("n2"), F.col("to").alias("far"))
         if labels is None:
-            labels = up
+            labels = jumped.select("node", "to")
         else:  # nodes of this round are roots of earlier ones
-            labels = written(labels.join(ends, F.col("to") == F.col("n2"), "left").select("node", F.coalesce("far", "to").alias("to")))
+            labels, old = written(labels.join(ends, F.col("to") == F.col("n2"), "left").select("node", F.coalesce("far", "to").alias("to"))), labels
+            discard(old)
         moved_pairs = pairs.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b")
-        pairs = written(moved_pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct())
+        pairs, old = written(moved_pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()), pairs
+        discard(old)
     return (pairs.toDF("node", "to") if labels is None else labels).select("node", F.col("to").alias("root"))
 
 
@@ -189,20 +192,49 @@ def link_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return components(links).withColumnRenamed("node", "fp")
 
 
-def grouped(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fp, root (a fingerprint that names the component), component_id. Components that share an id can share component_id."""
-    rows = written(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), ("__id",), "__t"))
-    mine = written(rows.groupBy("fp").agg(F.min("__id").alias("least")))
-    roots = written(mine.join(link_components(mine.select("fp"), bits), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.select("fp", "root").join(named, "root")
-    return rows.join(of, "fp").select(F.col("__id").alias(id_col), "fp", "root", "component_id")
+SALTS = 32  # parts in which the fingerprints of one component are dealt
+
+
+def component_roots(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of fps: a fingerprint that names its component."""
+    mine = fps.select("fp").distinct()
+    return mine.join(link_components(mine, bits), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def least_of_component(rows: DataFrame, value: str, bits: int = BITS) -> DataFrame:
+    """(fp, root, least): the smallest `value` of rows (fp, value) over each fingerprint's component.
+
+    The smallest is found from that of each fingerprint, with partial aggregates. On the way back a component's fingerprints are dealt
+    over SALTS parts, so that a large one does not meet in a task; a fingerprint alone in its component joins nothing.
+    """
+    mine = written(rows.groupBy("fp").agg(F.min(value).alias("least")))
+    linked = written(link_components(mine.select("fp"), bits).select("fp", "root"))
+    of = mine.join(linked, "fp").select("fp", "root", "least", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    named = of.groupBy("root").agg(F.min("least").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    alone = mine.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), "least")
+    return of.drop("least").join(named, ["root", "salt"]).select("fp", "root", "least").unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most `bits` bits).
 
     Null text: as empty, fingerprint 0, linked like any other. Null ids give a row and take part, but are no component's name unless
-    it has no other. Equal texts share a fingerprint, so copies never meet as pairs.
+    it has no other. Rows that share an id are told apart by fingerprint. Equal texts share a fingerprint, so copies never meet as pairs.
+    """
+    rows = written(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), ("__id",), "__t"))
+    of = least_of_component(rows, "__id", bits)
+    return rows.join(of, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' columns; one row of each component stays: that of the smallest id (null ids last), then by the text's hash.
+
+    Rows are told apart by a number of their own, given in a written table, so rows that share an id all stay unless their fingerprints
+    link, and of equal rows one stays. Null texts are one component with empty ones.
     """
-    return grouped(docs, bits, id_col, text_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("number"))
+    rows = written(fingerprints(numbered, ("row", "number")))
+    rank = F.struct(F.col(f"row.`{id_col}`").isNull().alias("a"), F.col(f"row.`{id_col}`").alias("b"), F.xxhash64(f"row.`{text_col}`").alias("c"), F.col("number").alias("d"))
+    kept = least_of_component(rows.select("fp", rank.alias("rank")), "rank", bits).select(F.col("least.d").alias("number")).distinct()
+    one = rows.join(kept.hint("merge"), "number", "left_semi")  # what stays grows with the documents: never broadcast
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
