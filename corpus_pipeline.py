@@ -31,19 +31,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each near-duplicate group. Rows without an id stay; rows that share one are told apart by
-    fingerprint, so that one of each group stays."""
-    docs = docs.select(*COLUMNS)
-    groups = written(simhash.grouped(docs))
-    shared = written(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    if not shared.take(1):
-        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)  # the ids to go grow with the documents: never broadcast
-    single = docs.join(gone.unionByName(shared).distinct().hint("merge"), "doc_id", "left_anti")
-    of = groups.where("doc_id = component_id").select("doc_id", "fp", "root").distinct()
-    rows = simhash.fingerprints(docs.join(shared.hint("merge"), "doc_id", "left_semi"), COLUMNS)
-    twice = rows.join(of.hint("merge"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "root"])  # the id is the smallest of all these groups
-    return single.select(*COLUMNS).unionByName(twice.select(*COLUMNS))
+    """One document, of the smallest id, of each near-duplicate group. Rows are told apart by themselves, not by their ids."""
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
