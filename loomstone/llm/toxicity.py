@@ -25,11 +25,15 @@ ADDRESS = set("you your you're youre u ur tu toi vous du dich ihr tú usted eres
 
 
 def edits_for(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def edits_for_stem(stem: str) -> int:
+    return 0 if len(stem) < 5 else 1
 
 
 class Lexicon:
-    """Terms with their edits and stems (any ending, no edits), as a trie; match() gives (term, distance) or None."""
+    """Terms with their edits and stems (any ending, edits before it), as a trie; match() gives (term, distance) or None."""
 
     def __init__(self, terms: list[str], stems: list[str] = ()):
         self.child: list[dict[str, int]] = [{}]
@@ -37,18 +41,19 @@ class Lexicon:
         self.stem: list[str | None] = [None]
         self.most: list[int] = [0]
         self.limit: list[int] = [0]
+        self.stem_limit: list[int] = [0]
         for word, stem in [(t, False) for t in terms] + [(s, True) for s in stems]:
-            k, at = 0 if stem else edits_for(word), 0
+            k, at = edits_for_stem(word) if stem else edits_for(word), 0
             self.most[0] = max(self.most[0], k)
             for c in word:
                 if c not in self.child[at]:
                     self.child[at][c] = len(self.child)
-                    for column, value in ((self.child, {}), (self.term, None), (self.stem, None), (self.most, 0), (self.limit, 0)):
+                    for column, value in ((self.child, {}), (self.term, None), (self.stem, None), (self.most, 0), (self.limit, 0), (self.stem_limit, 0)):
                         column.append(value)
                 at = self.child[at][c]
                 self.most[at] = max(self.most[at], k)
             if stem:
-                self.stem[at] = word
+                self.stem[at], self.stem_limit[at] = word, k
             else:
                 self.term[at], self.limit[at] = word, k
         self._reset()
@@ -105,6 +110,7 @@ class Lexicon:
         return to
 
     def match(self, word: str):
+        """The nearest term, else the nearest stem that the word begins with; a term within its edits goes before a stem but for an exact stem."""
         state, stem = self.start, None
         for c in word:
             to = self.moves[state].get(c)
@@ -112,15 +118,15 @@ class Lexicon:
             items = self.sets[state]
             if not items:
                 break
-            if stem is None:
-                for node, e, due in items:
-                    if e == 0 and self.stem[node] is not None:
-                        stem = self.stem[node] + "*"
+            for node, e, due in items:
+                if self.stem[node] is not None and due < 0 and e <= self.stem_limit[node]:
+                    found = (e, self.stem[node] + "*")
+                    stem = found if stem is None or found < stem else stem
         else:
             best = min(((e, self.term[n]) for n, e, due in self.sets[state] if due < 0 and self.term[n] is not None and e <= self.limit[n]), default=None)
-            if best is not None and (best[0] == 0 or stem is None):
+            if best is not None and (stem is None or best[0] <= stem[0]):
                 return best[1], best[0]
-        return (stem, 0) if stem else None
+        return (stem[1], stem[0]) if stem else None
 
 
 def words_of(text: str) -> list[str]:
@@ -131,42 +137,48 @@ def core(word: str) -> str:
     return word if word.isalpha() else EDGE.sub("", word)
 
 
-def learn_lexicon(rows: list[tuple[str, int]], purity: float = 0.97, support: float = 0.015) -> tuple[list[str], list[str]]:
-    """Terms and stems whose documents are toxic: found in a share `support` of the toxic texts (copies once), and (nearly) no clean ones."""
+def learn_lexicon(rows: list[tuple[str, int]], purity: float = 0.97, enriched: float = 0.9, chance: float = 0.01, few: int = 4) -> tuple[list[str], list[str]]:
+    """Terms and stems whose documents are toxic: (nearly) no clean ones, and more toxic ones than chance gives. Copies count once.
+
+    Of many words some are in toxic texts only, by accident. A word that has nothing to do with toxicity is in toxic texts alone k times
+    with the k-th power of their share; a term or stem needs so many toxic texts that fewer than `chance` of all that are tried would
+    pass so. A term of only `few` toxic texts passes if it begins with what passes that count and is `enriched` in toxic texts: forms of
+    one word stand for each other.
+    """
     rows = list(dict.fromkeys(rows))
     n = Counter(y for _, y in rows)
+    if not n[0] or not n[1]:
+        return [], []
     counts = {0: Counter(), 1: Counter()}
+    starts = {0: Counter(), 1: Counter()}
     endings: dict[str, set[str]] = {}
     for text, y in rows:
         seen = {c for c in map(core, set(words_of(text))) if len(c) >= MIN_TERM and c.isalpha()}
-        starts = {w[:k] + "*" for w in seen for k in range(MIN_TERM, min(STEM, len(w)))}
         counts[y].update(seen)
-        counts[y].update(starts)
+        starts[y].update({w[:k] for w in seen for k in range(MIN_TERM, min(STEM, len(w)))})
         if y:
             for w in seen:
                 for k in range(MIN_TERM, min(STEM, len(w))):
                     endings.setdefault(w[:k], set()).add(w[k : k + 3])
-    if not n[0] or not n[1]:
-        return [], []
-    rate = lambda w: counts[1][w] / n[1] / (counts[1][w] / n[1] + (counts[0][w] + 0.02) / n[0])
-    enough = lambda w, least=4: counts[1][w] >= max(least, support * n[1]) and rate(w) >= purity
+    rate = lambda w, c: c[1][w] / n[1] / (c[1][w] / n[1] + (c[0][w] + 0.02) / n[0])
+    least = lambda c: max(few, math.ceil(math.log(chance / (len(c[0]) + len(c[1]))) / math.log(n[1] / (n[0] + n[1]))))
     whole: dict[str, int] = {}  # toxic texts of the most frequent word that begins so
-    longer: dict[str, list[str]] = {}
     for w, k in counts[1].items():
-        if w[-1] != "*":
-            for at in range(MIN_TERM, min(STEM, len(w))):
-                whole[w[:at]] = max(whole.get(w[:at], 0), k)
-        else:
-            longer.setdefault(w[:-2], []).append(w[:-1])
+        for at in range(MIN_TERM, min(STEM, len(w))):
+            whole[w[:at]] = max(whole.get(w[:at], 0), k)
+    many = least(starts)
+    families = {w for w, k in starts[1].items() if k >= many and rate(w, starts) >= enriched and len(endings[w]) >= 4 and whole[w] <= 0.5 * k}
     stems: list[str] = []
-    for w in sorted((w[:-1] for w in counts[1] if w[-1] == "*" and enough(w, 3)), key=len):
-        if len(endings[w]) < 4 or whole[w] > 0.5 * counts[1][w + "*"] or any(w.startswith(s) for s in stems):
+    for w in sorted((w for w in families if rate(w, starts) >= purity), key=lambda w: (len(w), w)):
+        if any(w.startswith(s) for s in stems):
             continue
-        while more := [x for x in longer.get(w, ()) if counts[1][x + "*"] >= 0.9 * counts[1][w + "*"]]:
+        while more := [x for x in sorted(families) if len(x) == len(w) + 1 and x.startswith(w) and starts[1][x] >= 0.9 * starts[1][w]]:
             w = more[0]  # as long as it keeps nearly all of its texts
         stems.append(w)
-    terms = sorted(w for w in counts[1] if w[-1] != "*" and enough(w) and not any(w.startswith(s) for s in stems))
-    return terms, sorted(set(stems))
+    many = least(counts)
+    alike = lambda w: any(w[:k] in families for k in range(MIN_TERM, min(STEM, len(w))))
+    fits = (w for w, k in counts[1].items() if k >= few and rate(w, counts) >= purity and (k >= many or alike(w)))
+    return sorted(w for w in fits if not any(w.startswith(s) for s in stems)), sorted(set(stems))
 
 
 class ToxicityModel:
@@ -189,12 +201,17 @@ class ToxicityModel:
             both[0] += clean
             both[1] += toxic
         for term in [*terms, *(x + "*" for x in stems)]:
-            for e in range(edits_for(term) + 1):
+            for e in range((edits_for_stem(term[:-1]) if term[-1] == "*" else edits_for(term)) + 1):
                 clean, toxic = tally.get((term, e), (0.0, 0.0))
                 if e:
                     more = family.get((term[:3], True), (0.0, 0.0))
                     clean, toxic = clean + more[0], toxic + more[1]
-                self.weight[term, e] = (toxic + 2 * unit * (0.75 if e else 0.95)) / (toxic + clean + 2 * unit)
+                self.weight[term, e] = (toxic + 2 * unit * self.prior(term, e)) / (toxic + clean + 2 * unit)
+
+    @staticmethod
+    def prior(term: str, e: int) -> float:
+        """Of a match that training texts say nothing about: a misspelling of a short word is a sign only where it addresses somebody."""
+        return 0.95 if e == 0 else 0.75 if len(term) > 4 else 0.6
 
     def _ready(self):
         self.lexicon = Lexicon(self.terms, self.stems)
@@ -229,13 +246,16 @@ class ToxicityModel:
         return [(i, marked[w]) for i, w in enumerate(words) if w in marked] if marked else []
 
     def score(self, text: str) -> tuple[float, int]:
-        """Noisy-or of the matches; a match in quotation marks or reported counts less, one that addresses somebody more."""
+        """Noisy-or of the matches that are toxic more often than clean; one in quotation marks or reported counts less, one that
+        addresses somebody more."""
         hits = self.hits(text)
         if not hits:
             return 0.02, 0
         words, rest = words_of(text), 0.98
         for i, h in hits:
-            p = self.weight.get(h, 0.95 if h[1] == 0 else 0.75)
+            p = self.weight.get(h, self.prior(*h))
+            if p < 0.5:
+                continue  # clean more often than toxic
             before, after = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
             opened = any(w[0] in QUOTES for w in [*before, words[i]]) and not any(w[-1] in QUOTES for w in before)
             closed = any(w[-1] in QUOTES or w.rstrip(".,;:!?")[-1:] in QUOTES for w in [words[i], *after])
@@ -253,7 +273,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """keep columns, score and n_hits. Null text: as empty (score 0.02). Repeated rows each give a row. One Arrow pass, no shuffle."""
+    """keep columns, score and n_hits. Null text: as empty (score 0.02). Repeated rows each give a row. Names of the new columns must not
+    be among the kept ones. One Arrow pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(texts):
