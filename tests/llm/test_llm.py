@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries, round trips and held-out labels, and on odd rows."""
 
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter
@@ -66,6 +67,15 @@ def test_media_round_trip(docs, spark, sf):
         raw = text[r["doc_id"]]
         padded = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    for broken in (b"P5 0 0 255\n", b"P5 99999999999999999999 9 255\n", b"P2 1 1 255\n" + b"9" * 400, b"P2 2 1 100 100 255", b"P5 1 1 100\n\xff", b"P5 2 2 255\n\x00", b"P3 1 1 255 1 2", b"P6 1 1 255\n\x00", b"BM", media.write_bmp(grey)[:-1]):
+        assert media.decode(broken) is None, broken[:30]
+    for r in queries.op2_media_columns(spark, sf).collect():
+        image, _ = media.payload_image(text[r["doc_id"]].decode())
+        stored, side = media.write_pgm(image), 16
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        tile = np.load(io.BytesIO(r["tile"]))
+        exact = np.repeat(np.repeat(image.astype(float), side, 0), side, 1).reshape(side, image.shape[0], side, image.shape[1]).mean((1, 3))
+        assert np.abs(tile - exact).max() <= 0.5 + 1e-6 and r["feature"].split("-")[1:] == [f"64x{len(image)}", f"{zlib.crc32(r['tile']):08x}"]
     made = media.media_features(media.text_media(docs.limit(5), "bmp"), ["doc_id"])
     assert all(bytes(r["payload"]).rstrip(b"\0") == text[r["doc_id"]] and r["tile"][:6] == b"\x93NUMPY" for r in made.collect())
 
@@ -93,6 +103,47 @@ def test_main_text_keeps_every_content_block():
         assert html.main_text(f"<html><body>{menu}{body}{foot}</body></html>").split("\n") == want, body[:60]
 
 
+def test_scores_select_the_text(monkeypatch, spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    whole = [html.main_text(p) for p in pages]
+    r = np.random.default_rng(4)
+    of = lambda paths: r.random(max(paths) + 1)[paths] * 40
+    monkeypatch.setattr(html, "tag_path_scores", lambda paths, texts: of(paths))
+    assert sum(a != html.main_text(p) for a, p in zip(whole, pages)) > 5
+    monkeypatch.setattr(html, "tag_path_scores", lambda paths, texts: np.zeros(len(paths)) + 1e-9 * (np.arange(len(paths)) == 0))
+    assert all(a != html.main_text(p) for a, p in zip(whole, pages) if a.count("\n") > 2)
+
+
+def test_tag_path_scores_by_plain_sums():
+    r = random.Random(5)
+    for _ in range(50):
+        n = r.randint(1, 12)
+        paths, texts = [r.randint(0, 4) for _ in range(n)], ["a, b. " * r.randint(1, 30) for _ in range(n)]
+        of = lambda p, f: [f(t) for q, t in zip(paths, texts) if q == p]
+        mean = lambda x: sum(x) / len(x)
+        length, marks = [mean(of(p, len)) for p in paths], [mean(of(p, lambda t: sum(c in ".,;:!?" for c in t))) for p in paths]
+        w = [np.exp(-0.5 * k * k) for k in range(-2, 3)]
+        smooth = lambda x: [sum(g * x[min(n - 1, max(0, i + k - 2))] for k, g in enumerate(w)) / sum(w) for i in range(n)]
+        a, b = smooth(length), smooth(marks)
+        fused = [min(a[i] * (1 + b[i]), length[i] * (1 + marks[i])) ** 0.5 for i in range(n)]
+        want = [mean([f for q, f in zip(paths, fused) if q == p]) for p in paths]
+        assert np.allclose(html.tag_path_scores(paths, texts), want)
+
+
+def test_odd_pages():
+    text = "Some text here, and more of it, indeed."
+    for page in (
+        "<script>for(i=0;i<n;i++){}</script><article><p>{}", "<script>if (a<b) x('<p>')</SCRIPT ><p>{}", "<script>if(a</b/.test(c)){}</script><p>{}", "<style>a<b{}</style><p>{}", "<head><title>t</title><p>{}", "<p title='it>{}</p>",
+        "<textarea>a <b> c</textarea><p>{}</p>", "<!--><p>{}</p>", "<!-- <p>no</p> --!><p>{}", "<svg><text>no</text></svg><p>{}", "<select><option>no</select><p>{}", "<p data-class=nav title='class=menu'>{}",
+    ):
+        assert html.main_text(page.replace("{}", text)) == text, page
+    assert html.main_text("<p>Let <math><mi>x</mi></math> be a number, which is so.") == "Let x be a number, which is so."
+    a, b, c = (" ".join([f"Words of the {k} part, which go on."] * 6) for k in ("first", "second", "third"))
+    assert html.main_text(f"<article><p>{a}<p class=notice-of-award>{b}<div class=legal>{c}</div><div class=comments><p>{a}</div></article>") == "\n".join([a, b, c])
+    assert html.main_text("<div>" * 100_000 + text + "</div>" * 100_000) == text
+    assert html.main_text("<b>" * 50_000 + text + "</i>" * 50_000) == text
+
+
 def test_names_are_only_signs_of_furniture():
     say = lambda n, word: " ".join(f"Sentence {k} of the {word}, which goes on for a while, has marks." for k in range(n))
     menu, foot = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<footer>All rights reserved, every one.</footer>"
@@ -158,6 +209,36 @@ def test_attention_gradients():
             m.p[k][at] += 1e-6
 
 
+def test_attention_finds_the_bad_passage():
+    r = random.Random(7)
+    good = lambda: " ".join(r.choice(["the", "sea", "and", "its", "calm", "weather", "of", "old"]) for _ in range(quality.PASSAGE))
+    bad = lambda: " ".join(r.choice(["$$%", "&&&", "!!", "#a#", "%%"]) for _ in range(quality.PASSAGE))
+    rows = []
+    for _ in range(150):
+        passages = [good() for _ in range(r.randint(3, 8))]
+        rows.append((" ".join(passages), 1))
+        passages[r.randrange(len(passages))] = bad()
+        rows.append((" ".join(passages), 0))
+    m = quality.AttentionMIL().fit(rows[:200])
+    found = 0
+    for text, y in rows[200:]:
+        score, most, at = (x[0] for x in m.score([text]))
+        assert (score >= 0.5) == bool(y)
+        if not y:
+            words = text.split(" ")
+            n = len(words) / quality.PASSAGE
+            found += "&&&" in words[at * quality.PASSAGE : (at + 1) * quality.PASSAGE] and most > 1.5 / n
+    assert found >= 45  # of 50
+
+
+def test_passages():
+    assert [len(quality.encode([t])[0]) for t in ("", "a\nb " * 64, "\n".join("a" * 130), "x" * 200_000)] == [1, 3, 3, 4]
+    texts = ["one two", "a b c " * 500, "", "é" * 5000]
+    x, starts = quality.encode(texts)
+    for k, t in enumerate(texts):
+        assert np.allclose(quality.encode([t])[0], x[starts[k] : (list(starts) + [len(x)])[k + 1]])
+
+
 def test_lexicon_automaton():
     def osa(a, b):
         d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
@@ -169,8 +250,9 @@ def test_lexicon_automaton():
         return d[len(a) - 1, len(b) - 1]
 
     terms, r = ["stupid", "idiot", "disgusting", "scum"], random.Random(2)
-    lexicon = toxicity.Lexicon(terms, ["lowe"])
-    assert lexicon.match("loweall") == ("lowe*", 0)
+    lexicon = toxicity.Lexicon(terms, ["lowe", "vequa"])
+    assert lexicon.match("loweall") == ("lowe*", 0) and lexicon.match("loewall") is None
+    assert lexicon.match("vequall") == ("vequa*", 0) and lexicon.match("vequuall") == ("vequa*", 1) and lexicon.match("veuqall") == ("vequa*", 1)
     for _ in range(3000):
         w = list(r.choice(terms))
         for _ in range(r.randint(0, 3)):
@@ -182,9 +264,56 @@ def test_lexicon_automaton():
         assert lexicon.match(w) == ((min(fits)[1], min(fits)[0]) if fits else None), w
 
 
-def test_quotation_counts_less():
-    m = toxicity.ToxicityModel([(f"you are an idiot {i}", 1) for i in range(9)] + [(f"a fine day {i}", 0) for i in range(9)])
-    assert m.score("you idiot")[0] > 0.7 > m.score("she said: “idiot” is a word")[0] and m.score("")[0] < 0.1
+def test_each_part_of_toxicity_changes_predictions(monkeypatch):
+    toxic = [f"you are an idiot {i}" for i in range(30)] + [f"such scum again {i}" for i in range(30)] + [f"all vequ{a}{b} here" for a in "abcdef" for b in "uvwxyz"]
+    clean = [f"a fine day {i}, all here" for i in range(60)] + [f"such weather again, said the sea {i}" for i in range(60)]
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in clean]
+    m = toxicity.ToxicityModel(rows)
+    assert m.terms == ["idiot", "scum"] and m.stems == ["vequ"]  # no accidental words
+    flagged = lambda t: m.score(t)[0] >= 0.7
+    quoted = ["she said: “idiot” is a word", 'the word "scum" has four letters']
+    misspelt = ["you idoit", "an idiiot he is", "you sccum", "you scm"]
+    assert all(map(flagged, ["what an idiot", "vequzz", *misspelt])) and not any(map(flagged, [*quoted, "", "the sum of it", "some clean words"]))
+    assert all(flagged(t.replace("“", "").replace("”", "").replace('"', "").replace("said", "").replace("the word", "")) for t in quoted)  # quotation marks decide
+    assert not flagged("a scm file") and flagged("you scm")  # who is addressed decides
+    monkeypatch.setattr(toxicity, "edits_for", lambda term: 0)
+    m = toxicity.ToxicityModel(rows)
+    assert not any(map(flagged, misspelt)) and flagged("what an idiot")  # edits decide
+
+
+def plain_language(text, profiles):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not words:
+        return "und", None
+    line = " " + " ".join(words) + " "
+    grams = Counter(c for c in line if c != " ") + Counter(line[i : i + 2] for i in range(len(line) - 1)) + Counter(g for i in range(len(line) - 2) if (g := line[i : i + 3])[1] != " ")
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    top = sorted((-n, code(g)) for g, n in grams.items())[: langid.TOP]
+    far = {}
+    for lang, profile in profiles.items():
+        rank = {g: k for k, g in enumerate(profile)}
+        far[lang] = sum(min(abs(rank[g] - k), langid.PROFILE) if g in rank else langid.PROFILE for k, (_, g) in enumerate(top))
+    return min(far, key=lambda x: (far[x], x)), far
+
+
+def test_language_by_plain_ranks_and_distances(docs):
+    profiles = langid.fit_profiles(docs)
+    ranks = {lang: [int(c) for _, c in sorted((k, c) for c, k in zip(profiles.codes, profiles.ranks[:, i]) if k >= 0)] for i, lang in enumerate(profiles.langs)}
+    texts = [r["text"] or "" for r in docs.collect()] + ["", "12 !?", "呡" * 50, "a呡b שלום мир", "é" * 9]
+    assert all(profiles.identify(t)[0] == plain_language(t, ranks)[0] for t in texts)
+    train: dict = {}
+    for r in docs.where("lang is not null").collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            code, n = langid.ngrams(r["text"] or "")
+            train.setdefault(r["lang"], Counter()).update(dict(zip(code.tolist(), n.tolist())))
+    assert ranks == {lang: [c for _, c in sorted((-n, c) for c, n in count.items())[: langid.PROFILE]] for lang, count in train.items()}
+
+
+def test_scripts_do_not_collide():
+    code = lambda t: set(langid.ngrams(t)[0].tolist())
+    for a, b in (("a", "呡"), ("ab", "呡呢"), ("ы", "K"), ("a", "𐑡")):
+        assert not code(a) & code(b)
+    assert langid.RankProfiles({"en": sorted(code("a"))}).identify("呡")[1] < 0.2
 
 
 def test_language(spark, odd):
@@ -347,7 +476,13 @@ def test_leaks_in_blocks_and_removal(spark, odd, bench):
     assert (of[4]["n_hit"], of[4]["n_items"]) == (2, 1) and of[None]["n_hit"] == 4 and of[None]["n_items"] == 0 and of[1]["n_words"] == 0
     clean = {r["doc_id"]: r for r in decontam.remove_leaks(odd, bench).collect()}
     assert clean[4]["text"] == "same  twice" and clean[1]["text"] is None and clean[4]["source"] == "s"
-    assert decontam.find_leaks(odd.limit(0), bench).count() == 0
+    assert decontam.find_leaks(odd.limit(0), bench).count() == 0 and decontam.find_leaks(odd, bench.limit(0)).where("n_words = 4 and size(items) = 0").count() == 4
+    clash = odd.withColumnsRenamed({"score": "n_words", "size": "spans", "source": "items"}).withColumn("row", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("__loom_text", F.lit(3))
+    clean = decontam.remove_leaks(clash, bench)
+    assert clean.columns == clash.columns and {(r["doc_id"], r["n_words"], r["text"]) for r in clean.collect() if r["doc_id"] == 4} == {(4, None, "same  twice")}
+    assert decontam.remove_leaks(odd.select("text"), bench, block_words=1).count() == len(ODD)
+    with pytest.raises(ValueError):
+        decontam.find_leaks(clash, bench, keep=("doc_id", "n_words"))
 
 
 @pytest.mark.parametrize("run", [lambda d: tokens.token_counts(d, VOCABULARY), media.media_digests, lambda d: html.extract_main_text(d, ("doc_id",), "text"), lambda d: quality.score_quality(d, quality.AttentionMIL()), lambda d: toxicity.score_toxicity(d, toxicity.ToxicityModel([])), lambda d: lattice.lattice_scores(d, PIECES)])
@@ -369,12 +504,76 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
-def test_dedup_stage_tells_rows_of_one_id_apart(spark, sf):
+def union_find(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels, bench = spark.read.parquet(f"{sf}/labels.parquet"), [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    model = quality.fit_quality(docs, labels)
+    rows = [r.asDict() for r in docs.collect()]
+    rows = [r for r in rows if model.score([r["text"] or ""])[0][0] >= P.QUALITY_FROM]
+    kept = spark.createDataFrame([tuple(r[c] for c in P.COLUMNS) for r in rows], docs.schema)
+    profiles = langid.fit_profiles(kept)
+    rows = [r for r in rows if (f := profiles.identify(r["text"] or ""))[0] != "und" and f[1] >= P.LANGUAGE_FROM]
+    fps = [simhash.fingerprint(r["text"] or "") for r in rows]
+    root = union_find(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    least: dict = {}
+    for r, k in zip(rows, root):
+        if k not in least or r["doc_id"] < least[k]["doc_id"]:
+            least[k] = r
+    rows = list(least.values())
+    for r, (_, n_hit, _) in zip(rows, brute_leaks([r["text"] for r in rows], bench)):
+        if n_hit:
+            w, windows = decontam.words_of(r["text"]), set()
+            for _, t in bench:
+                b = decontam.words_of(t)
+                windows |= {tuple(b[a : a + 10]) for a in range(max(1, len(b) - 9))} if b else set()
+            hit = {q for n in {len(x) for x in windows} for a in range(len(w) - n + 1) if tuple(w[a : a + n]) in windows for q in range(a, a + n)}
+            left = [x for q, x in enumerate(w) if q not in hit]
+            r["words"] = left
+    want = {r["doc_id"]: r.get("words") for r in rows}
+    got = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, got, sf)
+    found = got.collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(want)
+    assert all(want[r["doc_id"]] is None or decontam.words_of(r["text"]) == want[r["doc_id"]] for r in found)
+    keys = {r["doc_id"]: r["key"] for r in got.select("doc_id", mixing.exponential_key(mixing.text_quality("text"), "doc_id", "text").alias("key")).collect()}
+    mixed = {r["doc_id"]: r for r in mixing.mix(got).collect()}
+    for source in {r["source"] for r in mixed.values()}:
+        mine = sorted((r for r in mixed.values() if r["source"] == source), key=lambda r: keys[r["doc_id"]])
+        size, words = sum(r["size"] for r in mine), round(mine[0]["target"])
+        epochs, rest = divmod(words, size) if size else (0, 0)
+        for r in mine:
+            assert r["taken"] == epochs * r["size"] + min(r["size"], rest)
+            rest -= min(r["size"], rest)
+    assert {r["doc_id"]: r["taken"] for r in P.run(spark, sf).collect()} == {k: r["taken"] for k, r in mixed.items() if r["taken"] > 0}
+
+
+def test_dedup_stage_tells_rows_apart(spark, sf):
     import corpus_pipeline
 
     say = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=60))
-    a, b, c, d = map(say, range(4))
-    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, d), (4, d), (5, b), (None, say(9)), (6, say(10))]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    a, b, c, d, e = map(say, range(5))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, d), (4, d), (5, b), (None, e), (None, e), (None, a), (6, say(10)), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs, sf).collect()]
-    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, say(9)), (6, say(10))], key=str)
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, e), (6, say(10)), (7, None)], key=str)
+    clash = docs.withColumns({"fp": F.lit(1), "row": F.lit(2), "number": F.lit(3), "least": F.lit(4)})
+    one = simhash.keep_one(clash)
+    assert one.columns == clash.columns and one.count() == 7 and simhash.keep_one(clash.limit(0)).count() == 0
