@@ -116,3 +116,22 @@ def may_follow(old, new) -> Column:
     for a, others in STATES.items():
         out = out | ((col(old) == a) & col(new).isin(*others)) if others else out
     return F.coalesce(out, F.lit(False))
+
+
+def fit_budget(rows: DataFrame, budget: int, by: str, order: str, size: str) -> DataFrame:
+    """(by, kept, used): items in order, each taken if it still fits into the budget; one that does not is skipped and the rest tried on.
+
+    A fold over the group's ordered array within one row: sizes and keys only travel, not texts. Null sizes count 0.
+    """
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))))
+    kind = rows.schema[order].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
+    step = lambda s, x: F.when(s["used"] + x["n"] <= budget, F.struct((s["used"] + x["n"]).alias("used"), F.concat(s["kept"], F.array(x["o"])).alias("kept"))).otherwise(s)
+    return rows.groupBy(by).agg(items.alias("__i")).withColumn("__f", F.aggregate("__i", start, step)).select(by, F.col("__f.kept").alias("kept"), F.col("__f.used").alias("used"))
+
+
+def summary_by(rows: DataFrame, column: str, value: str = "value") -> DataFrame:
+    """(by, label, calls, total) grouped by a column chosen by name; an unknown name is an error before anything runs."""
+    if column not in rows.columns:
+        raise ValueError(f"no column {column} to group by")
+    return rows.groupBy(F.col(column).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("calls"), F.sum(value).alias("total")).select(F.lit(column).alias("by"), "label", "calls", "total")

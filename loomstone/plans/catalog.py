@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import knowledge, relational, search, streams, text
+from . import knowledge, lifecycle, relational, search, streams, text, texts
 
-MODULES = (relational, text, search, knowledge, streams)
+MODULES = (relational, text, texts, search, knowledge, lifecycle, streams)
 
 
 def queries() -> dict:

@@ -70,3 +70,31 @@ def migrate(spark: SparkSession, source: dict[str, str], target: str, rules: dic
         except Exception as e:  # one table's failure leaves the others whole
             status[name] = f"failed: {e}"
     return status
+
+
+def schema_of(df: DataFrame) -> DataFrame:
+    """(name, kind) of a table's columns in order."""
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "name string, kind string")
+
+
+def key_of(name: str, df: DataFrame) -> DataFrame:
+    """One row (name, key, holds): the key is the column `id`, else the first one; whether it is unique."""
+    key = "id" if "id" in df.columns else df.columns[0]
+    return df.agg(F.lit(name).alias("name"), F.lit(key).alias("key"), (F.count(F.lit(1)) == F.countDistinct(key)).alias("holds"))
+
+
+def property_keys(df: DataFrame, label: str, props: str) -> DataFrame:
+    """(label, key): which properties, in a JSON text, the rows of each label have."""
+    return df.select(F.col(label).alias("label"), F.explode(F.json_object_keys(props)).alias("key")).distinct()
+
+
+def property_sample(df: DataFrame, label: str, key: str, props: str) -> DataFrame:
+    """(label, sampled, kind): the schema of one row's properties of each label, that of the smallest key."""
+    first = df.where(F.col(props).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(props).alias("p")), key).alias("s"))
+    return first.select("label", F.col("s.k").alias("sampled"), F.transform(F.json_object_keys("s.p"), lambda k: k).alias("kind"))
+
+
+def verified(name: str, found: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row (name, found, whole): rows of a sink, and whether they are as many as expected."""
+    n = expected.agg(F.count(F.lit(1)).alias("__n"))
+    return found.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("found")).join(F.broadcast(n)).select("name", "found", (F.col("found") >= F.col("__n")).alias("whole"))
