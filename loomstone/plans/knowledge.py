@@ -70,7 +70,10 @@ def d14(spark, d):
     return _pairs(spark, d).select("k", "a", "b", entities.match_rule("a", "b")["rule"].alias("rule"))
 
 
-@R.frame("X16_metric_names", "SELECT o_orderkey, o_orderkey % 2 = 0 AS metric FROM orders")
+_METRIC_NAMES = "CASE o_orderkey % 4 WHEN 0 THEN price || '亿元' WHEN 2 THEN price || ' %' WHEN 1 THEN o_orderpriority ELSE 'Order ' || price END"
+
+
+@R.frame("X16_metric_names", f"SELECT o_orderkey, regexp_matches(name, '^[0-9,.]+\\s*(%|[万亿]元|[万亿]?股|[万亿千百十]+[元股人]?)$') AS metric FROM (SELECT o_orderkey, {_METRIC_NAMES} AS name FROM (SELECT *, format('{{:,.2f}}', o_totalprice) AS price FROM orders))")
 def x16(spark, d):
     price = F.format_number("o_totalprice", 2)
     name = F.when(F.col("o_orderkey") % 4 == 0, F.concat(price, F.lit("亿元"))).when(F.col("o_orderkey") % 4 == 2, F.concat(price, F.lit(" %"))).when(F.col("o_orderkey") % 4 == 1, F.col("o_orderpriority")).otherwise(F.concat(F.lit("Order "), price))
@@ -324,34 +327,42 @@ def r6(spark, d):
     return context.keyword_rescore(hits).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-_LENGTHS = "l AS (SELECT q.vec_id AS query_id, d.doc_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY length(coalesce(d.text, '')) DESC, d.doc_id) AS rank FROM embeddings q JOIN documents d ON d.doc_id % 50 = q.vec_id % 7 WHERE q.vec_id % 50 = 0 QUALIFY rank <= 20)"
+# A query's text is the beginning of the document of its number; its lexical list is over all documents.
+_TOK = "list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_LEXICAL = f"""wd AS MATERIALIZED (SELECT doc_id, {_TOK.format("coalesce(text, '')")} AS words FROM documents), ps AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM wd) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT vec_id AS query_id, unnest({_TOK.format("array_to_string(string_split(text, ' ')[1:8], ' ')")}) AS term FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0) GROUP BY ALL),
+st AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM wd), df AS (SELECT term, count(*) AS df FROM ps GROUP BY term),
+bs AS (SELECT query_id, doc_id AS id, round(sum(greatest(0, ln(1 + (docs - df + 0.5) / (df + 0.5))) * times * tf / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))), 6) AS score FROM ps JOIN qt USING (term) JOIN df USING (term) JOIN wd USING (doc_id), st GROUP BY ALL),
+l AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bs) WHERE rank <= 20)"""
 
 
-def _longest(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 7).alias("block"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("block"), F.length(F.coalesce("text", F.lit(""))).alias("score"))
-    return retrieval.ranked(docs.join(q, "block"), ["query_id"]).where("rank <= 20").select("query_id", "id", "rank")
+def _lexical(spark, d):
+    docs = table(spark, d, "documents")
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")).join(docs, F.col("doc_id") == F.col("query_id"))
+    queries = asked.select("query_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+    scores = retrieval.bm25(docs, queries).withColumn("score", F.round("score", 6))
+    return retrieval.ranked(scores, ["query_id"]).where("rank <= 20").select("query_id", "id", "rank")
 
 
-_FUSED = f"{_KNN}, {_LENGTHS}, f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM k UNION ALL SELECT query_id, id, rank FROM l) GROUP BY 1, 2)"
+_FUSED = f"{_KNN}, {_LEXICAL}, f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM k UNION ALL SELECT query_id, id, rank FROM l) GROUP BY 1, 2)"
 
 
 @R.frame("R13_hybrid_search", f"WITH {_FUSED}, a AS (SELECT query_id, id, score * exp(-ln(2) / 30 * (id % 40)) AS score FROM f JOIN documents ON doc_id = id) SELECT query_id, id, round(score, 9) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS place FROM a) WHERE place <= 10")
 def r13(spark, d):
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 40).cast("double").alias("age"))
-    return context.hybrid_search(_longest(spark, d), _nearest(spark, d), texts, 10, "age").withColumn("score", F.round("score", 9))
+    return context.hybrid_search(_lexical(spark, d), _nearest(spark, d), texts, 10, "age").withColumn("score", F.round("score", 9))
 
 
 @R.frame("R10_fusion_quality", f"WITH {_FUSED} SELECT query_id, (least(count(*), 10) / 10.0)::DOUBLE AS filled, count(DISTINCT id) AS distinct_items, count(*) AS fused FROM f GROUP BY query_id")
 def r10(spark, d):
-    lists = _longest(spark, d).withColumn("list", F.lit("length")).unionByName(_nearest(spark, d).select("query_id", "id", "rank", F.lit("vector").alias("list")))
+    lists = _lexical(spark, d).withColumn("list", F.lit("lexical")).unionByName(_nearest(spark, d).select("query_id", "id", "rank", F.lit("vector").alias("list")))
     return context.fusion_quality(retrieval.reciprocal_rank_fusion(lists, by=("query_id",)), lists)
 
 
-@R.frame("R9_weighted_rrf", f"WITH {_KNN}, {_LENGTHS} SELECT query_id, id, round(sum(score), 9) AS score FROM (SELECT query_id, id, 0.75 / (60 + rank) AS score FROM k UNION ALL SELECT query_id, id, 0.25 / (60 + rank) FROM l) GROUP BY 1, 2")
+@R.frame("R9_weighted_rrf", f"WITH {_KNN}, {_LEXICAL} SELECT query_id, id, round(sum(score), 9) AS score FROM (SELECT query_id, id, 0.75 / (60 + rank) AS score FROM k UNION ALL SELECT query_id, id, 0.25 / (60 + rank) FROM l) GROUP BY 1, 2")
 def r9(spark, d):
-    lists = _longest(spark, d).withColumn("list", F.lit("length")).unionByName(_nearest(spark, d).select("query_id", "id", "rank", F.lit("vector").alias("list")))
-    return retrieval.reciprocal_rank_fusion(lists, weights={"vector": 3, "length": 1}, by=("query_id",)).select("query_id", "id", F.round("score", 9).alias("score"))
+    lists = _lexical(spark, d).withColumn("list", F.lit("lexical")).unionByName(_nearest(spark, d).select("query_id", "id", "rank", F.lit("vector").alias("list")))
+    return retrieval.reciprocal_rank_fusion(lists, weights={"vector": 3, "lexical": 1}, by=("query_id",)).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @R.frame("R20_relevant_communities", "WITH v AS (SELECT s_nationkey AS query_id, s_suppkey AS id FROM supplier WHERE s_acctbal > 8000), t AS (SELECT c_nationkey AS query_id, c_custkey AS id FROM customer WHERE c_acctbal > 9500), f AS (SELECT n_nationkey AS query_id, n_regionkey AS id FROM nation) SELECT query_id, CAST(id AS BIGINT) AS id, 1 AS tier FROM v UNION ALL SELECT query_id, id, 2 FROM t WHERE query_id NOT IN (SELECT query_id FROM v) UNION ALL SELECT query_id, id, 3 FROM f WHERE query_id NOT IN (SELECT query_id FROM v) AND query_id NOT IN (SELECT query_id FROM t)")

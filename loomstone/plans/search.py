@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import graph, retrieval
+from ..sources.tables import written
 from .registry import Registry, table
 
 R = Registry()
@@ -39,9 +39,9 @@ def bm25_index(spark, d):
     return retrieval.postings(table(spark, d, "documents"), "doc_id", "text")
 
 
-@R.frame("K3_top_bm25")
+@R.frame("K3_top_bm25", f"{_BM25} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM b) WHERE rank <= 10")
 def bm25_top(spark, d):
-    scores = retrieval.bm25(table(spark, d, "documents"), _queries(spark, d))
+    scores = retrieval.bm25(table(spark, d, "documents"), _queries(spark, d)).withColumn("score", F.round("score", 6))
     return retrieval.ranked(scores, ["query_id"]).where("rank <= 10")
 
 
@@ -57,13 +57,15 @@ def vector_knn(spark, d):
 @R.frame("F18_vector_threshold", f"{_KNN} SELECT query_id, id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.35")
 def vector_threshold(spark, d):
     e, q = _vectors(spark, d)
-    return retrieval.knn(e, q, 1 << 30, 0.35).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return retrieval.similarities(e, q, 0.35).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@R.frame("R7_rrf")
+@R.frame("R7_rrf", f"{_BM25}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM b), o AS (SELECT source, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents WHERE source IN (SELECT 'src' || unnest(range(20)))), "
+         "t AS (SELECT item_id AS query_id, id, rank FROM benchmark JOIN o ON source = 'src' || item_id % 20 WHERE rank <= 20) SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM r WHERE rank <= 20 UNION ALL SELECT * FROM t) GROUP BY 1, 2")
 def rrf(spark, d):
     docs = table(spark, d, "documents")
-    lexical = retrieval.ranked(retrieval.bm25(docs, _queries(spark, d)), ["query_id"]).where("rank <= 20").select("query_id", "id", "rank", F.lit("bm25").alias("list"))
+    scored = retrieval.bm25(docs, _queries(spark, d)).withColumn("score", F.round("score", 6))
+    lexical = retrieval.ranked(scored, ["query_id"]).where("rank <= 20").select("query_id", "id", "rank", F.lit("bm25").alias("list"))
     # A query's second list depends on its source only: each source is ranked once, and its 20 rows meet all its queries.
     wanted = docs.where(F.col("source").isin([f"src{k}" for k in range(20)])).select("source", F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"))
     longest = retrieval.ranked(wanted, ["source"]).where("rank <= 20").select("source", "id", "rank")
@@ -83,10 +85,8 @@ _EDGES = "e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN e
 
 
 def similar(spark, d):
-    """Edges between vectors of one label with cosine of at least 0.3; the label is the block of the join."""
-    e = table(spark, d, "embeddings")
-    a, b = (e.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"v_{n}"), "label") for n in ("src", "dst"))
-    return a.join(b, "label").where("src < dst").withColumn("weight", C.cosine("v_src", "v_dst")).where("weight >= 0.3").select("src", "dst", "weight")
+    """Edges between vectors of one label with cosine of at least 0.3, written once for all that read them."""
+    return written(retrieval.vector_links(table(spark, d, "embeddings"), 0.3, "label"))
 
 
 @R.frame("D6_vector_clusters", f"WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS root FROM u UNION SELECT u.dst, r.root FROM r JOIN u ON u.src = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
@@ -121,9 +121,9 @@ def community_detection(spark, d):
     return graph.communities(graph.undirected(similar(spark, d)))
 
 
-@R.frame("J28_center_subgraph", f"WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT vec_id AS node, 0 AS hops FROM embeddings WHERE vec_id % 100 = 0 UNION SELECT u.dst, h.hops + 1 FROM h JOIN u ON u.src = h.node WHERE h.hops < 3) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM h GROUP BY node")
+@R.frame("J28_center_subgraph", f"WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT vec_id AS node, 0 AS hops FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT u.dst, h.hops + 1 FROM h JOIN u ON u.src = h.node WHERE h.hops < 3) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM h GROUP BY node")
 def center(spark, d):
-    return graph.hops(similar(spark, d), table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("node")), 3)
+    return graph.hops(similar(spark, d), table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("node")), 3)
 
 
 @R.frame("D9_merge_chains", "WITH RECURSIVE m AS (SELECT l_orderkey AS id, max(l_partkey) AS t FROM lineitem GROUP BY 1 HAVING max(l_partkey) < l_orderkey), r AS (SELECT id, t FROM m UNION SELECT r.id, m.t FROM r JOIN m ON m.id = r.t) SELECT id AS item, min(t) AS final FROM r GROUP BY id UNION SELECT t, t FROM m WHERE t NOT IN (SELECT id FROM m)")

@@ -23,7 +23,36 @@ def sliding(spark, d):
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "event_type", "calls")
 
 
-@R.frame("Y5_dedup_stream", "SELECT count(DISTINCT user_id * 10 + length(event_type)) AS kept FROM events")
+@R.frame("Y5_dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def dedup(spark, d):
-    e = windows.event_stream(spark, f"{d}/events.parquet").withColumn("k", F.col("user_id") * 10 + F.length("event_type"))
-    return windows.run_once(windows.first_of_key(e, ["k"], "3650 days"), "append").agg(F.count(F.lit(1)).alias("kept"))
+    e = windows.event_stream(spark, f"{d}/events.parquet")
+    return windows.run_once(windows.first_of_key(e, ["user_id", "event_type"], "3650 days"), "append").select("user_id", "event_type")
+
+
+@R.frame("Y10_session_stream", "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g) SELECT user_id, min(ts) AS began, count(*) AS calls FROM s GROUP BY user_id, n")
+def sessions(spark, d):
+    found = windows.run_once(windows.sessions(windows.event_stream(spark, f"{d}/events.parquet")), "complete")
+    return found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("began"), "calls")
+
+
+_CLOSED = "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, event_type, count(*) AS calls FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1, 2"
+
+
+@R.frame("Y4_window_close", _CLOSED)
+def closed(spark, d):
+    """Hours that the watermark has passed come out once, when they close; open ones do not."""
+    found = windows.run_once(windows.hourly(windows.event_stream(spark, f"{d}/events.parquet")), "append")
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "event_type", "calls")
+
+
+@R.frame("Y3_late_bound", f"SELECT bucket, sum(calls) AS calls FROM ({_CLOSED}) GROUP BY bucket".replace("sum(calls)", "CAST(sum(calls) AS BIGINT)"))
+def late_bound(spark, d):
+    """Calls of the hours whose state has gone."""
+    return closed(spark, d).groupBy("bucket").agg(F.sum("calls").alias("calls"))
+
+
+@R.frame("Y6_near_state")
+def near_state(spark, d):
+    """Events with a fingerprint near to an earlier one's within an hour."""
+    e = windows.event_stream(spark, f"{d}/events.parquet").select(F.col("event_id").alias("id"), "ts", F.xxhash64("event_type", F.floor("value")).alias("fp"))
+    return windows.run_once(windows.near_seen(e, keep="1 hours"), "append").groupBy("id").agg(F.max("near").alias("near"))

@@ -44,9 +44,10 @@ def x12(spark, d):
     return table(spark, d, "documents").select("doc_id", C.script_of("text").alias("script"))
 
 
-@R.frame("X20_token_estimate", "SELECT doc_id, CAST(floor(length(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE NOT regexp_matches(text, '[\\x{4e00}-\\x{9fff}]')")
+@R.frame("X20_token_estimate", "SELECT doc_id, CAST(len(regexp_extract_all(t, '[一-鿿]')) + (length(t) - len(regexp_extract_all(t, '[一-鿿]'))) // 4 AS BIGINT) AS tokens FROM (SELECT doc_id, repeat('中文 and 例', doc_id % 5) || text AS t FROM documents)")
 def x20(spark, d):
-    return table(spark, d, "documents").where(~F.col("text").rlike(r"[\x{4e00}-\x{9fff}]")).select("doc_id", C.token_estimate("text").alias("tokens"))
+    mixed = F.concat(F.expr("repeat('中文 and 例', CAST(doc_id % 5 AS INT))"), "text")
+    return table(spark, d, "documents").select("doc_id", C.token_estimate(mixed).alias("tokens"))
 
 
 @R.frame("X24_snippet", "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '…' ELSE text END AS snippet FROM documents")
