@@ -217,6 +217,12 @@ def match_rule(name, known, kind=None) -> Column:
     return out
 
 
+def canonical(name) -> Column:
+    """The name a fixed table gives for an alias, an abbreviation or a foreign spelling; else the name itself."""
+    group = {x: own for own, others in ALIASES.items() for x in others}
+    return F.coalesce(_lookup(group, col(name)), _lookup(ABBREVIATIONS, col(name)), _lookup(TRANSLATIONS, col(name)), col(name))
+
+
 def resolve(names: DataFrame, known: DataFrame, candidates: DataFrame | None = None, composed: bool = False) -> DataFrame:
     """(name, kind, entity, how, confidence): which known entity each distinct name means; entity null: a new one.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import discard, written
 
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = "weight") -> DataFrame:
@@ -112,3 +112,20 @@ def resolve_chains(merges: DataFrame, item: str = "id", into: str = "merged_into
             break
     firm = ends.select(F.col("item").alias("n2"), F.lit(True).alias("firm"))
     return up.join(firm, F.col("to") == F.col("n2"), "left").select("item", F.when(F.col("firm"), F.col("to")).alias("final"))
+
+
+def on_cycles(merges: DataFrame, item: str = "id", into: str = "merged_into") -> DataFrame:
+    """(id) of items that a chain of merges leads back to themselves.
+
+    Every item is followed as many steps as there are items, by doubling: whatever is reached then, and has a target, lies on a cycle.
+    """
+    step = written(merges.where(F.col(into).isNotNull()).select(F.col(item).alias("item"), F.col(into).alias("to")))
+    ends = step.select(F.col("to").alias("item")).join(step.select("item"), "item", "left_anti").distinct()
+    up = step.unionByName(ends.withColumn("to", F.col("item")))
+    last = None
+    for _ in range(max(1, step.count()).bit_length() + 1):
+        far = up.toDF("n2", "far")
+        up, old = written(up.join(far, F.col("to") == F.col("n2")).select("item", F.col("far").alias("to"))), last
+        discard(old)
+        last = up
+    return up.select(F.col("to").alias(item)).distinct().join(step.select(F.col("item").alias(item)), item, "left_semi")

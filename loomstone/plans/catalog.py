@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import knowledge, lifecycle, relational, search, streams, text, texts
+from . import knowledge, lifecycle, names, relational, search, streams, text, texts
 
-MODULES = (relational, text, texts, search, knowledge, lifecycle, streams)
+MODULES = (relational, text, texts, names, search, knowledge, lifecycle, streams)
 
 
 def queries() -> dict:
