@@ -50,11 +50,13 @@ def local_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def incremental_update(members: DataFrame, edges: DataFrame, waiting: DataFrame) -> DataFrame:
     """(node, before, after, change) when communities are found anew around waiting nodes only.
 
-    The affected communities' subgraph is clustered; a cluster that holds members keeps the community that most of them had (the smaller of
+    The affected communities' subgraph, with the edges among waiting nodes, is clustered; a cluster that holds members keeps the community that most of them had (the smaller of
     equal ones), and each community goes on in its largest cluster; other clusters are named by their smallest node. Nodes outside the
     subgraph are not touched.
     """
-    near = subgraph(members, edges, affected(waiting, members, edges))
+    mine = waiting.select("node").distinct()
+    among = edges.join(mine.withColumnRenamed("node", "src"), "src", "left_semi").join(mine.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
+    near = subgraph(members, edges, affected(waiting, members, edges)).select(*edges.columns).unionByName(among).distinct()
     nodes = near.select(F.col("src").alias("node")).unionByName(near.select(F.col("dst").alias("node"))).unionByName(waiting.select("node")).distinct()
     clusters = local_clusters(near, nodes)
     old = nodes.join(members, "node", "left").select("node", F.col("community").alias("before"))

@@ -72,16 +72,17 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0,
     return whole.select(F.coalesce(q, F.lit(0.0)).alias("modularity"))
 
 
-def communities(edges: DataFrame, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 200, resolution: float = 1.0) -> DataFrame:
     """(node, community) by parallel local moving on modularity gain.
 
     Each round every node looks at its neighbours' communities; the best positive gain wins (ties: the smaller name), and only nodes
-    of one of two hash classes move in a round, so that two neighbours do not swap for ever. Deterministic.
+    of one of some hash classes move in a round, so that two neighbours do not swap for ever; the classes grow in number with the rounds. It
+    ends when no node would gain by a move: a local optimum. Deterministic. rounds is a guard: an error says that it was not enough.
     """
     e = written(both_ways(edges.select("src", "dst", "weight")))
     k = written(e.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "node"))
     two_m = k.agg(F.sum("k")).first()[0] or 1.0
-    state = written(k.withColumn("community", F.col("node")))
+    state, before = written(k.withColumn("community", F.col("node"))), None
     for r in range(rounds):
         total = state.groupBy("community").agg(F.sum("k").alias("tot"))
         near = e.join(state.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w")).withColumnRenamed("src", "node")
@@ -91,12 +92,15 @@ def communities(edges: DataFrame, rounds: int = 8, resolution: float = 1.0) -> D
         gain = F.round(F.col("w") - F.lit(resolution) * F.col("k") * inside / F.lit(two_m), 9)
         stay = F.when(F.col("community") == F.col("own"), 1).otherwise(0)
         best = options.groupBy("node", "k", "own").agg(F.max_by("community", F.struct(gain, stay, -F.col("community"))).alias("best"))
-        moves = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
-        state = written(best.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("community"), (moves & (F.col("best") != F.col("own"))).alias("moved")))
-        if r % 2 and not state.where("moved").take(1):
-            break
-        state = state.drop("moved")
-    return state.select("node", "community")
+        classes = 2 + r // 8
+        moves = F.pmod(F.xxhash64("node", F.lit(r // classes)), F.lit(classes)) == r % classes
+        state = written(best.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("community"), (F.col("best") != F.col("own")).alias("wants")))
+        discard(before)
+        before = state
+        if not state.where("wants").take(1):
+            return state.select("node", "community")
+        state = state.drop("wants")
+    raise RuntimeError(f"nodes would still move after {rounds} rounds")
 
 
 def resolve_chains(merges: DataFrame, item: str = "id", into: str = "merged_into", rounds: int = 40) -> DataFrame:

@@ -173,7 +173,7 @@ def rebuild(spark, d):
 
 
 _INCREMENT = f"""WITH RECURSIVE {_G}, {_M}, w AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 10 = 0), near AS (SELECT node FROM w UNION SELECT u.dst FROM u JOIN w ON w.node = u.src), aff AS (SELECT DISTINCT community FROM m JOIN near USING (node)),
-ins AS (SELECT node FROM m JOIN aff USING (community)), sub AS (SELECT src, dst FROM g WHERE src IN (SELECT node FROM ins) OR dst IN (SELECT node FROM ins)),
+ins AS (SELECT node FROM m JOIN aff USING (community)), sub AS (SELECT src, dst FROM g WHERE src IN (SELECT node FROM ins) OR dst IN (SELECT node FROM ins) OR (src IN (SELECT node FROM w) AND dst IN (SELECT node FROM w))),
 nodes AS (SELECT src AS n FROM sub UNION SELECT dst FROM sub UNION SELECT node FROM w), e AS (SELECT src, dst FROM sub UNION SELECT dst, src FROM sub), {_ROOTS},
 o AS (SELECT n AS node, m.community AS before FROM nodes LEFT JOIN m ON m.node = n), v AS (SELECT component, before, count(*) AS k FROM c JOIN o USING (node) WHERE before IS NOT NULL GROUP BY 1, 2),
 h AS (SELECT before, component, k FROM (SELECT *, row_number() OVER (PARTITION BY before ORDER BY k DESC, component) AS q FROM v) WHERE q = 1), nm AS (SELECT component, before AS name FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY k DESC, before) AS q FROM h) WHERE q = 1),

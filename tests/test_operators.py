@@ -5,7 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from loomstone.functions import columns as C
-from loomstone.operators import context, entities, graph, health, memory, retrieval
+from loomstone.functions import texts as T
+from loomstone.operators import as_of, communities, context, entities, graph, health, intake, memory, retrieval
+from loomstone.plans import lifecycle, search, streams
+from loomstone.plans import texts as text_plans
 from loomstone.sources import tables
 
 
@@ -203,3 +206,146 @@ def test_r7_fuses_two_lists_for_every_query(spark, tmp_path):
     got = {(x["query_id"], x["id"]): x["score"] for x in catalog.queries()["R7_rrf"](spark, str(tmp_path)).collect()}
     assert {k for k in got if k[0] >= 40} and {q for q, _ in got} == {q for q, _ in items}
     assert all(abs(got.get(k, 0) - v) < 1e-8 for k, v in want.items()) and len(got) == len(want)
+
+
+def test_communities_are_a_local_optimum(spark, sf):
+    edges = graph.undirected(lifecycle._edges(spark, sf))
+    e = [(r["src"], r["dst"], r["weight"]) for r in edges.collect()]
+    of = {r["node"]: r["community"] for r in graph.communities(edges).collect()}
+    k, near, m = {}, {}, sum(w for *_, w in e)
+    for a, b, w in e:
+        for x, y in ((a, b), (b, a)):
+            k[x] = k.get(x, 0) + w
+            near.setdefault(x, {})[y] = w
+    total = {}
+    for x, c in of.items():
+        total[c] = total.get(c, 0) + k[x]
+    for x in of:  # no node gains by a move to a neighbour's community
+        gain = lambda c: sum(w for y, w in near[x].items() if of[y] == c) - k[x] * (total[c] - (k[x] if c == of[x] else 0)) / (2 * m)  # noqa: B023,E731
+        assert all(gain(of[y]) <= gain(of[x]) + 1e-6 for y in near[x])
+    assert len(set(of.values())) < len(of)
+
+
+def test_mmr_by_brute_force(spark, sf):
+    rows = search.QUERIES["R11_mmr"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = {r["doc_id"]: set(r["w"]) for r in docs.select("doc_id", C.tokens(F.coalesce("text", F.lit(""))).alias("w")).collect()}
+    scores = retrieval.ranked(retrieval.bm25(docs, search._queries(spark, sf)), ["query_id"]).where("rank <= 20")
+    pools = {}
+    for r in scores.collect():
+        pools.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    same = lambda a, b: len(words[a] & words[b]) / len(words[a] | words[b]) if words[a] | words[b] else 0.0
+    for query, pool in pools.items():
+        top, picked = max(s for _, s in pool), []
+        rest = sorted(pool, key=lambda x: (-x[1], x[0]))
+        while rest and len(picked) < 5:
+            value = lambda x: 0.7 * (x[1] / top if top > 0 else 0) - 0.3 * max((same(x[0], y) for y in picked), default=0.0)  # noqa: B023,E731
+            best = max(value(x) for x in rest)
+            chosen = next(x for x in rest if value(x) >= best - 1e-12)
+            picked.append(chosen[0])
+            rest.remove(chosen)
+        assert [r["id"] for r in sorted((r for r in rows if r["query_id"] == query), key=lambda r: r["place"])] == picked
+
+
+def test_budget_that_skips(spark, sf):
+    turns = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], len(r["text"] or "") // 4))
+    for r in lifecycle.QUERIES["W7_skipping_budget"](spark, sf).collect():
+        used, kept = 0, []
+        for t, n in sorted(turns[r["conv_id"]]):
+            if used + n <= 100:
+                used, kept = used + n, [*kept, t]
+        assert (r["kept"], r["used"]) == (kept, used)
+
+
+def test_titles_by_brute_force(spark, sf):
+    got = {r["id"]: int(r["fingerprint"], 16) for r in text_plans.QUERIES["D3_title_fingerprint"](spark, sf).collect()}
+    titles = {r["id"]: "".join(c for c in r["title"].lower() if c.isalnum()) for r in text_plans._titles(spark, sf).collect()}
+    grams = sorted({t[k : k + 4] for t in titles.values() for k in range(max(1, len(t) - 3))})
+    h = {r["g"]: r["h"] for r in spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    for i, t in titles.items():
+        hashes = [h[t[k : k + 4]] for k in range(max(1, len(t) - 3))] if t else []
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+    kept = []
+    for i in sorted(got):
+        if all((got[i] ^ got[j]).bit_count() > 3 for j in kept):
+            kept.append(i)
+    assert sorted(r["id"] for r in text_plans.QUERIES["D4_greedy_titles"](spark, sf).collect()) == kept
+
+
+def test_greedy_keep_is_in_order(spark):
+    fps = [0b0, 0b111, 0b111111, 0b1, -1]  # 0 drops 0b111 and 0b1; 0b111111 stays: it is near what went, not what stayed
+    rows = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, at int")
+    pairs = intake.near_pairs(rows)
+    kept = intake.greedy_keep(rows, pairs, graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "at")
+    assert sorted(r["fp"] for r in kept.collect()) == [-1, 0, 0b111111]
+
+
+def test_near_state_of_a_stream(spark, sf):
+    near = {r["id"]: r["near"] for r in streams.QUERIES["Y6_near_state"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.xxhash64("event_type", F.floor("value")).alias("fp")).orderBy("t", "event_id").collect()
+    seen = []
+    for r in rows:
+        assert near[r["event_id"]] == any(((r["fp"] ^ f) & (2**64 - 1)).bit_count() <= 3 and r["t"] // 1000 - t // 1000 <= 3_600_000 for f, t in seen)
+        seen.append((r["fp"], r["t"]))
+
+
+def test_vector_links_in_blocks(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    pairs = lambda rows: {(r["src"], r["dst"]): round(r["weight"], 9) for r in retrieval.vector_links(e, 0.3, "label", rows=rows).collect()}
+    whole, v = pairs(10**6), {r["vec_id"]: (r["label"], r["embedding"]) for r in e.collect()}
+    assert pairs(3) == whole
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for a, b in itertools.combinations(sorted(v), 2):
+        if v[a][0] == v[b][0]:
+            c = dot(v[a][1], v[b][1]) / math.sqrt(dot(v[a][1], v[a][1]) * dot(v[b][1], v[b][1]))
+            assert abs(c - 0.3) < 1e-9 or ((a, b) in whole) == (c >= 0.3)
+
+
+def test_text_functions_on_odd_values(spark):
+    assert one(spark, None, T.filled_by_script) is False and one(spark, "<div id='root'> </div>" + "x" * 600, T.filled_by_script) is True
+    assert one(spark, "One. Two three four", lambda x: T.truncate_at_sentence(x, 100)) == "One. Two three four"
+    assert one(spark, "a" * 39 + "." + "b" * 8 + " " * 40, lambda x: T.truncate_at_sentence(x, 11)) == "a" * 39 + "...."
+    assert one(spark, "a b c d e f g h i j k", lambda x: T.head_and_tail(x, 10)) == "a b c d e f g" + T.CUT_MARK + "i j k"
+    assert one(spark, "no time", T.parse_iso) is None and one(spark, None, T.parse_iso) is None
+    assert one(spark, "a::b::c::call::count", T.usage_field).asDict() == {"label": "a::b::c", "call_point": "call", "metric": "count"} and one(spark, "a::b", T.usage_field) is None
+    assert one(spark, "python.org", lambda x: T.name_uuid(x)) == "886313e1-3b8a-5372-9b90-0c9aee199e5d"
+    assert one(spark, "正文。来源：甲\n文章原文\n\n\n\n再见近期热门视频你会关注 x", T.strip_feed_noise) == "正文。\n\n再见"
+
+
+def test_as_of_and_cycles(spark):
+    rows = spark.createDataFrame([(1, 1, 10), (1, 1, 11), (1, 2, 12), (2, 5, 13)], "by int, s int, k int").withColumn("at", F.timestamp_seconds("s"))
+    assert {r["k"]: r["previous"] for r in as_of.previous(rows, "by", "at", "k").collect()} == {10: None, 11: None, 12: 11, 13: None}
+    merges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (7, 7)], "id int, merged_into int")
+    assert sorted(r["id"] for r in graph.on_cycles(merges).collect()) == [1, 2, 3, 7]
+
+
+def test_incremental_update_keeps_names(spark):
+    members = spark.createDataFrame([(1, 10), (2, 10), (3, 20), (4, 30), (9, 40)], "node int, community int")
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 5, 1.0), (3, 6, 1.0), (3, 4, 1.0), (7, 8, 1.0)], "src int, dst int, weight double")
+    waiting = spark.createDataFrame([(5,), (6,), (7,), (8,)], "node int")
+    changes = communities.incremental_update(members, edges, waiting)
+    assert {(r["node"], r["before"], r["after"]) for r in changes.collect()} == {(5, None, "10"), (6, None, "20"), (4, "30", "20"), (7, None, "new:7"), (8, None, "new:7")}
+    reports = spark.createDataFrame([(10, False), (20, False), (40, False)], "community int, stale boolean")
+    assert {r["community"]: r["stale"] for r in communities.mark_stale(members, changes, reports).collect()} == {"10": True, "20": True, "40": False}
+
+
+def test_batches_that_are_tried_again_are_written_once(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    assert streams.QUERIES["Y5_dedup_stream"](spark, sf).count() == e.select("user_id", "event_type").distinct().count()
+
+
+def test_no_local_folder_on_a_cluster():
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    import pytest
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Fake)
