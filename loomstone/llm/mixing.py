@@ -69,7 +69,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
 
     A source takes round(target) words exactly. Null text: size 0, taken 0. Null sources form one source. Equal rows tie: either
     may be the one that is cut. The texts are read once; what is shuffled has no text. Each source is cut into buckets of about
-    BUCKET_ROWS keys; bucket totals are prefix-summed first, so no task sorts a whole source.
+    BUCKET_ROWS keys; bucket totals are prefix-summed first, so no task sorts a whole source (one task sums a source's buckets: a million
+    of them are 4 * 10^9 rows).
     """
     key = exponential_key(text_quality(text_col) if quality is None else quality, id_col, text_col)
     rows = written(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), *[F.col(c).alias(f"__keep_{c}") for c in keep], word_count(text_col).alias("size"), key.alias("key")))

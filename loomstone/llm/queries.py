@@ -11,22 +11,28 @@ from .common import crc_mod, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact byte-level BPE counts of whole texts. Null: 0 bytes, 0 tokens; repeated rows and null ids each give a row; other columns do not matter."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as stored images and what is read back from them. Null: one row of 64 zeros; repeated rows and null ids each give a row."""
     return media.media_digests(table(spark, sf_dir, "documents"), form="pgm")
 
 
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of whole pages. Null or empty html: "" and 0; repeated rows each give a row."""
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document. Null text: size 0; null sources are one source, last; equal rows tie, either may be cut."""
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole texts by a model of the labels out of the held-out fold. Null or empty text: one empty passage; null ids are not held out and
+    not learned from; repeated rows each give a row."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, model)
@@ -34,6 +40,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole texts by a lexicon learned out of the held-out fold. Null or empty text: 0.02; null ids are not held out and not learned from;
+    repeated rows each give a row."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model)
@@ -41,24 +49,32 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole texts by profiles learned out of the held-out fold. Null text or no letter: und, 0; null ids are not held out and not
+    learned from; ties go to the first language by name; repeated rows each give a row."""
     docs = table(spark, sf_dir, "documents")
     found = langid.identify_language(docs, langid.fit_profiles(docs))
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and their components. Null text: as empty, fingerprint 0, linked like any other; rows that share an id are told
+    apart by fingerprint; null ids name no component that has another id."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=4)
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of whole texts. Null text: only the end; null ids are not held out and not learned from; repeated rows each count and each
+    give a row."""
     return lattice.lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in whole texts. Null text: no words; null item ids hit words but are not counted or listed; repeated rows each give a row."""
     return decontam.leak_digest(decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of corpus_pipeline.run."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
