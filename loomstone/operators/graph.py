@@ -21,22 +21,28 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame | None = None, node: str = "node") -> DataFrame:
     """(node, component): the smallest node that is reachable. Nodes without edges are their own component.
 
-    Hook to the smallest neighbour, follow pointers by doubling, contract; rounds grow with the logarithm of a component's size.
+    Each round hooks every node to its smallest neighbour, follows the pointers to their ends (doubling), and keeps only the edges
+    between different ends; rounds grow with the logarithm of a component's size. Tables are written in the shared folder, those of a
+    finished round deleted. Where many nodes point to one, the join's input is one shuffle for this join alone, which adaptive
+    execution splits.
     """
     pairs = written(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct())
     labels = None
     while pairs.take(1):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        moved = True
+        moved, step = True, None
         while moved:
             far = up.toDF("n2", "far")
-            step = written(up.join(far, F.col("to") == F.col("n2")).select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            step, last = written(up.join(far, F.col("to") == F.col("n2")).select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved"))), step
+            discard(last)
             moved, up = bool(step.where("moved").take(1)), step.select("node", "to")
-        ends = up.toDF("n2", "far")
-        labels = up if labels is None else written(labels.join(ends, F.col("to") == F.col("n2"), "left").select("node", F.coalesce("far", "to").alias("to")))
-        cut = pairs.join(up.toDF("a", "ra"), "a").join(up.toDF("b", "rb"), "b")
+        ends, old = up.toDF("n2", "far"), labels  # nodes of this round are ends of earlier ones
+        labels = step.select("node", "to") if old is None else written(old.join(ends, F.col("to") == F.col("n2"), "left").select("node", F.coalesce("far", "to").alias("to")))
+        discard(old)
+        cut, old = pairs.join(up.toDF("a", "ra"), "a").join(up.toDF("b", "rb"), "b"), pairs
         pairs = written(cut.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct())
+        discard(old)
     found = (pairs.toDF("node", "to") if labels is None else labels).toDF("node", "component")
     if nodes is None:
         return found
