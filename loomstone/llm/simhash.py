@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, map_text, written
+from ..operators import graph
+from .common import arrow_map, map_text, written
 
 SEED, SHINGLE, BITS = 42, 4, 4
 LOW23 = (1 << 23) - 1
@@ -113,34 +114,9 @@ def _probes(fps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return arrow_map(fps.select("fp"), run, "fp bigint, key bigint, side int")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node with an edge: the smallest node of its component.
-
-    Each round hooks every node to its smallest neighbour, follows the pointers to their ends (doubling), and keeps only the edges
-    between different ends; rounds grow with the logarithm of a component's size. Tables are written in the shared folder.
-    """
-    pairs = written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    labels = None
-    while pairs.take(1):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        moved, jumped = True, None
-        while moved:
-            far = up.select(F.col("node").alias("n2"), F.col("to").alias("far"))
-            jumped, last = written(up.join(far, F.col("to") == F.col("n2")).select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved"))), jumped
-            discard(last)
-            moved = bool(jumped.where("moved").take(1))
-            up = jumped.select("node", "to")
-        ends = up.select(F.col("node").alias("n2"), F.col("to").alias("far"))
-        if labels is None:
-            labels = jumped.select("node", "to")
-        else:  # nodes of this round are roots of earlier ones
-            labels, old = written(labels.join(ends, F.col("to") == F.col("n2"), "left").select("node", F.coalesce("far", "to").alias("to"))), labels
-            discard(old)
-        moved_pairs = pairs.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b")
-        pairs, old = written(moved_pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()), pairs
-        discard(old)
-    return (pairs.toDF("node", "to") if labels is None else labels).select("node", F.col("to").alias("root"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node with an edge (a, b): the smallest node of its component."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component", "root")
 
 
 def _within(a: str, b: str, bits: int):
