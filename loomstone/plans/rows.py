@@ -12,7 +12,11 @@ from .registry import table
 
 QUERIES: dict = {}
 SQL: dict = {}
-K = F.get_json_object("props", "$.k").cast("long")
+
+
+def _k():
+    """The number in an event's properties."""
+    return F.get_json_object("props", "$.k").cast("long")
 
 
 def plan(name: str):
@@ -39,7 +43,7 @@ plan("F3_existing_membership")(lambda s, d: reading.existing(T(s, d, "orders"),
 plan("F4_pending_scan")(lambda s, d: reading.in_state(T(s, d, "orders"), "o_orderstatus", "P", ["o_orderdate", "o_orderkey"], 50).select("o_orderkey", "o_orderdate"))
 plan("F5_stuck_rows")(lambda s, d: reading.in_state(reading.older_than(T(s, d, "orders"), "o_orderdate", "30 DAYS"), "o_orderstatus", "O").select("o_orderkey"))
 plan("F11_stale_pending")(lambda s, d: reading.in_state(reading.older_than(T(s, d, "orders"), "o_orderdate", "1 DAY"), "o_orderstatus", "P").select("o_orderkey"))
-plan("F7_failed_retryable")(lambda s, d: T(s, d, "events").where((F.col("event_type") == "error") & (K < 50)).select("event_id", "user_id"))
+plan("F7_failed_retryable")(lambda s, d: T(s, d, "events").where((F.col("event_type") == "error") & (_k() < 50)).select("event_id", "user_id"))
 plan("F8_usage_filter")(lambda s, d: reading.page(reading.where_all(T(s, d, "events"), {"event_type": "view"}, {"user_id": 100}), [F.desc("ts"), F.desc("event_id")], 200).select("event_id", "ts", "value"))
 plan("F9_failure_filter")(lambda s, d: reading.page(reading.where_all(T(s, d, "events"), {"event_type": "error"}), [F.desc("ts"), F.desc("event_id")], 200).select("event_id", "ts"))
 plan("F10_needs_review")(lambda s, d: reading.where_all(T(s, d, "supplier"), below={"s_acctbal": 0}).select("s_suppkey", "s_name"))
@@ -60,13 +64,13 @@ plan("J14_entity_articles")(lambda s, d: T(s, d, "lineitem").where(F.col("l_part
 plan("J15_article_entities")(lambda s, d: T(s, d, "lineitem").join(T(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_partkey", "p_name", "l_returnflag").distinct())
 plan("J20_touching_edges")(lambda s, d: T(s, d, "lineitem").where(F.col("l_partkey").isin(1, 5, 9) | F.col("l_suppkey").isin(2, 4)).select("l_orderkey", "l_linenumber"))
 plan("J22_members")(lambda s, d: T(s, d, "region").join(T(s, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name"))
-plan("A1_global_summary")(lambda s, d: usage.summary(T(s, d, "events"), [], tokens=F.sum(K), least=F.min("value"), most=F.max("value"), ok=F.sum((F.col("event_type") != "error").cast("long"))))
-plan("A3_by_provider")(lambda s, d: usage.summary(T(s, d, "events"), ["user_id"], tokens=F.sum(K)).orderBy(F.desc("tokens"), "user_id"))
+plan("A1_global_summary")(lambda s, d: usage.summary(T(s, d, "events"), [], tokens=F.sum(_k()), least=F.min("value"), most=F.max("value"), ok=F.sum((F.col("event_type") != "error").cast("long"))))
+plan("A3_by_provider")(lambda s, d: usage.summary(T(s, d, "events"), ["user_id"], tokens=F.sum(_k())).orderBy(F.desc("tokens"), "user_id"))
 plan("A4_by_model")(lambda s, d: usage.summary(T(s, d, "events"), ["user_id", "event_type"], slowest=F.max("value")))
 plan("A5_by_call_point")(lambda s, d: usage.summary(T(s, d, "events"), ["event_type"], mean=F.round(F.avg("value"), 6)))
 plan("A6_hourly_rollup")(lambda s, d: usage.rollup_by_time(T(s, d, "events"), "ts", "hour", ["event_type"], valued=F.count("value"), least=F.min("value"), most=F.max("value")))
 plan("A6_daily_rollup")(lambda s, d: usage.rollup_by_time(T(s, d, "events"), "ts", "day", ["event_type"], least=F.min("value"), most=F.max("value")))
-plan("A6_monthly_rollup")(lambda s, d: usage.rollup_by_time(T(s, d, "events"), "ts", "month", tokens=F.sum(K)))
+plan("A6_monthly_rollup")(lambda s, d: usage.rollup_by_time(T(s, d, "events"), "ts", "month", tokens=F.sum(_k())))
 plan("A8_latency_bounds")(lambda s, d: usage.rollup_by_time(T(s, d, "events"), "ts", "hour", least=F.min("value"), most=F.max("value")).drop("calls"))
 plan("A10_counter_pivot")(lambda s, d: usage.pivot_counts(T(s, d, "events"), "user_id", "event_type", {"click": "click", "error": "error", "purchase": "purchase", "signup": "signup", "view": "viewed"}))
 plan("A13_failure_stats")(lambda s, d: usage.failure_stats(T(s, d, "events").where(F.col("event_type").isin("error", "click")), "user_id", "event_type", "ts"))

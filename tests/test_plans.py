@@ -42,3 +42,12 @@ def test_plan_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_plan_runs(spark, name):
     assert catalog.queries()[name](spark, SF).columns
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 300 and set(e.oracle_sql()) <= set(e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
