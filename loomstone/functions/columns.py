@@ -149,7 +149,9 @@ def status_label(score) -> Column:
 
 
 # Words, ports and shorteners of suspicious addresses, and hosts that must not be called.
-SUSPICIOUS_WORDS = "login signin sign-in verify verification secure security account update confirm password credential auth authenticate banking wallet payment transaction phishing scam fraud suspended locked alert warning urgent limited expire".split()
+SUSPICIOUS_WORDS = (
+    "login", "signin", "sign-in", "verify", "verification", "secure", "security", "account", "update", "confirm", "password", "credential", "auth", "authenticate", "banking", "wallet", "payment", "transaction", "phishing", "scam", "fraud", "suspended", "locked", "alert", "warning", "urgent", "limited", "expire",
+)
 SUSPICIOUS_PORTS = (22, 23, 445, 3389, 4444, 5555, 6667)
 SHORTENERS = ("bit.ly", "goo.gl", "tinyurl.com", "t.co", "is.gd", "buff.ly", "ow.ly", "short.link", "dlvr.it", "cutt.ly")
 METADATA_HOSTS = ("metadata.google.internal", "metadata", "169.254.169.254", "100.100.100.200")

@@ -74,6 +74,16 @@ RELATION_TYPES = (
 RELATION_ENDING = "(了|关系|于|中|的)$"
 
 
+# What is cleaned off a name, in order, and what takes its place.
+NAME_CLEANING = (
+    ("[「『](.+?)[」』]", "$1"),
+    ("[《》](.+?)[《》]", "$1"),
+    ("[\"'`]", ""),
+    (r"[\x00-\x1f\x7f-\x{9f}]", ""),
+    (r"\s*[-–—]\s*", "-"),
+)
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no function for it."""
@@ -95,9 +105,9 @@ def normal_name(name, organisation: Column | bool = False, composed: bool = Fals
     script = script_of(raw)
     unicode_ = raw if composed else nfkc(raw)
     spaced = F.trim(F.regexp_replace(unicode_, r"\s+", " "))
-    bare = F.regexp_replace(F.regexp_replace(spaced, "[「『](.+?)[」』]", "$1"), "[《》](.+?)[《》]", "$1")
-    bare = F.regexp_replace(F.regexp_replace(bare, "[\"'`]", ""), r"[\x00-\x1f\x7f-\x{9f}]", "")
-    bare = F.regexp_replace(bare, r"\s*[-–—]\s*", "-")
+    bare = spaced
+    for pattern, put in NAME_CLEANING:
+        bare = F.regexp_replace(bare, pattern, put)
     runs = F.regexp_extract_all(bare, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
     capital = F.array_join(F.transform(runs, lambda w: F.when(w.rlike("^[a-z]+$"), F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))).otherwise(w)), "")
     cased = F.when(script.isin("english", "mixed"), capital).otherwise(bare)
