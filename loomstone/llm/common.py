@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,3 +90,78 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     for y in (0, 1):
         rows += found.where(F.col("y") == y).orderBy("h", "id", "text").limit(per_class).select("text", "y").collect()
     return [(r["text"], r["y"]) for r in rows]
+
+
+def fmix(x: np.ndarray) -> np.ndarray:
+    """Mixes 64-bit numbers so that every bit depends on all."""
+    with np.errstate(over="ignore"):
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(33))
+
+
+def each_word(raw: bytes, number: Callable, kind, piece: int = 1 << 20) -> np.ndarray:
+    """number(word) of every word of raw (split at ASCII white space), which is cut into parts of about `piece` bytes on the way."""
+    out, at = [np.zeros(0, kind)], 0
+    while at < len(raw):
+        end = at + piece
+        if end < len(raw):
+            end = raw.find(b" ", end)
+            end = len(raw) if end < 0 else end
+        words = raw[at:end].split()
+        out.append(np.fromiter(map(number, words), kind, len(words)))
+        at = end
+    return np.concatenate(out)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes), remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+class WordIds(dict):
+    """Numbers words (bytes) as they come, with a 64-bit hash of each. Number 0 is `first`."""
+
+    def __init__(self, first: bytes = b""):
+        self.first = first
+        self.restart()
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return n
+
+    def restart(self) -> None:
+        self.clear()
+        self.words, self.hashes = [], []
+        self[self.first]
+
+
+class Bloom:
+    """Which 64-bit hashes may be in a set: two bits each, bounded in size by whoever builds it."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        found = np.ones(len(h), bool)
+        for p in (h & self.mask, (h >> np.uint64(32)) & self.mask):
+            found &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+
+def bloom(df: DataFrame, column: str, most: int = 27) -> Bloom:
+    """A filter of df's hashes (bigint): 16 bits for each, but at most 2^most bits (16 MB), which is what reaches the driver and the tasks.
+    With more hashes it lets more through; it never loses one."""
+    n = df.count()
+    size = 1 << min(most, max(16, (16 * n).bit_length()))
+    h = F.col(column)
+    at = F.explode(F.array(h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 32).bitwiseAND(size - 1)))
+    bits = df.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    found, words = bits.toArrow(), np.zeros(size // 64, np.uint64)
+    words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return Bloom(words)
