@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine
-from . import graph, health
+from ..sources.keyed import KeyedTable
+from . import graph, health, leiden
 
 
 def pending(nodes: DataFrame, members: DataFrame, node: str = "node") -> DataFrame:
@@ -87,6 +88,17 @@ def new_communities(waiting: DataFrame, edges: DataFrame) -> DataFrame:
     return health.build_communities(local_clusters(edges, waiting))
 
 
+def rebuild(table: KeyedTable, nodes: DataFrame, edges: DataFrame, most: int = 10, depth: int = 10, orphans: int = -1, batch: str | None = None) -> DataFrame:
+    """Detects all communities anew and puts them (level, community, parent, entity_count, rank) in the table's place, in one commit; its rows.
+
+    Nodes without an edge are one community of level -1, named `orphans`. Until the commit, and if it fails, the old communities stand.
+    """
+    found = leiden.build_hierarchy(leiden.hierarchy(graph.undirected(edges), most, depth)).drop("final")
+    alone = orphan_community(nodes, edges).select("level", F.lit(orphans).cast(found.schema["community"].dataType).alias("community"), F.lit(None).cast(found.schema["parent"].dataType).alias("parent"), "entity_count", "rank")
+    table.replace(found.unionByName(alone), batch)
+    return table.read()
+
+
 def orphan_community(nodes: DataFrame, edges: DataFrame, name: str = "orphans") -> DataFrame:
     """One row (community, level -1, entity_count, rank 0) of the nodes without an edge; none without such nodes."""
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()

@@ -1,4 +1,4 @@
-"""Graph analytics on edge tables: components, hops, degrees, modularity, communities, merge chains."""
+"""Graph analytics on edge tables: components, hops, degrees, modularity, merge chains."""
 
 from __future__ import annotations
 
@@ -78,45 +78,6 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0,
     return whole.select(F.coalesce(q, F.lit(0.0)).alias("modularity"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, patience: int = 6) -> DataFrame:
-    """(node, community) by parallel local moving on modularity gain.
-
-    Each round every node looks at its neighbours' communities; the best positive gain wins (ties: the smaller name), and only nodes
-    of one of some hash classes move in a round, so that two neighbours do not swap for ever; the classes grow in number with the rounds. It
-    ends when no node would gain by a move, a local optimum, or when the modularity has not grown for `patience` rounds, which nodes that move
-    at once can cause: then with the best state met. Deterministic.
-    """
-    e = written(both_ways(edges.select("src", "dst", "weight")))
-    k = written(e.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "node"))
-    two_m = k.agg(F.sum("k")).first()[0] or 1.0
-    state = best = written(k.withColumn("community", F.col("node")))
-    most, worse, r = float("-inf"), 0, 0
-    while True:
-        total = state.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = e.join(state.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w")).withColumnRenamed("src", "node")
-        mine = state.select("node", "k", F.col("community").alias("own"))
-        options = near.unionByName(mine.select("node", F.col("own").alias("community"), F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w")).join(mine, "node").join(total, "community")
-        stays = F.col("community") == F.col("own")
-        gain = F.round(F.col("w") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(two_m), 9)
-        inside = F.max(F.when(stays, F.col("w") - F.lit(resolution) * F.col("k") * F.col("tot") / F.lit(two_m)))
-        found = options.groupBy("node", "k", "own").agg(F.max_by("community", F.struct(gain, stays.cast("int"), -F.col("community"))).alias("best"), inside.alias("inside"))
-        classes = 2 + r // 8
-        moves = F.pmod(F.xxhash64("node", F.lit(r // classes)), F.lit(classes)) == r % classes
-        next_ = written(found.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("community"), (F.col("best") != F.col("own")).alias("wants"), "inside"))
-        seen = next_.agg(F.coalesce(F.sum("inside"), F.lit(0.0)).alias("q"), F.max("wants").alias("wants")).first()
-        if not seen["wants"]:
-            return state.select("node", "community")
-        worse = 0 if seen["q"] / two_m > most + 1e-7 else worse + 1
-        if not worse:
-            most, best, old = seen["q"] / two_m, state, best
-            discard(old if old is not state else None)
-        elif state is not best:
-            discard(state)
-        if worse > patience:
-            return best.select("node", "community")
-        state, r = next_, r + 1
-
-
 def resolve_chains(merges: DataFrame, item: str = "id", into: str = "merged_into", rounds: int = 40) -> DataFrame:
     """(item, final): the end of each merge chain by pointer doubling; null for an item on, or leading to, a cycle."""
     step = merges.where(F.col(into).isNotNull() & (F.col(item) != F.col(into))).select(F.col(item).alias("item"), F.col(into).alias("to"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import communities, context, graph, health, memory, retrieval
-from ..sources import tables
+from ..operators import communities, context, graph, health, leiden, memory, retrieval
+from ..sources import keyed, tables
 from .registry import Registry, table
 
 R = Registry()
@@ -165,8 +165,20 @@ def orphan_community(spark, d):
     return communities.orphan_community(_nodes(spark, d), _edges(spark, d))
 
 
-@R.frame("G13_rebuild", f"WITH RECURSIVE {_G}, nodes AS (SELECT p_partkey AS n FROM part), e AS (SELECT src, dst FROM u), {_ROOTS} SELECT component AS community, 0 AS level, count(*) AS entity_count, least(count(*) / 10.0, 10.0) AS rank FROM c GROUP BY component")
+@R.frame("G10_hierarchy")
+def build_hierarchy(spark, d):
+    """Communities of the part graph with level, parent, size and rank, from their detection."""
+    return leiden.build_hierarchy(leiden.hierarchy(_edges(spark, d)))
+
+
+@R.frame("G13_rebuild")
 def rebuild(spark, d):
+    """All communities anew: the stored ones go, those found take their place in one commit, nodes without an edge share one community."""
+    return communities.rebuild(keyed.KeyedTable(spark, tables.shared_dir(spark), ["level", "community"], "level int, community bigint, parent bigint, entity_count bigint, rank double"), _nodes(spark, d), _edges(spark, d))
+
+
+@R.frame("G13_component_rebuild", f"WITH RECURSIVE {_G}, nodes AS (SELECT p_partkey AS n FROM part), e AS (SELECT src, dst FROM u), {_ROOTS} SELECT component AS community, 0 AS level, count(*) AS entity_count, least(count(*) / 10.0, 10.0) AS rank FROM c GROUP BY component")
+def component_rebuild(spark, d):
     """All communities anew, from the whole graph's components; the old ones are not read."""
     found = communities.local_clusters(_edges(spark, d), _nodes(spark, d))
     return health.build_communities(found).drop("parent")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieval
+from ..operators import graph, leiden, retrieval
 from ..sources.tables import written
 from .registry import Registry, table
 
@@ -118,7 +118,8 @@ def degree_table(spark, d):
 
 @R.frame("G9_communities")
 def community_detection(spark, d):
-    return graph.communities(graph.undirected(similar(spark, d)))
+    """Communities of the similarity graph, each of more than 10 vectors split again."""
+    return leiden.hierarchy(graph.undirected(similar(spark, d)))
 
 
 @R.frame("J28_center_subgraph", f"WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT vec_id AS node, 0 AS hops FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT u.dst, h.hops + 1 FROM h JOIN u ON u.src = h.node WHERE h.hops < 3) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM h GROUP BY node")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import columns as C
 from loomstone.functions import texts as T
-from loomstone.operators import as_of, communities, context, entities, graph, health, intake, memory, retrieval
+from loomstone.operators import as_of, communities, context, entities, graph, health, intake, leiden, memory, retrieval
 from loomstone.plans import lifecycle, search, streams
 from loomstone.plans import texts as text_plans
 from loomstone.sources import tables
@@ -81,7 +81,7 @@ def test_components_and_hops(spark):
 def test_communities_of_two_cliques(spark):
     pairs = [*itertools.combinations(range(5), 2), *itertools.combinations(range(10, 15), 2), (4, 10)]
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
-    found = graph.communities(edges)
+    found = leiden.communities(edges)
     got = {}
     for x in found.collect():
         got.setdefault(x["community"], set()).add(x["node"])
@@ -211,7 +211,7 @@ def test_r7_fuses_two_lists_for_every_query(spark, tmp_path):
 def test_communities_are_a_local_optimum(spark, sf):
     edges = graph.undirected(lifecycle._edges(spark, sf))
     e = [(r["src"], r["dst"], r["weight"]) for r in edges.collect()]
-    of = {r["node"]: r["community"] for r in graph.communities(edges).collect()}
+    of = {r["node"]: r["community"] for r in leiden.communities(edges).collect()}
     k, near, m = {}, {}, sum(w for *_, w in e)
     for a, b, w in e:
         for x, y in ((a, b), (b, a)):
