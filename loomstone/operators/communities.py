@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cosine
 from ..sources.keyed import KeyedTable
-from . import graph, health, leiden
+from . import graph, health, leiden, retrieval, vector_index
 
 
 def pending(nodes: DataFrame, members: DataFrame, node: str = "node") -> DataFrame:
@@ -117,16 +116,18 @@ def to_archive(articles: DataFrame, followed: DataFrame, now: Column, days: int
     return articles.where(F.col(at) < now - F.expr(f"INTERVAL {days} DAYS")).join(followed.select(key).distinct(), key, "left_anti")
 
 
-def nearest_reports(reports: DataFrame, queries: DataFrame, communities: DataFrame, level: int = 0, above: float = 0.3, most: int = 10) -> DataFrame:
+def nearest_reports(reports: DataFrame, queries: DataFrame, communities: DataFrame, level: int = 0, above: float = 0.3, most: int = 10, probes: int | None = None, indexed: bool = False) -> DataFrame:
     """(query, community, score, place) of the reports of a level above a cosine, best first.
 
-    Reports, one a community, are compared with a stated set of queries; the queries travel to all tasks and must be few (checked: 1024).
+    Queries are a stated set, taken in blocks. indexed: the reports are put into a vector index first, of which `probes` lists are searched (None:
+    all, exact); else they are compared with every query.
     """
-    asked = queries.select("query", F.col("vector").alias("__q"))
-    if asked.limit(1025).count() > 1024:
-        raise ValueError("more than 1024 queries: call it once for each block of them")
     mine = reports.where("vector IS NOT NULL").join(communities.where(F.col("level") == level).select("community"), "community", "left_semi")
-    pairs = mine.join(F.broadcast(asked)).select("query", "community", cosine("vector", "__q").alias("score")).where(F.col("score") > above)
+    if indexed:
+        found = vector_index.VectorIndex.build(mine, id_col="community", vector="vector").search(queries, most, probes, above, "query", "vector").drop("rank")
+    else:
+        found = retrieval.similarities(mine, queries, above, "community", "vector", "query")
+    pairs = found.select("query", F.col("id").alias("community"), F.col("similarity").alias("score")).where(F.col("score") > above)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "community")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 

@@ -108,6 +108,19 @@ class VectorIndex:
         w = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
         return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("q", query_id)
 
+    def probes_for(self, queries: DataFrame, k: int, target: float, query_id: str = "query_id", vector: str = "embedding", sample: int = 64) -> int:
+        """The fewest lists to probe so that a `target` share of the k exact neighbours is found, measured on at most `sample` queries of smallest
+        hash. Vectors without structure need many lists; this says how many."""
+        some = queries.orderBy(F.xxhash64(query_id)).limit(sample)
+        of = self.search(some, k, query_id=query_id, vector=vector).join(self.rows().select("id", "list"), "id").select(query_id, "list")
+        rows, asked = of.collect(), {r[0]: r[1] for r in some.select(query_id, vector).collect()}  # at most sample * k rows
+        place = {}
+        for name, v in asked.items():
+            order = np.argsort(-(_unit([v if v is not None else [0.0] * self.centroids.shape[1]])[0] @ self.centroids.T), kind="stable")
+            place[name] = {int(j): p + 1 for p, j in enumerate(order)}
+        need = sorted(place[r[0]].get(r["list"], len(self.centroids)) for r in rows)
+        return max(1, need[min(len(need), int(np.ceil(target * len(need)))) - 1]) if need else 1
+
     def _block(self, names: list, vectors: list, k: int, probes: int | None, threshold: float, kinds: str) -> DataFrame:
         width = self.centroids.shape[1]
         q = _unit([x if x is not None and len(x) == width else [0.0] * width for x in vectors])

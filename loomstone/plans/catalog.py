@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import knowledge, lifecycle, names, relational, rows, search, streams, text, texts
+from . import kept, knowledge, lifecycle, names, relational, rows, search, streams, text, texts
 
-MODULES = (relational, rows, text, texts, names, search, knowledge, lifecycle, streams)
+MODULES = (relational, rows, text, texts, names, search, knowledge, lifecycle, streams, kept)
 
 
 def queries() -> dict:

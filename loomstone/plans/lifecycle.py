@@ -239,28 +239,27 @@ def archive(spark, d):
 
 
 _COS = "list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-_HITS = f"hits AS (SELECT query, community, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, community) AS place FROM (SELECT q.vec_id AS query, r.vec_id AS community, {_COS} AS score FROM embeddings q JOIN embeddings r ON r.vec_id BETWEEN 1 AND 50 WHERE q.vec_id % 50 = 0) WHERE score > 0.1) WHERE place <= 5)"
+_HITS = f"hits AS (SELECT query, community, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, community) AS place FROM (SELECT q.vec_id AS query, r.vec_id AS community, {_COS} AS score FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0) WHERE score > 0.1) WHERE place <= 5)"
 
 
-def _hits(spark, d):
-    """Reports are the vectors of the numbers that are sizes."""
+def _hits(spark, d, indexed=False):
+    """Every vector is the report of the community of its number."""
     e = table(spark, d, "embeddings")
-    reports = e.where("vec_id BETWEEN 1 AND 50").select(F.col("vec_id").alias("community"), F.col("embedding").alias("vector"))
+    reports = e.select(F.col("vec_id").alias("community"), F.col("embedding").alias("vector"))
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    return communities.nearest_reports(reports, asked, reports.select("community", F.lit(0).alias("level")), 0, 0.1, 5)
+    return communities.nearest_reports(reports, asked, reports.select("community", F.lit(0).alias("level")), 0, 0.1, 5, indexed=indexed)
 
 
 @R.frame("R18_community_vectors", f"WITH {_HITS} SELECT * FROM hits")
 def community_vectors(spark, d):
-    return _hits(spark, d).withColumn("score", F.round("score", 6))
+    return _hits(spark, d, indexed=True).withColumn("score", F.round("score", 6))
 
 
-@R.frame("R17_report_similarity", f"SELECT q.vec_id AS query, count(*) AS similar FROM embeddings q JOIN embeddings r ON r.vec_id BETWEEN 1 AND 50 WHERE q.vec_id % 50 = 0 AND {_COS} > 0 GROUP BY 1")
+@R.frame("R17_report_similarity", f"SELECT q.vec_id AS query, count(*) AS similar FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0 AND {_COS} > 0 GROUP BY 1")
 def report_similarity(spark, d):
     e = table(spark, d, "embeddings")
-    reports = e.where("vec_id BETWEEN 1 AND 50").select(F.col("vec_id").alias("community"), F.col("embedding").alias("vector"))
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    return communities.nearest_reports(reports, asked, reports.select("community", F.lit(0).alias("level")), 0, 0.0, 50).groupBy("query").agg(F.count(F.lit(1)).alias("similar"))
+    near = retrieval.similarities(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 0.0, query_id="query")
+    return near.where("similarity > 0").groupBy("query").agg(F.count(F.lit(1)).alias("similar"))
 
 
 _KEY = "deg AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1), ke AS (SELECT * FROM (SELECT m.community, m.node, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY m.community ORDER BY coalesce(degree, 0) DESC, m.node) AS place FROM m LEFT JOIN deg USING (node)) WHERE place <= 3)"
@@ -300,7 +299,7 @@ _MAP = f"WITH {_G}, {_M}, {_KEY}, {_HITS}, mc AS (SELECT query, h.community, '##
 
 def _contexts(spark, d):
     titles = table(spark, d, "part").select(F.col("p_size").cast("long").alias("community"), F.concat(F.lit("part size "), F.col("p_size").cast("string")).alias("title")).distinct()
-    whole = table(spark, d, "embeddings").where("vec_id BETWEEN 1 AND 50").select(F.col("vec_id").alias("community"), F.concat(F.lit("part size "), F.col("vec_id").cast("string")).alias("title"))
+    whole = table(spark, d, "embeddings").select(F.col("vec_id").alias("community"), F.concat(F.lit("part size "), F.col("vec_id").cast("string")).alias("title"))
     return communities.map_contexts(_hits(spark, d), _members(spark, d), _edges(spark, d), whole.unionByName(titles).distinct(), 3)
 
 

@@ -1,8 +1,8 @@
 """Retries as a stream: failures wait in keyed state until a timer says that they are due; used-up ones go to the dead letters.
 
-State is kept by host. Each waiting item has its due time (60 * 2^attempt seconds after it failed, as surveyed); one timer a host stands at
-the earliest. When it fires, what is due comes out, at most `batch` items, and the timer is set again. Times are event times, so a run
-that is started again from its checkpoint gives the same rows.
+State is kept by host and part (a hash of the item), so that a host with very many failures is not one task's. Each waiting item has its due
+time (60 * 2^attempt seconds after it failed, as surveyed), for which a timer is set; when that fires, the items of that time come out. Times are
+event times, so a run that is started again from its checkpoint gives the same rows.
 """
 
 from __future__ import annotations
@@ -28,59 +28,47 @@ class Retries(StatefulProcessor):
     """(item, host, attempt, failed_at, outcome) in; retry and dead rows out.
 
     outcome "failed": the item waits, or is dead if its attempts are used up. "done": a waiting item of that name leaves. An item that fails
-    again while it waits takes the later failure's time. An item that no event touches for `ttl_ms` after its due time is not kept for ever:
-    its timer has fired long before.
+    again while it waits takes the later failure's time. What has come out, or left, has no state any more.
     """
 
-    def __init__(self, most: int = 3, base: int = 60, batch: int = 50):
-        self.most, self.base, self.batch = most, base, batch
+    def __init__(self, most: int = 3, base: int = 60):
+        self.most, self.base = most, base
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "item string", "attempt int, due bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def _wake(self) -> None:
-        """One timer, at the earliest due time."""
-        due = [v[1] for _, v in self.waiting.iterator()]
-        old = self.timer.get()[0] if self.timer.exists() else None
-        new = min(due) if due else None
-        if old != new:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            if new is None:
-                self.timer.clear()
-            else:
-                self.handle.registerTimer(new)
-                self.timer.update((new,))
+        self.due = handle.getMapState("due", "at bigint", "items array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         whole = pd.concat(list(rows)).sort_values(["failed_at", "item", "attempt"], kind="stable")
-        dead = []
+        dead, fresh = [], {}
         for item, attempt, at, outcome in zip(whole["item"], whole["attempt"], whole["failed_at"], whole["outcome"]):
             name = (item,)
             if outcome == "done" or int(attempt) >= self.most:
                 if self.waiting.containsKey(name):
                     self.waiting.removeKey(name)
                 if outcome != "done":
-                    dead.append((item, int(attempt), at))
+                    dead.append(("dead", key[0], item, int(attempt), pd.NaT, at))
             else:
-                self.waiting.updateValue(name, (int(attempt) + 1, int(at.value // 1_000_000) + self.base * 1000 * 2 ** int(attempt)))
-        self._wake()
-        yield _frame([("dead", key[0], i, a, pd.NaT, t) for i, a, t in dead])
+                due = int(at.value // 1_000_000) + self.base * 1000 * 2 ** int(attempt)
+                self.waiting.updateValue(name, (int(attempt) + 1, due))
+                fresh.setdefault(due, []).append(item)
+        for due, items in fresh.items():
+            old = self.due.getValue((due,))[0] if self.due.containsKey((due,)) else []
+            self.due.updateValue((due,), (sorted({*old, *items}),))
+            self.handle.registerTimer(due)
+        yield _frame(dead)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        due = sorted((v[1], k[0], v[0]) for k, v in self.waiting.iterator() if v[1] <= now)
-        for _, item, _ in due:
-            self.waiting.removeKey((item,))
-        self.timer.clear()
-        self._wake()
-        at = pd.Timestamp(now, unit="ms")
-        for a in range(0, len(due), self.batch):
-            yield _frame([("retry", key[0], item, attempt, pd.Timestamp(t, unit="ms"), at) for t, item, attempt in due[a : a + self.batch]])
-        if not due:
-            yield _frame([])
+        due, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        at = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        for item in self.due.getValue((due,))[0] if self.due.containsKey((due,)) else []:
+            held = self.waiting.getValue((item,)) if self.waiting.containsKey((item,)) else None
+            if held is not None and held[1] == due:  # else it has left, or waits for another time
+                out.append(("retry", key[0], item, held[0], pd.Timestamp(due, unit="ms"), at))
+                self.waiting.removeKey((item,))
+        self.due.removeKey((due,))
+        yield _frame(out)
 
     def close(self) -> None:
         pass
@@ -94,10 +82,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def retry_stream(failures: DataFrame, late: str = "0 seconds", most: int = 3, base: int = 60, batch: int = 50) -> DataFrame:
-    """A stream of (kind, host, item, attempt, due, at) from one of (item, host, attempt, failed_at, outcome)."""
+def retry_stream(failures: DataFrame, late: str = "0 seconds", most: int = 3, base: int = 60, parts: int = 16) -> DataFrame:
+    """A stream of (kind, host, item, attempt, due, at) from one of (item, host, attempt, failed_at, outcome). Rows without an item, host or
+    time are left out."""
     findable(failures.sparkSession)
     use_rocksdb(failures.sparkSession)
     rows = failures.select(F.col("host").cast("string").alias("host"), F.col("item").cast("string").alias("item"), F.col("attempt").cast("int").alias("attempt"), F.col("failed_at").cast("timestamp").alias("failed_at"), F.coalesce("outcome", F.lit("failed")).alias("outcome"))
-    rows = rows.where("host IS NOT NULL AND item IS NOT NULL AND failed_at IS NOT NULL").withWatermark("failed_at", late)
-    return rows.groupBy("host").transformWithStateInPandas(Retries(most, base, batch), OUT, "Append", "EventTime")
+    rows = rows.where("host IS NOT NULL AND item IS NOT NULL AND failed_at IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))).withWatermark("failed_at", late)
+    return rows.groupBy("host", "part").transformWithStateInPandas(Retries(most, base), OUT, "Append", "EventTime")

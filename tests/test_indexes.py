@@ -44,6 +44,9 @@ def test_probes_reach_the_recall_and_prune(vectors, queries, tmp_path):
     exact, found = index.search(queries, 10), index.search(queries, 10, probes=6)
     seen = vector_index.recall(found, exact).first()
     assert seen["queries"] == queries.count() and seen["recall"] >= 0.9
+    for target in (0.5, 0.95):
+        probes = index.probes_for(queries, 10, target)
+        assert vector_index.recall(index.search(queries, 10, probes), exact).first()["recall"] >= target - 0.02 and probes < 24
     few = index.search(queries.where("query_id = 5"), 10, probes=2)
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1].split("]")[0]
