@@ -18,7 +18,7 @@ from .common import WordIds, arrow_map, bloom, discard, each_word, fmix, slices,
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz ;;;;;;;;;")
 BITS = 31  # of a word's number
-KNOWN = 1 << 19  # words that a task remembers from slice to slice
+KNOWN = 1 << 17  # words that a task remembers from slice to slice
 NONE = 0  # the number of the mark between pieces, and of padding
 
 
@@ -48,7 +48,7 @@ def _source(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
 
 
-SLICE = 12 << 20  # bytes of text whose windows are counted together before they leave a task
+SLICE = 4 << 20  # bytes of text whose windows are counted together before they leave a task
 
 
 def pair_counts(source: DataFrame) -> DataFrame:
