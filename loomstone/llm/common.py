@@ -55,7 +55,7 @@ def slices(batch: pa.RecordBatch, column: int, rows: int, most: int = SLICE_BYTE
 def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str, str]], keep: Sequence[str], make: Callable | None = None, rows: int = 512) -> DataFrame:
     """keep columns of df plus fields that fn computes from lists of texts (null: "").
 
-    fn(texts[, state]) returns one list or array per field. make() builds the state once per task. Work is done in slices of at most
+    Names that clash are refused. fn(texts[, state]) returns one list or array per field. make() builds the state once per task. Work is done in slices of at most
     `rows` rows and SLICE_BYTES bytes, so that a task holds little beside the Arrow batch that Spark hands over.
     """
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(TEXT))
@@ -64,6 +64,8 @@ def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str,
         schema = schema.add(name, T.DataType.fromDDL(kind))
     types = [ARROW[kind] for _, kind in fields]
     names = [*keep, *(n for n, _ in fields)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns that are kept clash with those that are made: {sorted(n for n in set(names) if names.count(n) > 1)}")
 
     def run(batches):
         state = make() if make else None
@@ -165,3 +167,15 @@ def bloom(df: DataFrame, column: str, most: int = 27) -> Bloom:
     found, words = bits.toArrow(), np.zeros(size // 64, np.uint64)
     words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
     return Bloom(words)
+
+
+def sifted(df: DataFrame, column: str, held: Bloom, keep: bool = True) -> DataFrame:
+    """Rows whose `column` (64-bit hashes) may be in the filter, or with keep=False those that are certainly not. Nothing is shuffled."""
+    at, shared = df.columns.index(column), df.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        for batch in batches:
+            found = shared.value.holds(batch.column(at).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(found if keep else ~found))
+
+    return arrow_map(df, run, df.schema)

@@ -1,8 +1,8 @@
 """HTML main text by tag-path ratios.
 
 Each block of text belongs to a root-to-leaf tag path. Text length and punctuation are summed per path; both ratios (per block of the
-path) are smoothed over neighbouring blocks in page order, fused by their product and averaged per path. Paths whose fused score
-reaches a share of the length-weighted mean are content. Names of furniture (tags, roles, words of classes and ids) lower the score of
+path) are smoothed over neighbouring blocks in page order, fused by their product, averaged per path and multiplied by all its text. Paths whose fused score
+reaches a share of the page's highest are content. Names of furniture (tags, roles, words of classes and ids) lower the score of
 what is under them, links that of lists and cells. With the selected blocks go short ones between them or directly before them, and the
 rest of a container whose text is mostly selected. Only what a browser does not show always goes.
 """
@@ -34,11 +34,12 @@ LIST = ("ul", "ol", "dl", "table", "tbody", "menu", "select")
 BOILER = set("nav aside footer form menu button dialog fieldset search".split())
 FIRM = BOILER - {"form", "fieldset"}  # furniture even where it holds most of the page's text
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = set("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing comment comments commentlist reply replies respond disqus pagination pager toolbar widget paywall".split())
+WORDS = set("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing comment comments commentlist reply replies respond discussion discussions thread talkback guestbook reactions responses disqus pagination pager toolbar widget paywall".split())
 WEAK = set("notice alert social related recommended recommendations trending popular copyright legal disclaimer skip".split())  # may as well name what the text is about
-LEAST, PROSE = 0.25, 10.0  # of the mean score, to be content; a score that is enough however long other blocks are
-OUTSIDE = 0.5  # of the mean score, to be content beside an article or main element that holds most of the text
-SIGN = (1.0, 0.4, 0.05)  # what scores keep under no sign of furniture, a weak word or one in a longer name, and a whole name, role or tag
+SHARE = 0.5  # of the highest path score on the page, to be content
+OUTSIDE = 0.5  # what scores keep beside an article or main element that holds most of the text
+SIGN = (1.0, 0.6, 0.4)  # what they keep under no sign of furniture, a weak word or one in a longer name, and a whole name, role or tag
+LITTLE = 1000  # characters of a page at which signs count as much again, since its scores say little
 MOST = 0.5  # of a container's text is selected: the rest belongs to it
 
 
@@ -142,7 +143,7 @@ def blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         if node.link:
             link += len(text)
 
-    at, size = 0, len(html)
+    at, size, endless = 0, len(html), set()  # endless: raw tags that nothing ends from here on
     while at < size:
         start = html.find("<", at)
         found = TAG.match(html, start) if start >= 0 else None
@@ -162,7 +163,9 @@ def blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                 flush()
             tree.end(tag)
         elif tag in RAW:
-            ends = RAW_END[tag].search(html, at)
+            ends = None if tag in endless else RAW_END[tag].search(html, at)
+            if not ends:
+                endless.add(tag)
             at = ends.start() if ends else size if tag in ("script", "style") else at
         elif tag == "br":
             parts.append(" ")
@@ -179,16 +182,17 @@ def blocks(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
 
 
 def tag_path_scores(paths: list[int], texts: list[str]) -> np.ndarray:
-    """Fused ratio of each block's path: its text length and its punctuation per block, smoothed where that does not raise them (a
-    neighbour's length is no sign of content), multiplied, and averaged over the blocks of the path."""
+    """Fused score of each block's path: its text length and its punctuation per block, smoothed where that does not raise them (a
+    neighbour's length is no sign of content), multiplied, averaged over the blocks of the path, and times all text of the path."""
     _, path = np.unique(np.asarray(paths), return_inverse=True)
     n = np.bincount(path)
-    ratio = lambda of: (np.bincount(path, [of(t) for t in texts]) / n)[path]
-    length, marks = ratio(len), ratio(lambda t: sum(map(t.count, ".,;:!?")))
+    total = lambda of: np.bincount(path, [of(t) for t in texts])
+    size, marks = total(len), (total(lambda t: sum(map(t.count, ".,;:!?"))) / n)[path]
+    length = (size / n)[path]
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel / kernel.sum(), "valid")
     fused = np.sqrt(np.minimum(smooth(length) * (1 + smooth(marks)), length * (1 + marks)))
-    return (np.bincount(path, fused) / n)[path]
+    return (np.bincount(path, fused) / n * size)[path]
 
 
 def _below(nodes: list[_Node], found, values) -> list[float]:
@@ -204,10 +208,10 @@ def _below(nodes: list[_Node], found, values) -> list[float]:
 def main_text(html: str) -> str:
     """Main text of a page: its blocks joined by one newline; "" if it has none.
 
-    Content are the blocks whose path's score, lowered by signs of furniture and by links, is at least LEAST of the mean or PROSE (OUTSIDE
-    of it beside an article or main element that holds most text). With them go blocks between the first and the last of them,
-    headings and siblings directly before one, and all of an article, main or parent element (but body) whose text is mostly
-    content; none of these if a sign is above it that is above no content, and lists of links only after content. A sign is refuted by
+    Content are the blocks whose path's score is at least SHARE of the page's highest; scores are lowered by links and by signs of furniture (to
+    0.4 of themselves, to less only where the whole page has little text). With them go blocks between the first and the last of them,
+    headings and siblings directly before one, a paragraph between a heading and one, and all of an article, main or parent element (but body)
+    whose text is mostly content; none of these if a sign is above it that is above no content, and lists of links only after content. A sign is refuted by
     most of the page's text (a form or wrapper round all).
     """
     nodes, found = blocks(html)
@@ -217,17 +221,17 @@ def main_text(html: str) -> str:
     prose = [len(text) - link for _, text, link in found]
     inside = [node.named for node, _, _ in found]
     under, named = _below(nodes, found, prose), _below(nodes, found, inside)
-    keep, wrong = [1.0] * len(nodes), [False] * len(nodes)
+    keep, wrong, weight = [1.0] * len(nodes), [False] * len(nodes), 1 + LITTLE / sum(len(text) for _, text, _ in found)
     for node in nodes[1:]:
         wrong[node.at] = bool(node.sign) and node.tag not in FIRM and 2 * under[node.at] >= under[0] > 0 and (named[node.at] > 0 or not named[0])
-        keep[node.at] = min(keep[node.up], 1.0 if wrong[node.at] else SIGN[node.sign])
+        keep[node.at] = min(keep[node.up], 1.0 if wrong[node.at] else SIGN[node.sign] ** (weight if node.sign == 2 else 1))
     linked = [link >= 0.8 * len(text) and node.tag not in ("p", *HEADING) for node, text, link in found]
     lowered = np.array([keep[node.at] * (0.1 if much else 1.0) for (node, _, _), much in zip(found, linked)])
     size = lowered * [len(text) for _, text, _ in found]
     scores = tag_path_scores([node.path for node, _, _ in found], [text for _, text, _ in found])
-    mean = (scores * size).sum() / size.sum()
     apart = 2 * sum(p for p, x in zip(prose, inside) if x) >= under[0]
-    content = scores * lowered >= np.where(apart & ~np.array(inside), OUTSIDE * mean, min(PROSE, LEAST * mean))
+    scores = scores * lowered * np.where(apart & ~np.array(inside), OUTSIDE**weight, 1.0)
+    content = (scores > 0) & (scores >= SHARE * scores.max())
     if not content.any():
         return ""
     first, last = int(content.argmax()), len(content) - 1 - int(content[::-1].argmax())
@@ -243,7 +247,8 @@ def main_text(html: str) -> str:
         node = found[k][0]
         if content[k] or closed[node.at]:
             continue
-        before = k < last and taken[k + 1] and (node.tag in HEADING or node.up == found[k + 1][0].up)
+        lead = 0 < k and node.tag == "p" and keep[node.at] == 1 and found[k - 1][0].tag in HEADING and found[k - 1][0].up == node.up
+        before = k < last and taken[k + 1] and (node.tag in HEADING or node.up == found[k + 1][0].up or lead and not linked[k])
         taken[k] = before or (first < k < last or home[node.at]) and (k > first or not linked[k])
     return "\n".join(text for (_, text, _), ok in zip(found, taken) if ok)
 
