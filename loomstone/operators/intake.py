@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import backoff_seconds, col, url_host
+from ..sources.tables import discard, written
 
 
 def expire(entries: DataFrame, now: Column, seen: str = "seen", days: int = 7) -> DataFrame:
@@ -37,7 +37,10 @@ def bands(fp, parts: int = 4) -> Column:
 
 
 def near_pairs(rows: DataFrame, fp: str = "fp", bits: int = 3) -> DataFrame:
-    """(a, b), a < b: distinct fingerprints within `bits` (at most 3) bits, joined by their parts and verified."""
+    """(a, b), a < b: distinct fingerprints within `bits` (at most 3) bits, joined by their parts and verified.
+
+    All links are asked for, so very many fingerprints close to each other give very many pairs; greedy_keep() does not need them.
+    """
     if not 0 <= bits <= 3:
         raise ValueError("four parts find every pair within 3 bits")
     cut = rows.select(fp).distinct().select(F.col(fp).alias("f"), F.explode(bands(fp)).alias("band"))
@@ -46,25 +49,35 @@ def near_pairs(rows: DataFrame, fp: str = "fp", bits: int = 3) -> DataFrame:
     return a.join(b, "band").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
-def greedy_keep(rows: DataFrame, pairs: DataFrame, component: DataFrame, order: str, fp: str = "fp") -> DataFrame:
-    """Fingerprints that stay when rows come in order and each that is near a kept one goes: (fp).
+def greedy_keep(rows: DataFrame, order: str, fp: str = "fp", bits: int = 3) -> DataFrame:
+    """(fp): fingerprints that stay when rows come in order and each that is within `bits` (at most 3) bits of a kept one goes.
 
-    Only fingerprints with a near one are looked at together: those of one component, in arrival order. component (node, component). A component's
-    fold is one task's work; titles are short and distinct fingerprints near each other few beside the copies, which share one.
+    In rounds: an undecided fingerprint that is the first of the undecided in all its parts (bands) stays, and what is near it goes; so does each
+    without an earlier undecided near one. The set is that of the pass in order (ties of arrival by fingerprint). Who comes first in a band is an
+    aggregate, and only those who are not are compared, with the earlier undecided ones of their bands; a fingerprint's duplicates share its row. A round
+    is a few joins, however large a group is; rounds follow the longest chain of earlier near ones, which is short unless titles arrive along it.
     """
-    first = rows.groupBy(fp).agg(F.min(order).alias("at"))
-    near = pairs.select(F.col("a").alias(fp), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias(fp), F.col("a").alias("other"))).groupBy(fp).agg(F.collect_list("other").alias("others"))
-    linked = first.join(near, fp).join(component.withColumnRenamed("node", fp), fp)
-    schema = f"{fp} long"
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        for f, others in group.sort_values(["at", fp])[[fp, "others"]].itertuples(index=False):
-            if kept.isdisjoint(others):
-                kept.add(f)
-        return pd.DataFrame({fp: sorted(kept)}, dtype="int64")
-
-    return first.join(near, fp, "left_anti").select(fp).unionByName(linked.groupBy("component").applyInPandas(keep, schema))
+    if not 0 <= bits <= 3:
+        raise ValueError("four parts find every pair within 3 bits")
+    left = written(rows.groupBy(F.col(fp).alias("f")).agg(F.min(order).alias("at")))
+    kept = None
+    close = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= bits
+    while left.take(1):
+        cut = left.select("f", F.struct("at", "f").alias("rank"), F.explode(bands("f")).alias("band"))
+        first = cut.groupBy("band").agg(F.min("rank").alias("first"))
+        ahead = cut.join(first, "band").where(F.col("first.f") != F.col("f"))
+        # Near an undecided one that comes first in a shared band: waits for it. Else it is compared with all earlier ones of its bands.
+        waits = ahead.where(F.bit_count(F.col("f").bitwiseXOR(F.col("first.f"))) <= bits).select("f").distinct()
+        open_ = ahead.select("f").distinct().join(waits, "f", "left_anti")
+        mine = cut.join(open_, "f", "left_semi")
+        held = mine.join(cut.select("band", F.col("f").alias("g"), F.col("rank").alias("before")), "band").where((F.col("before") < F.col("rank")) & close).select("f").distinct()
+        stay = written(left.join(waits.unionByName(held), "f", "left_anti").select("f"))
+        near = cut.join(stay.toDF("g").select("g", F.explode(bands("g")).alias("band")), "band").where(close).select("f").distinct()
+        kept, old_kept = written(stay if kept is None else kept.unionByName(stay)), kept
+        left, old = written(left.join(near, "f", "left_anti")), left
+        discard(old, old_kept, stay)
+    discard(left)
+    return (rows.select(F.col(fp).alias("f")).limit(0) if kept is None else kept).select(F.col("f").alias(fp))
 
 
 def retry_plan(failures: DataFrame, attempt: str = "attempt", failed_at: str = "failed_at", most: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import posting_index, retrieval, vector_index
+from ..operators import graph, posting_index, retrieval, similar_names, vector_index
 from ..sources import keyed, tables
 from ..streaming import retries, windows
 from .registry import Registry, table
@@ -158,3 +158,29 @@ def retry_timers(spark, d):
     failed = e.select(F.col("event_id").alias("item"), F.col("user_id").alias("host"), (F.col("event_id") % 5).alias("attempt"), F.col("ts").alias("failed_at"), F.lit("failed").alias("outcome"))
     found = windows.run_once(retries.retry_stream(failed), "append")
     return found.select("kind", F.col("host").cast("bigint").alias("host"), F.col("item").cast("bigint").alias("item"), "attempt", F.unix_millis("due").alias("due"))
+
+
+# Candidates by name, and triangles: joins that do not grow with the square of their input.
+
+_GRAMS = "n AS (SELECT DISTINCT p_name AS x, list_distinct([substring(repeat(chr(2), 2) || lower(p_name) || repeat(chr(3), 2), i, 3) FOR i IN range(1, length(p_name) + 3)]) AS g FROM part WHERE p_name <> '')"
+
+
+@R.frame("D13_name_links", f"WITH {_GRAMS}, p AS (SELECT a.x AS a, b.x AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM n a JOIN n b ON a.x < b.x WHERE 100 * least(len(a.g), len(b.g)) >= 60 * greatest(len(a.g), len(b.g))) SELECT a, b, round(i / (s - i), 6) AS similarity FROM p WHERE 100 * i >= 60 * (s - i)")
+def name_links(spark, d):
+    return similar_names.name_links(table(spark, d, "part"), 60, "p_name").withColumn("similarity", F.round("similarity", 6))
+
+
+@R.frame("D14_name_candidates", f"WITH {_GRAMS}, q AS (SELECT DISTINCT p_name AS x FROM part WHERE p_partkey % 50 = 0), p AS (SELECT a.x AS asked, b.x AS name, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM n a JOIN q USING (x), n b) SELECT asked, name, round(i / (s - i), 6) AS similarity FROM p WHERE 100 * i >= 80 * (s - i)")
+def name_candidates(spark, d):
+    names = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return similar_names.name_candidates(names, names.where("p_partkey % 50 = 0"), 80).withColumn("similarity", F.round("similarity", 6))
+
+
+_EDGE = "e AS (SELECT DISTINCT least(o_custkey, o_custkey + 1 + o_orderkey % 40) AS src, greatest(o_custkey, o_custkey + 1 + o_orderkey % 40) AS dst FROM orders)"
+
+
+@R.frame("J16_graph_triangles", f"WITH {_EDGE} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst")
+def graph_triangles(spark, d):
+    """Customers and those whose number lies a little above, by their orders' numbers."""
+    o = table(spark, d, "orders")
+    return graph.triangles(o.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 40).alias("dst")))

@@ -247,9 +247,7 @@ def title_fingerprints(spark, d):
 def greedy_titles(spark, d):
     """Fingerprints of titles that stay when pages come in order of their ids."""
     rows = tables.written(_titles(spark, d).select("id", intake.title_fingerprint("title").alias("fp")))
-    pairs = tables.written(intake.near_pairs(rows))
-    component = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return intake.greedy_keep(rows, pairs, component, "id").join(rows.groupBy("fp").agg(F.min("id").alias("id")), "fp").select("id")
+    return intake.greedy_keep(rows, "id").join(rows.groupBy("fp").agg(F.min("id").alias("id")), "fp").select("id")
 
 
 @R.frame("S12_table_schema", "SELECT column_name AS name, data_type AS kind FROM (DESCRIBE SELECT * FROM lineitem) t(column_name, data_type, a, b, c, e)")

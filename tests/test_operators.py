@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import columns as C
 from loomstone.functions import texts as T
-from loomstone.operators import as_of, communities, context, entities, graph, health, intake, leiden, memory, retrieval
+from loomstone.operators import as_of, communities, context, entities, graph, health, intake, leiden, memory, retrieval, similar_names
 from loomstone.plans import lifecycle, search, streams
 from loomstone.plans import texts as text_plans
 from loomstone.sources import tables
@@ -277,9 +277,55 @@ def test_titles_by_brute_force(spark, sf):
 def test_greedy_keep_is_in_order(spark):
     fps = [0b0, 0b111, 0b111111, 0b1, -1]  # 0 drops 0b111 and 0b1; 0b111111 stays: it is near what went, not what stayed
     rows = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, at int")
-    pairs = intake.near_pairs(rows)
-    kept = intake.greedy_keep(rows, pairs, graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "at")
+    kept = intake.greedy_keep(rows, "at")
     assert sorted(r["fp"] for r in kept.collect()) == [-1, 0, 0b111111]
+    assert intake.greedy_keep(rows.limit(0), "at").count() == 0
+
+
+def test_greedy_keep_equals_the_fold(spark):
+    r = random.Random(6)
+    for _ in range(3):
+        base = [r.getrandbits(63) for _ in range(6)]
+        data = [(b ^ sum(1 << k for k in r.sample(range(63), r.randint(0, 4))), r.randint(0, 60)) for b in base for _ in range(25)]
+        kept = []
+        first = {}
+        for f, at in data:
+            first[f] = min(at, first.get(f, at))
+        for f in sorted(first, key=lambda f: (first[f], f)):
+            if all((f ^ g).bit_count() > 3 for g in kept):
+                kept.append(f)
+        got = intake.greedy_keep(spark.createDataFrame(data, "fp long, at int"), "at")
+        assert sorted(x["fp"] for x in got.collect()) == sorted(kept)
+
+
+def test_triangles_by_brute_force(spark):
+    r = random.Random(7)
+    edges = {(r.randint(0, 30), r.randint(0, 30)) for _ in range(160)}
+    near = {frozenset(e) for e in edges if e[0] != e[1]}
+    want = {t for t in itertools.combinations(range(31), 3) if all(frozenset(x) in near for x in itertools.combinations(t, 2))}
+    got = [tuple(x) for x in graph.triangles(spark.createDataFrame([*edges, *edges], "src long, dst long")).collect()]
+    assert sorted(got) == sorted(want)
+    star = spark.range(1, 20_000).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    assert graph.triangles(star).count() == 0
+
+
+def test_name_links_by_brute_force(spark):
+    r = random.Random(8)
+    stems = ["Acme Holding", "International Paper", "Ünited Steel", "北京大学", "A", "Anna Schmidt"]
+    names = {s + r.choice(["", " Ltd", " ltd", "s", " AG", " Co"]) for s in stems for _ in range(8)} | {"", "x" * 300, "x" * 299}
+    df = spark.createDataFrame([(n,) for n in [*names, *names, None]], "name string")
+    sets = {}
+    for n in names - {""}:
+        p = "\x02\x02" + n.lower() + "\x03\x03"
+        sets[n] = {p[k : k + 3] for k in range(len(p) - 2)}
+    for share in (60, 80):
+        want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])}
+        got = {(x["a"], x["b"]): x["similarity"] for x in similar_names.name_links(df, share).collect()}
+        assert set(got) == want and all(abs(v - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-12 for (a, b), v in got.items())
+    asked = df.where("name like 'Acme%'")
+    found = {(x["asked"], x["name"]) for x in similar_names.name_candidates(df, asked, 60).collect()}
+    mine = [n for n in sets if n.startswith("Acme")]
+    assert found == {(a, b) for a in mine for b in sets if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
 
 
 def test_near_state_of_a_stream(spark, sf):
