@@ -2,8 +2,8 @@
 
 The pieces of an existing unigram vocabulary span a lattice over each word; its scores, normalised once, weight all segmentations, and a
 forward recursion in log space returns the word's marginal probability (the product over its words and one end is `lattice_score`). That
-marginal is the base measure of the corpus' model: of a training word's count DISCOUNT is given up, and what all words give up is shared
-out by the lattice, so every text has a probability, known words by their counts and any word by its segmentations. The document's
+marginal is the base measure of the corpus' model: of a training word's count a discount is given up, estimated from how many words
+occur once, twice, three and four times, so that rare words give up a larger part; what all words give up is shared out by the lattice, so every text has a probability, known words by their counts and any word by its segmentations. The document's
 marginal probability under this model is `score`. Counts of all training words are kept, so the model grows with the corpus; nothing
 in it depends on how words travel.
 """
@@ -22,7 +22,7 @@ from .common import TEXT, arrow_map, crc_mod, slices, written
 
 SPACE = "▁"
 FREQUENT = 65_536  # at most so many of the most frequent words are broadcast; no other word has more than one in so many tokens
-DISCOUNT = 0.75  # of each distinct training word's count is shared out by the lattice
+DISCOUNT = 0.75  # of a training word's count, where the counts of counts tell nothing
 FLUSH = 400_000  # distinct words that a task counts before it hands them on
 LN10 = math.log(10)
 BYTES = 1e-4  # share of the byte pieces beside all others
@@ -119,6 +119,13 @@ def frequent_above(counts: DataFrame, most: int = FREQUENT) -> int:
     return 0
 
 
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """What a word that occurs once, twice, or more often gives up of its count, from the numbers of words that occur once to four times."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.0
+    out = [k - (k + 1) * y * b / a if y and a and b else DISCOUNT for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return tuple(min(max(d, 0.05), 0.95 * k) for k, d in zip((1, 2, 3), out))
+
+
 def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score (log10).
 
@@ -133,17 +140,20 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT), (F.col(id_col).isNotNull() & (crc_mod(id_col, fold) != held)).alias("train"), (crc_mod(id_col, fold) == held).alias("held_out"))
     counts = written(word_counts(rows, "train"))
     ends = rows.where("train").count()
-    stats = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    stats = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), *[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in range(1, 5)]).first()
     n_all, distinct = (stats["n"] or 0) + ends, stats["v"] + (1 if ends else 0)
     limit = frequent_above(counts)
     logp = vocabulary(model_path)
     end = math.log(1 / (1 + len(logp)))  # the lattice's end: as likely as a piece is on the mean
     model = spark.sparkContext.broadcast((logp, math.log1p(-math.exp(end))))
-    log_shared = math.log(DISCOUNT * distinct / n_all) if n_all else 0.0
+    rare = discounts(*(stats[f"n{k}"] for k in range(1, 5)))
+    off = lambda c: rare[min(c, 3) - 1] if c else 0.0
+    given_up = rare[0] * stats["n1"] + rare[1] * stats["n2"] + rare[2] * (stats["v"] - stats["n1"] - stats["n2"]) + off(ends)
+    log_shared = math.log(given_up / n_all) if n_all else 0.0
 
     def mixed(c, lp):
         """Natural log of a word's probability: its discounted share of all tokens and the lattice's part of what was given up."""
-        given, own = lp + log_shared, max(c - DISCOUNT, 0.0) / max(n_all, 1)
+        given, own = lp + log_shared, max(c - off(c), 0.0) / max(n_all, 1)
         if own == 0:
             return given
         kept = math.log(own)

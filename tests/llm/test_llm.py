@@ -446,7 +446,13 @@ def test_lm_scores_by_brute_force(docs, monkeypatch):
     ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in text)
     n, v, end = sum(train.values()) + ends, len(train) + 1, np.log(1 / (1 + len(logp)))
     lp = {w: marginal(w) + np.log1p(-np.exp(end)) for w in {w for ws in text.values() for w in ws}}
-    p = lambda c, base: max(c - lattice.DISCOUNT, 0) / n + lattice.DISCOUNT * v / n * np.exp(base)
+    n1, n2, n3, n4 = (sum(c == k for c in train.values()) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    off = lambda c: d[min(c, 3)]
+    assert v > 100 and lattice.discounts(n1, n2, n3, n4) == tuple(d[1:]) and 0 < d[1] < d[3]
+    given = sum(map(off, [*train.values(), ends])) / n
+    p = lambda c, base: max(c - off(c), 0) / n + given * np.exp(base)
     read = lambda: {r["doc_id"]: r for r in lattice.lattice_scores(few, PIECES).collect()}
     whole = read()
     for i, r in whole.items():
@@ -458,6 +464,11 @@ def test_lm_scores_by_brute_force(docs, monkeypatch):
         assert whole.keys() == again.keys() and all(np.isclose(whole[k]["score"], again[k]["score"], rtol=1e-9) for k in whole)
 
 
+def test_discounts_of_odd_counts():
+    for counts in ((0, 0, 0, 0), (5, 0, 0, 0), (3, 9, 40, 200), (100, 1, 0, 7), (0, 4, 4, 4)):
+        assert all(0 < d < k for k, d in zip((1, 2, 3), lattice.discounts(*counts)))
+
+
 def test_lm_base_score(docs, spark, sf):
     text = {r["doc_id"]: lattice.words_of(r["text"] or "") for r in docs.collect()}
     train = Counter(w for i, ws in text.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*ws, ("end",)])
