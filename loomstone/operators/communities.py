@@ -196,3 +196,17 @@ def report_inputs(members: DataFrame, edges: DataFrame, entities: int = 50, rela
     links = inner.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= relations).groupBy("community").agg(F.count(F.lit(1)).alias("links"))
     return nodes.join(links, "community", "left").select("community", "nodes", F.coalesce("links", F.lit(0)).alias("links"))
 
+
+
+def inner_links(ends: DataFrame, a: str, b: str, item: str, most: int) -> DataFrame:
+    """(community, item, weight): links within one community by item, the `most` frequent ones. ends (a, b, item): the communities of both ends."""
+    inner = ends.where(F.col(a) == F.col(b)).groupBy(F.col(a).alias("community"), item).agg(F.count(F.lit(1)).alias("weight"))
+    return inner.orderBy(F.desc("weight"), item, "community").limit(most)
+
+
+def mention_triangles(mentions: DataFrame, links: DataFrame, by: str, item: str, link_key: str, other: str) -> DataFrame:
+    """(by, e1, e2), e1 < e2: two items of one article of which the second has a link that shares `other` with the first's mention."""
+    one = mentions.select(by, F.col(item).alias("e1"), F.col(other).alias("shared"))
+    two = mentions.select(by, F.col(item).alias("e2"))
+    closed = links.select(F.col(link_key).alias("e2"), F.col(other).alias("shared")).distinct()
+    return one.join(two, by).where("e1 < e2").join(closed, ["e2", "shared"], "left_semi").select(by, "e1", "e2").distinct()

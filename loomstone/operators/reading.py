@@ -93,3 +93,16 @@ def surroundings(rows: DataFrame, by: list[str], order: list[str], key: str, rea
 
 def running(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     return rows.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def index_scan(docs: DataFrame, text: str, source: str, sources: list[str]) -> DataFrame:
+    """Documents with a text, of the sources: what an index is built from."""
+    return docs.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(source).isin(sources))
+
+
+def by_sections(rows: DataFrame, section: str, first: list[str], then: list[str]) -> DataFrame:
+    """rows in the order of their sections (those of `first`, then all others), within one by the columns `then`."""
+    place = F.lit(len(first))
+    for k, name in reversed(list(enumerate(first))):
+        place = F.when(F.col(section) == name, k).otherwise(place)
+    return rows.orderBy(place, *then)

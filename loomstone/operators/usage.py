@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,38 @@ def two_ends(edges: DataFrame, a: tuple[DataFrame, str, str], b: tuple[DataFrame
     for name, (members, end, group) in (("c1", a), ("c2", b)):
         edges = edges.join(members.select(end, F.col(group).alias(name)), end)
     return edges
+
+
+def errors_by_type(calls: DataFrame, kind: str, failed: Column) -> DataFrame:
+    """(kind, n) of the calls that failed; an unknown kind is "unknown"."""
+    return calls.where(failed).groupBy(F.coalesce(F.col(kind), F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_count(rows: DataFrame, size: int = 20) -> DataFrame:
+    """One row (total, pages) of a filtered listing."""
+    return rows.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+
+
+def mean_degree(nodes: DataFrame, node: str, edges: DataFrame, end: str) -> DataFrame:
+    """One row (mean): edges a node, nodes without any included; edges of no listed node do not count."""
+    known = nodes.select(F.col(node).alias("n")).distinct()
+    touching = edges.join(known, F.col(end) == F.col("n"), "left_semi").agg(F.count(F.lit(1)).alias("e"))
+    one = nodes.agg(F.count(F.lit(1)).alias("all")).join(F.broadcast(touching))  # two single rows
+    return one.select(F.when(F.col("all") > 0, F.col("e") / F.col("all")).alias("mean"))
+
+
+def group_sizes(members: DataFrame, group: str) -> DataFrame:
+    """One row (communities, mean_size, largest, smallest)."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    return sizes.agg(F.count(F.lit(1)).alias("communities"), F.avg("size").alias("mean_size"), F.max("size").alias("largest"), F.min("size").alias("smallest"))
+
+
+def counted_sure(events: DataFrame, by: str, enough: int = 10) -> DataFrame:
+    """(by, events, sure): whether there are enough of them to be sure of the count."""
+    return events.groupBy(by).agg(F.count(F.lit(1)).alias("events")).withColumn("sure", F.least(F.lit(1.0), F.col("events") / float(enough)) >= 1.0)
+
+
+def dropped_over(series: DataFrame, by: str, order: list[str], value: str, steps: int = 2, more_than: float = 0.05) -> DataFrame:
+    """series with `dropped`: whether the value is lower than `steps` rows before by more than the amount; null before there are so many."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return series.withColumn("dropped", F.lag(value, steps).over(w) - F.col(value) > more_than)

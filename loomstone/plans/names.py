@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import context, entities, graph, memory, retrieval
 from ..sources import tables
 from .registry import Registry, table
+from .text import LISTED
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
@@ -182,7 +183,7 @@ def _check(name):
 
 
 R.frame("V3_encoding_check", f"WITH {_URLS} SELECT page_id, CASE WHEN contains(url_decode(url), '%') THEN 2 WHEN regexp_matches(lower(url), '%00|%0d|%0a|%2e%2e|%25') THEN 3 ELSE 0 END AS level FROM u")(_check("encoding"))
-R.frame("V4_keyword_check", f"WITH {_URLS}, n AS (SELECT page_id, len(list_filter({_list(C.SUSPICIOUS_WORDS)}, lambda w: contains(lower(url_decode(url)), w))) AS n FROM u) SELECT page_id, CASE WHEN n >= 3 THEN 3 WHEN n >= 1 THEN 2 ELSE 0 END AS level FROM n")(_check("words"))
+R.frame("V4_keyword_check", f"WITH {_URLS}, n AS (SELECT page_id, len(list_filter({_list(LISTED)}, lambda w: contains(lower(url_decode(url)), w))) AS n FROM u) SELECT page_id, CASE WHEN n >= 3 THEN 3 WHEN n >= 1 THEN 2 ELSE 0 END AS level FROM n")(_check("words"))
 R.frame("V5_domain_check", f"WITH {_URLS}, h AS (SELECT page_id, {_HOST} AS h FROM u), o AS (SELECT page_id, h, CAST(len(string_split(h, '.')) > 5 AS INTEGER) + CAST(len(list_filter(string_split(h, '.'), lambda p: length(p) > 63)) > 0 AS INTEGER) + CAST(length(h) - length(replace(h, '-', '')) > 5 AS INTEGER) + CAST(contains(h, 'xn--') AS INTEGER) + CAST(regexp_matches(string_split(h, '.')[1], '^[0-9]+$') AS INTEGER) AS odd FROM h) SELECT page_id, CASE WHEN h IN ('bit.ly', 'goo.gl', 't.co') THEN 1 WHEN odd >= 2 THEN 3 WHEN odd = 1 THEN 2 ELSE 0 END AS level FROM o")(_check("domain"))
 R.frame("V6_port_check", f"WITH {_URLS}, p AS (SELECT page_id, coalesce(TRY_CAST(regexp_extract(url, '^[A-Za-z]+://[^/?#]*:(\\d+)', 1) AS INTEGER), 0) AS p FROM u) SELECT page_id, CASE WHEN p IN (22, 23, 445, 3389, 4444, 5555, 6667) THEN 3 WHEN p > 49151 THEN 2 ELSE 0 END AS level FROM p")(_check("port"))
 R.frame("V6_length_check", f"WITH {_URLS} SELECT page_id, CASE WHEN length(url) > 2000 THEN 2 WHEN length(url) > 1000 THEN 1 ELSE 0 END AS level FROM u")(_check("length"))

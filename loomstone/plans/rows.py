@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import reading, usage
+from ..operators import communities, reading, usage
 from ..sources import tables
 from . import relational
 from .registry import table
@@ -181,3 +181,59 @@ def fill_if_null(s, d):
 def consistency(s, d):
     docs, labels = T(s, d, "documents"), T(s, d, "labels")
     return usage.table_counts({"documents": docs, "labelled": labels, "lost": reading.missing(labels, docs, "doc_id", "doc_id")})
+
+
+@plan("S28_index_scan")
+def index_scan(s, d):
+    found = reading.index_scan(T(s, d, "documents"), "text", "source", ["src0", "src1", "src2"])
+    return found.select("doc_id", "source", F.length("text").cast("long").alias("n"))
+
+
+@plan("A2_errors_by_type")
+def errors_by_type(s, d):
+    return usage.errors_by_type(T(s, d, "events"), "event_type", _k() > 10)
+
+
+@plan("A19_filtered_count")
+def filtered_count(s, d):
+    return usage.page_count(reading.in_state(T(s, d, "orders"), "o_orderstatus", "O"))
+
+
+@plan("A22_average_degree")
+def average_degree(s, d):
+    return usage.mean_degree(T(s, d, "part"), "p_partkey", T(s, d, "lineitem"), "l_partkey").select(F.round("mean", 9).alias("mean"))
+
+
+@plan("A27_community_metrics")
+def community_metrics(s, d):
+    return usage.group_sizes(T(s, d, "nation"), "n_regionkey").withColumn("mean_size", F.round("mean_size", 6))
+
+
+@plan("A32_count_aggregate")
+def count_aggregate(s, d):
+    return usage.counted_sure(T(s, d, "events"), "user_id")
+
+
+@plan("W9_drop_over_three")
+def drop_over_three(s, d):
+    return usage.dropped_over(T(s, d, "events"), "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", "dropped")
+
+
+@plan("K9_stable_sections")
+def stable_sections(s, d):
+    return reading.by_sections(T(s, d, "conversations"), "role", ["system", "user"], ["conv_id", "turn"]).select("conv_id", "turn", "role")
+
+
+@plan("J25_intra_community")
+def intra_community(s, d):
+    c = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("rc"))
+    sup = T(s, d, "supplier").join(T(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("rs"))
+    o = T(s, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "rc")
+    li = T(s, d, "lineitem").select("l_orderkey", "l_suppkey").join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+    return communities.inner_links(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "rs", "rc", "l_suppkey", 30)
+
+
+@plan("J16_triangles")
+def mention_triangles(s, d):
+    li = T(s, d, "lineitem")
+    return communities.mention_triangles(li, li, "l_orderkey", "l_partkey", "l_orderkey", "l_suppkey")

@@ -120,7 +120,10 @@ def x42(spark, d):
 
 _HOST = "regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)), ':[0-9]*$', '')"
 _PORT = "coalesce(try_cast(regexp_extract(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1), ':([0-9]+)$', 1) AS INTEGER), 0)"
-_WORDS = " + ".join(f"contains(lower(p), '{w}')::INTEGER" for w in C.SUSPICIOUS_WORDS)
+# Fixed values, written apart from those that the functions use.
+LISTED = ["login", "signin", "sign-in", "verify", "verification", "secure", "security", "account", "update", "confirm", "password", "credential", "auth", "authenticate",
+          "banking", "wallet", "payment", "transaction", "phishing", "scam", "fraud", "suspended", "locked", "alert", "warning", "urgent", "limited", "expire"]
+_WORDS = " + ".join(f"contains(lower(p), '{w}')::INTEGER" for w in LISTED)
 _RISK = f"""WITH u AS (SELECT page_id, u, {_HOST} AS host, {_PORT} AS port, url_decode(replace(u, '+', '%2B')) AS p FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)),
 c AS (SELECT *, string_split(host, '.') AS labels, {_WORDS} AS words FROM u),
 o AS (SELECT *, (len(labels) > 5)::INTEGER + (len(list_filter(labels, lambda x: length(x) > 63)) > 0)::INTEGER + (length(host) - length(replace(host, '-', '')) > 5)::INTEGER + contains(host, 'xn--')::INTEGER + regexp_matches(labels[1], '^[0-9]+$')::INTEGER AS odd FROM c),
