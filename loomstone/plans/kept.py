@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, posting_index, retrieval, similar_names, vector_index
+from ..operators import graph, posting_index, retrieval, similar_names, table_functions, vector_index
 from ..sources import keyed, tables
 from ..streaming import retries, windows
 from .registry import Registry, table
@@ -184,3 +184,14 @@ def graph_triangles(spark, d):
     """Customers and those whose number lies a little above, by their orders' numbers."""
     o = table(spark, d, "orders")
     return graph.triangles(o.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 40).alias("dst")))
+
+
+_FIT = "c AS (SELECT CAST(conv_id AS VARCHAR) AS name, CAST(turn AS VARCHAR) AS item, CAST(coalesce(length(text) // 4, 0) AS BIGINT) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations), r AS (SELECT name, item, size, k, CASE WHEN size <= 100 THEN size ELSE 0 END AS used, size <= 100 AS fits FROM c WHERE k = 1 UNION ALL SELECT c.name, c.item, c.size, c.k, CASE WHEN r.used + c.size <= 100 THEN r.used + c.size ELSE r.used END, r.used + c.size <= 100 FROM r JOIN c ON c.name = r.name AND c.k = r.k + 1)"
+
+
+@R.frame("W7_budget_function", f"WITH RECURSIVE {_FIT} SELECT name, item, size, used FROM r WHERE fits")
+def budget_function(spark, d):
+    """Turns of a conversation that fit in 100 tokens, by the table function in SQL."""
+    table_functions.register(spark)
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("name"), F.col("turn").cast("string").alias("item"), F.floor(F.length("text") / 4).alias("size"), "turn", "text")
+    return spark.sql("SELECT * FROM fit_budget(TABLE({c}) PARTITION BY name ORDER BY (turn, text), 100)", c=c)

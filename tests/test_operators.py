@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import columns as C
 from loomstone.functions import texts as T
-from loomstone.operators import as_of, communities, context, entities, graph, health, intake, leiden, memory, retrieval, similar_names
+from loomstone.operators import as_of, communities, context, entities, graph, health, intake, leiden, memory, retrieval, similar_names, table_functions
 from loomstone.plans import lifecycle, search, streams
 from loomstone.plans import texts as text_plans
 from loomstone.sources import tables
@@ -395,3 +395,14 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         tables.shared_dir(Fake)
+
+
+def test_budget_function_equals_the_fold(spark):
+    r = random.Random(9)
+    rows = [(g, k, r.choice([None, 0, 5, 30, 60, 120])) for g in range(12) for k in range(r.randint(1, 15))]
+    df = spark.createDataFrame(rows, "g long, k long, n long").repartition(3)
+    fold = {x["g"]: (x["kept"], x["used"]) for x in context.fit_budget(df, 100, "g", "k", "n").collect()}
+    got = {}
+    for x in table_functions.fit_budget(df, 100, "g", "k", "k", "n").collect():
+        got.setdefault(int(x["name"]), []).append((int(x["item"]), x["used"]))
+    assert {g: ([i for i, _ in sorted(v)], max(u for _, u in v)) for g, v in got.items()} == {g: v for g, v in fold.items() if v[0]}
