@@ -232,14 +232,15 @@ def main_text(html: str) -> str:
     apart = 2 * sum(p for p, x in zip(prose, inside) if x) >= under[0]
     scores = scores * lowered * np.where(apart & ~np.array(inside), OUTSIDE**weight, 1.0)
     content = (scores > 0) & (scores >= SHARE * scores.max())
-    if not content.any():
-        return ""
+    if not content.any() or all(much or keep[node.at] <= SIGN[2] ** weight for (node, _, _), much in zip(found, linked)):
+        return ""  # nothing, or nothing but furniture
     first, last = int(content.argmax()), len(content) - 1 - int(content[::-1].argmax())
     chosen, whole = _below(nodes, found, content * size), _below(nodes, found, size)
+    likely = _below(nodes, found, (scores >= 0.5 * SHARE * scores.max()) * size)  # a weak sign does not keep these from their article
     parents = {nodes[node.at].up for (node, _, _), ok in zip(found, content) if ok}
     closed, home = [False] * len(nodes), [False] * len(nodes)
     for node in nodes[1:]:
-        closed[node.at] = closed[node.up] or bool(node.sign) and not wrong[node.at] and not chosen[node.at]
+        closed[node.at] = closed[node.up] or bool(node.sign) and not wrong[node.at] and not (chosen if node.sign == 2 else likely)[node.at]
         frame = node.tag in ("article", "main") or node.at in parents and node.tag not in ("html", "body")
         home[node.at] = home[node.up] or frame and chosen[node.at] > 0 and chosen[node.at] >= MOST * whole[node.at]
     taken = content.copy()
