@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import texts as T
-from ..operators import entities, graph, intake
+from ..operators import entities, intake
 from ..sources import tables
 from .registry import Registry, table
 
