@@ -16,7 +16,7 @@ BUCKET_ROWS = 4_096  # rows of one source that are sorted together
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.expr(f"regexp_count({text}, '{WORD}')").cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))  # not by F.expr: a SQL literal unescapes the pattern
 
 
 def text_quality(text: str) -> Column:

@@ -189,6 +189,15 @@ def test_names_are_only_signs_of_furniture():
     assert html.main_text(menu + foot) == "" and html.main_text(f"<div hidden>{a}</div>") == ""
 
 
+def test_words_of_a_mix_are_those_of_the_pattern(spark):
+    texts = ["lazy y z", "x20 x09 D x0D", " \t\n\x0b\x0c\r", "a\x1cb\x85c\xa0d\u3000e f", "𝒳 \x00 中", "lone", "", None]
+    rows = [(k, t, ["b", "a", None][k % 3]) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    sizes = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t, _ in rows}
+    assert {k: r["size"] for k, r in got.items()} == sizes
+    assert all(r["source_size"] == sum(n for k, n in sizes.items() if rows[k][2] == r["source"]) for r in got.values())
+
+
 def test_mix(spark, docs, odd):
     rows = mixing.mix(docs).collect()
     sizes, taken = Counter(), Counter()
