@@ -153,8 +153,9 @@ _FAILED = "r AS (SELECT event_id, user_id, CAST(event_id % 5 AS INTEGER) AS atte
 
 @R.frame("Y7_retry_timers", f"WITH {_FAILED} SELECT 'dead' AS kind, user_id AS host, event_id AS item, attempt, CAST(NULL AS BIGINT) AS due FROM r WHERE attempt >= 3 UNION ALL SELECT 'retry', user_id, event_id, attempt + 1, ms + 60000 * CAST(pow(2, attempt) AS BIGINT) FROM r WHERE attempt < 3 AND ms + 60000 * CAST(pow(2, attempt) AS BIGINT) <= (SELECT max(ms) FROM r)")
 def retry_timers(spark, d):
-    """Errors as failures of their user: what waits comes out when its timer fires, the rest is dead or waits on."""
-    e = windows.event_stream(spark, f"{d}/events.parquet").where("event_type = 'error'")
+    """Errors as failures of their user: what waits comes out when its timer fires, the rest is dead or waits on. All files are one batch: they
+    are in no order of time, and a batch that comes after later times would be late."""
+    e = windows.event_stream(spark, f"{d}/events.parquet", files_a_batch=1_000_000).where("event_type = 'error'")
     failed = e.select(F.col("event_id").alias("item"), F.col("user_id").alias("host"), (F.col("event_id") % 5).alias("attempt"), F.col("ts").alias("failed_at"), F.lit("failed").alias("outcome"))
     found = windows.run_once(retries.retry_stream(failed), "append")
     return found.select("kind", F.col("host").cast("bigint").alias("host"), F.col("item").cast("bigint").alias("item"), "attempt", F.unix_millis("due").alias("due"))

@@ -2,7 +2,8 @@
 
 State is kept by host and part (a hash of the item), so that a host with very many failures is not one task's. Each waiting item has its due
 time (60 * 2^attempt seconds after it failed, as surveyed), for which a timer is set; when that fires, the items of that time come out. Times are
-event times, so a run that is started again from its checkpoint gives the same rows.
+event times, so a run that is started again from its checkpoint gives the same rows. Timers count milliseconds: a failure's time goes to the nearest
+one before the watermark and the due time are taken from it, so that both round alike; a dead row keeps its time whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def use_rocksdb(spark) -> None:
 
 
 class Retries(StatefulProcessor):
-    """(item, host, attempt, failed_at, outcome) in; retry and dead rows out.
+    """(item, host, attempt, failed_at in whole milliseconds, told, outcome) in; retry and dead rows out. told: the time as it came.
 
     outcome "failed": the item waits, or is dead if its attempts are used up. "done": a waiting item of that name leaves. An item that fails
     again while it waits takes the later failure's time. What has come out, or left, has no state any more.
@@ -40,15 +41,15 @@ class Retries(StatefulProcessor):
         self.due = handle.getMapState("due", "at bigint", "items array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows)).sort_values(["failed_at", "item", "attempt"], kind="stable")
+        whole = pd.concat(list(rows)).sort_values(["told", "item", "attempt"], kind="stable")
         dead, fresh = [], {}
-        for item, attempt, at, outcome in zip(whole["item"], whole["attempt"], whole["failed_at"], whole["outcome"]):
+        for item, attempt, at, told, outcome in zip(whole["item"], whole["attempt"], whole["failed_at"], whole["told"], whole["outcome"]):
             name = (item,)
             if outcome == "done" or int(attempt) >= self.most:
                 if self.waiting.containsKey(name):
                     self.waiting.removeKey(name)
                 if outcome != "done":
-                    dead.append(("dead", key[0], item, int(attempt), pd.NaT, at))
+                    dead.append(("dead", key[0], item, int(attempt), pd.NaT, told))
             else:
                 due = int(at.value // 1_000_000) + self.base * 1000 * 2 ** int(attempt)
                 self.waiting.updateValue(name, (int(attempt) + 1, due))
@@ -88,5 +89,6 @@ def retry_stream(failures: DataFrame, late: str = "0 seconds", most: int = 3, ba
     findable(failures.sparkSession)
     use_rocksdb(failures.sparkSession)
     rows = failures.select(F.col("host").cast("string").alias("host"), F.col("item").cast("string").alias("item"), F.col("attempt").cast("int").alias("attempt"), F.col("failed_at").cast("timestamp").alias("failed_at"), F.coalesce("outcome", F.lit("failed")).alias("outcome"))
-    rows = rows.where("host IS NOT NULL AND item IS NOT NULL AND failed_at IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))).withWatermark("failed_at", late)
+    nearest = F.timestamp_millis(F.round(F.unix_micros("failed_at") / 1000).cast("long"))
+    rows = rows.where("host IS NOT NULL AND item IS NOT NULL AND failed_at IS NOT NULL").withColumn("told", F.col("failed_at")).withColumn("failed_at", nearest).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))).withWatermark("failed_at", late)
     return rows.groupBy("host", "part").transformWithStateInPandas(Retries(most, base), OUT, "Append", "EventTime")

@@ -80,3 +80,19 @@ def test_stream_equals_the_simulation(spark, tmp_path, restart):
     # A run ends with a batch without rows, which lets the timers fire that its last times have reached.
     want, _ = simulate([x for rows in parts for x in (rows, [])] if restart else parts)
     assert sorted(set(map(str, got))) == sorted(set(map(str, want))) and any(x[0] == "retry" for x in got) and any(x[0] == "dead" for x in got)
+
+
+def test_times_go_to_the_nearest_millisecond(spark, tmp_path):
+    """Half a millisecond and more counts as a whole one, in due times and in the watermark; files that are not in order of time lose nothing."""
+    from loomstone.plans import kept
+
+    at = lambda us: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=us)
+    rows = [(100 + 5 * k, 4, at(120_000_000 - 5_000_000 * k), "error") for k in range(18)]  # the latest time comes first
+    rows += [(5, 1, at(1_500), "error"), (10, 1, at(1_499), "error"), (20, 2, at(59_999_499), "error"), (25, 2, at(60_000_500), "error"), (13, 2, at(7_600), "error"), (30, 3, at(5), "click")]
+    for row in rows:
+        spark.createDataFrame([row], "event_id long, user_id long, ts timestamp_ntz, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = kept.retry_timers(spark, str(tmp_path)).collect()
+    base = 1_704_067_200_000
+    due = {100 + 5 * k: base + 180_000 - 5_000 * k for k in range(12, 18)} | {5: base + 60_002, 10: base + 60_001, 20: base + 119_999}
+    assert {(r["item"], r["due"]) for r in got if r["kind"] == "retry"} == set(due.items())
+    assert [(r["item"], r["due"]) for r in got if r["kind"] == "dead"] == [(13, None)]
