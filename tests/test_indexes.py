@@ -135,3 +135,32 @@ def test_a_lost_segment_leaves_the_index(spark, asked, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert table_of(index.scores(asked)) == before and index.version()["docs"] == 1
     assert index.add(docs_of(spark, [(2, "w0")]), batch="b") and index.version()["docs"] == 2
+
+
+def test_comparisons_in_chunks_equal_the_column_function(spark, monkeypatch):
+    """Odd vectors, equal ones, ties by id, blocks of queries; no pair is made for a count, none beyond a task's best for the nearest."""
+    import random
+
+    from pyspark.sql import Window
+
+    from loomstone.functions.columns import cosine
+
+    r = random.Random(3)
+    some = lambda: [r.choice([0.0, 1.0, 2.0, -1.0, 0.3]) for _ in range(3)]
+    rows = [(k, some()) for k in range(60)] + [(60, None), (61, []), (62, [0.0] * 3), (63, [1.0, 2.0]), (64, [1.0, None, 2.0]), (65, [2.0, 1.0]), (66, [float("nan"), 1.0, 1.0]), (None, [1.0] * 3), (2**60 + 1, some())]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = e.where("vec_id % 5 = 0 or vec_id > 58").select(F.col("vec_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(retrieval, "CHUNK", 7)
+    every = e.alias("e").crossJoin(q.alias("q")).select("query_id", F.col("vec_id").alias("id"), cosine("e.embedding", "q.embedding").alias("similarity"))
+    told = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    brute = every.where("similarity >= 0")
+    assert told(retrieval.similarities(e, q, 0.0, block=9)) == told(brute)
+    ranked = lambda df, k: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    assert told(retrieval.knn(e, q, 4, 0.0)) == told(ranked(brute, 4))
+    assert told(retrieval.knn(e, q, 4, 0.0, others=True)) == told(ranked(brute.where("id IS NULL OR id <> query_id"), 4))
+    assert told(retrieval.similar_counts(e, q, 0.0)) == told(every.where("similarity > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("similar")))
+    # Ranked as rounded: of two that agree to one digit the smaller id is first. In a task only its k best are rows.
+    near = spark.createDataFrame([(1, [1.0, 0.31]), (2, [1.0, 0.3]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [x["id"] for x in retrieval.knn(near, asked, 1).collect()] == [2] and [x["id"] for x in retrieval.knn(near, asked, 1, digits=1).collect()] == [1]
+    assert "NestedLoop" not in retrieval.knn(e, q, 4)._jdf.queryExecution().toString()
