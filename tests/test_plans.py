@@ -51,3 +51,18 @@ def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) > 300 and set(e.oracle_sql()) <= set(e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
+def test_first_long_words_are_the_first_in_both(spark, tmp_path):
+    """Of more than three long words the first three by place count, in the query and in its SQL, repeats aside."""
+    import duckdb
+
+    from loomstone.plans import lifecycle
+
+    long = [f"{c * 12}" for c in "zyxwvutsrqponmlkjihgfedcba"]
+    spark.createDataFrame([(k, " ".join([long[k], "short", long[k], *long[k + 1 :: 2], *long[:k:3]])) for k in range(20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, " ".join(long[k : k + 1 + k % 4])) for k in range(26)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, lifecycle.text_fallback(spark, str(tmp_path)).collect())) == sorted(con.execute(lifecycle.SQL["R19_text_fallback"]).fetchall())
