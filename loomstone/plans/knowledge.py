@@ -295,9 +295,9 @@ SELECT query, section, item, CAST(place AS INTEGER) AS place FROM (SELECT *, row
 def r21(spark, d):
     line = table(spark, d, "lineitem")
     asked = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.col("p_partkey").alias("entity"))
-    relations = line.groupBy(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"), F.col("l_returnflag").alias("type")).agg(F.count(F.lit(1)).alias("weight"))
+    relations = line.groupBy(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"), F.col("l_returnflag").alias("type")).agg(F.count(F.lit(1)).alias("weight"))  # no part has a supplier's number
     mentions = line.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("article"), F.col("l_partkey").alias("entity"), F.col("o_orderdate").alias("at"))
-    return context.local_context(asked, relations, mentions)
+    return context.local_context(asked, relations, mentions, told=F.concat_ws(" ", "src", "type", 999999 - F.col("dst")))
 
 
 @R.frame("R25_confidence", "SELECT l_orderkey, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(1, 0.5 + least(0.2, 0.02 * n) + least(0.2, 0.01 * s) - CASE WHEN q < 500 THEN 0.2 ELSE 0 END)) END::DOUBLE AS answer, (0.5 + CASE WHEN n >= 3 THEN 0.1 ELSE 0 END + CASE WHEN q > 500 THEN 0.2 WHEN q > 200 THEN 0.1 ELSE 0 END)::DOUBLE AS whole FROM (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS s, CAST(sum(l_quantity::BIGINT) AS BIGINT) * 5 AS q FROM lineitem GROUP BY 1)")

@@ -66,3 +66,21 @@ def test_first_long_words_are_the_first_in_both(spark, tmp_path):
     for t in ("benchmark", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(map(tuple, lifecycle.text_fallback(spark, str(tmp_path)).collect())) == sorted(con.execute(lifecycle.SQL["R19_text_fallback"]).fetchall())
+
+
+def test_suppliers_are_no_parts_of_their_number(spark, tmp_path):
+    """Beyond a million parts one has the number that is shown for a supplier; it gets none of that supplier's relations."""
+    import datetime as dt
+
+    import duckdb
+
+    from loomstone.plans import knowledge
+
+    spark.createDataFrame([(0,), (50,), (1_000_050,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 50, 50, "A"), (2, 1_000_050, 7, "R"), (3, 9, 0, "N"), (3, 0, 0, "N")], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, dt.datetime(2024, 1, k)) for k in (1, 2, 3)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, knowledge.r21(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(knowledge.SQL["R21_local_context"]).fetchall()) and (50, "relations", "50 A 1000050", 1) in got
