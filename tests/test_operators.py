@@ -406,3 +406,18 @@ def test_budget_function_equals_the_fold(spark):
     for x in table_functions.fit_budget(df, 100, "g", "k", "k", "n").collect():
         got.setdefault(int(x["name"]), []).append((int(x["item"]), x["used"]))
     assert {g: ([i for i, _ in sorted(v)], max(u for _, u in v)) for g, v in got.items()} == {g: v for g, v in fold.items() if v[0]}
+
+
+def test_cycles_follow_only_what_is_merged_into(spark, monkeypatch):
+    """Items that nothing is merged into are not carried through the rounds, and rounds end when no chain is left."""
+    made, written = [], graph.written
+
+    def counted(df):
+        made.append(out := written(df))
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    star = spark.range(10, 1010).selectExpr("id", "id % 5 AS merged_into")
+    assert graph.on_cycles(star).count() == 0 and len(made) == 1 and made[0].count() == 0
+    ring = star.unionByName(spark.createDataFrame([(0, 1), (1, 0), (2, 2), (3, 4)], "id long, merged_into long"))
+    assert sorted(r["id"] for r in graph.on_cycles(ring).collect()) == [0, 1, 2]
