@@ -338,10 +338,9 @@ l AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 
 def _lexical(spark, d):
     docs = table(spark, d, "documents")
-    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")).join(docs, F.col("doc_id") == F.col("query_id"))
-    queries = asked.select("query_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
-    scores = retrieval.bm25(docs, queries).withColumn("score", F.round("score", 6))
-    return retrieval.ranked(scores, ["query_id"]).where("rank <= 20").select("query_id", "id", "rank")
+    starts = docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " ", 9), 1, 8), " ").alias("query"))
+    queries = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")).join(starts, "query_id")
+    return retrieval.bm25_top(docs, queries, 20).select("query_id", "id", "rank")
 
 
 _FUSED = f"{_KNN}, {_LEXICAL}, f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM k UNION ALL SELECT query_id, id, rank FROM l) GROUP BY 1, 2)"

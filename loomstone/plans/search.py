@@ -41,8 +41,7 @@ def bm25_index(spark, d):
 
 @R.frame("K3_top_bm25", f"{_BM25} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM b) WHERE rank <= 10")
 def bm25_top(spark, d):
-    scores = retrieval.bm25(table(spark, d, "documents"), _queries(spark, d)).withColumn("score", F.round("score", 6))
-    return retrieval.ranked(scores, ["query_id"]).where("rank <= 10")
+    return retrieval.bm25_top(table(spark, d, "documents"), _queries(spark, d), 10)
 
 
 _KNN = "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)"
@@ -64,8 +63,7 @@ def vector_threshold(spark, d):
          "t AS (SELECT item_id AS query_id, id, rank FROM benchmark JOIN o ON source = 'src' || item_id % 20 WHERE rank <= 20) SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM r WHERE rank <= 20 UNION ALL SELECT * FROM t) GROUP BY 1, 2")
 def rrf(spark, d):
     docs = table(spark, d, "documents")
-    scored = retrieval.bm25(docs, _queries(spark, d)).withColumn("score", F.round("score", 6))
-    lexical = retrieval.ranked(scored, ["query_id"]).where("rank <= 20").select("query_id", "id", "rank", F.lit("bm25").alias("list"))
+    lexical = retrieval.bm25_top(docs, _queries(spark, d), 20).select("query_id", "id", "rank", F.lit("bm25").alias("list"))
     # A query's second list depends on its source only: each source is ranked once, and its 20 rows meet all its queries.
     wanted = docs.where(F.col("source").isin([f"src{k}" for k in range(20)])).select("source", F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"))
     longest = retrieval.ranked(wanted, ["source"]).where("rank <= 20").select("source", "id", "rank")
@@ -77,7 +75,7 @@ def rrf(spark, d):
 @R.frame("R11_mmr")
 def mmr(spark, d):
     docs = table(spark, d, "documents")
-    top = retrieval.ranked(retrieval.bm25(docs, _queries(spark, d)), ["query_id"]).where("rank <= 20").drop("rank")
+    top = written(retrieval.bm25_top(docs, _queries(spark, d), 20, digits=12).drop("rank"))
     return retrieval.mmr(top.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), 5, most=20)
 
 

@@ -164,3 +164,30 @@ def test_comparisons_in_chunks_equal_the_column_function(spark, monkeypatch):
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert [x["id"] for x in retrieval.knn(near, asked, 1).collect()] == [2] and [x["id"] for x in retrieval.knn(near, asked, 1, digits=1).collect()] == [1]
     assert "NestedLoop" not in retrieval.knn(e, q, 4)._jdf.queryExecution().toString()
+
+
+def test_lexical_scores_in_tasks_equal_a_plain_count(spark, asked, monkeypatch):
+    """Odd texts, null ids, equal documents, queries in blocks and chunks; a task keeps its best only, and no posting is shuffled."""
+    import math
+    from collections import Counter
+
+    held = dict(texts(5, range(150))) | {200: None, 201: "", 202: "W0, w0! (w3)", 203: "w0 w3", 204: "w0 w3", 205: "w0 w3", None: "w50 w7"}
+    docs = docs_of(spark, list(held.items())).repartition(3)
+    words = {k: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() for k, t in held.items()}
+    mean, df, want = sum(map(len, words.values())) / len(words), Counter(t for w in words.values() for t in set(w)), {}
+    for q in asked.collect():
+        for k, w in words.items():
+            common = [t for t in (q["query"] or "").lower().split() if t in w]
+            if common:
+                want[q["query_id"], k] = sum(math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in common)
+    monkeypatch.setattr(retrieval, "CHUNK", 11)
+    monkeypatch.setattr(retrieval, "CELLS", 64)
+    monkeypatch.setattr(retrieval, "GROUP", 2)
+    for block in (2, 16384):
+        assert table_of(retrieval.bm25(docs, asked, block=block)) == {x: round(s, 9) for x, s in want.items()}
+        got = retrieval.bm25_top(docs, asked, 4, digits=3, block=block)
+        best = {q: sorted(((-math.floor(s * 1000 + 0.5) / 1000, -1 if k is None else k) for (p, k), s in want.items() if p == q))[:4] for q, _ in want}
+        assert sorted((r["query_id"], r["rank"], -1 if r["id"] is None else r["id"], -r["score"]) for r in got.collect()) == sorted((q, n, k, s) for q, x in best.items() for n, (s, k) in enumerate(x, 1))
+        assert sum(map(len, best.values())) <= retrieval.bm25(docs, asked, block=block).count()
+    assert "Exchange" not in retrieval.bm25(docs, asked)._jdf.queryExecution().executedPlan().toString()
+    assert retrieval.bm25_top(docs, asked.limit(0), 3).count() == retrieval.bm25(docs.limit(0), asked).count() == 0
