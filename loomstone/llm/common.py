@@ -55,10 +55,11 @@ def slices(batch: pa.RecordBatch, column: int, rows: int, most: int = SLICE_BYTE
 def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str, str]], keep: Sequence[str], make: Callable | None = None, rows: int = 512) -> DataFrame:
     """keep columns of df plus fields that fn computes from lists of texts (null: "").
 
-    Names that clash are refused. fn(texts[, state]) returns one list or array per field. make() builds the state once per task. Work is done in slices of at most
+    A text that is kept travels once. Names that clash are refused. fn(texts[, state]) returns one list or array per field. make() builds the state once per task. Work is done in slices of at most
     `rows` rows and SLICE_BYTES bytes, so that a task holds little beside the Arrow batch that Spark hands over.
     """
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(TEXT))
+    own = text in keep
+    source = df.select(*keep) if own else df.select(*keep, F.col(text).alias(TEXT))
     schema = T.StructType([source.schema[c] for c in keep])
     for name, kind in fields:
         schema = schema.add(name, T.DataType.fromDDL(kind))
@@ -70,10 +71,11 @@ def map_text(df: DataFrame, text: str, fn: Callable, fields: Sequence[tuple[str,
     def run(batches):
         state = make() if make else None
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1, rows):
-                texts = part.column(part.num_columns - 1).to_pylist()
+            place = list(keep).index(text) if own else batch.num_columns - 1
+            for part in slices(batch, place, rows):
+                texts = [t or "" for t in part.column(place).to_pylist()]
                 out = fn(texts, state) if make else fn(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types))], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types))], names=names)
 
     return arrow_map(source, run, schema)
 

@@ -55,19 +55,22 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col:
 def golay() -> tuple[np.ndarray, np.ndarray]:
     """(the index of the codeword of each 23-bit word, the error pattern of each syndrome) of the code with generator x^11+x^10+x^6+x^5+x^4+x^2+1."""
     generator = 0b110001110101
-    words = np.arange(1 << 23, dtype=np.int32)
-    rest = words.copy()
-    for bit in range(22, 10, -1):
-        rest ^= np.where(rest >> bit & 1, generator << (bit - 11), 0).astype(np.int32)
+
+    def rest(words: np.ndarray) -> np.ndarray:
+        words = words.copy()
+        for bit in range(22, 10, -1):
+            words ^= (words >> bit & 1) * np.int32(generator << (bit - 11))
+        return words
+
     error = np.zeros(1 << 11, np.int32)
     single = [1 << i for i in range(23)]
-    for i, a in enumerate(single):
-        error[rest[a]] = a
-        for j in range(i + 1, 23):
-            error[rest[a | single[j]]] = a | single[j]
-            for k in range(j + 1, 23):
-                error[rest[a | single[j] | single[k]]] = a | single[j] | single[k]
-    return ((words ^ error[rest]) >> 11).astype(np.int16), error
+    near = [a | b | c for i, a in enumerate(single) for j, b in enumerate(single[i:]) for c in single[i + j :]]  # up to 3 bits
+    error[rest(np.array(near, np.int32))] = near
+    index = np.empty(1 << 23, np.int16)
+    for at in range(0, len(index), 1 << 17):  # in parts: a worker holds little beside the table
+        words = np.arange(at, at + (1 << 17), dtype=np.int32)
+        index[at : at + (1 << 17)] = (words ^ error[rest(words)]) >> 11
+    return index, error
 
 
 def golay_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +211,10 @@ def keep_one(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col
     Rows are told apart by a number of their own, given in a written table, so rows that share an id all stay unless their fingerprints
     link, and of equal rows one stays. Null texts are one component with empty ones.
     """
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("number"))
-    rows = written(fingerprints(numbered, ("row", "number")))
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = written(numbered)
     rank = F.struct(F.col(f"row.`{id_col}`").isNull().alias("a"), F.col(f"row.`{id_col}`").alias("b"), F.xxhash64(f"row.`{text_col}`").alias("c"), F.col("number").alias("d"))
-    kept = least_of_component(rows.select("fp", rank.alias("rank")), "rank", bits).select(F.col("least.d").alias("number")).distinct()
+    marked = written(fingerprints(rows.select(rank.alias("rank"), F.col(f"row.`{text_col}`").alias("text")), ("rank",)))  # rows stay in the JVM
+    kept = least_of_component(marked, "rank", bits).select(F.col("least.d").alias("number")).distinct()
     one = rows.join(kept.hint("merge"), "number", "left_semi")  # what stays grows with the documents: never broadcast
     return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -193,3 +193,21 @@ def test_prefixes_meet_under_every_order():
             met += 1
             assert all(len(np.intersect1d(x, y)) for x, y in zip(jaccard.prefixes(a, classes, 85), jaccard.prefixes(b, classes, 85)))
     assert met > 50
+
+
+def test_texts_pass_through_workers_once(spark, monkeypatch):
+    """A kept text is not sent beside itself; rows that are told apart stay in the JVM; the code's table is made in parts."""
+    import tracemalloc
+
+    from loomstone.llm import common, simhash
+
+    seen, real = [], common.arrow_map
+    monkeypatch.setattr(common, "arrow_map", lambda df, fn, schema: (seen.append(df.columns), real(df, fn, schema))[1])
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "")], "doc_id long, text string")
+    got = common.map_text(docs, "text", lambda texts: [[len(t) for t in texts]], [("n", "int")], ["doc_id", "text"])
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d e", 9), (2, None, 0), (3, "", 0)] and seen == [["doc_id", "text"]]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 2] and seen[1] == ["rank", common.TEXT]
+    tracemalloc.start()
+    simhash.golay.__wrapped__()
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
