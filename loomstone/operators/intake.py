@@ -19,16 +19,27 @@ def new_rows(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).dropDuplicates([key]).join(known.select(key).distinct(), key, "left_anti")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value taken once a row: a lambda's variable holds it, where an expression would be taken anew at every place and step."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def title_fingerprint(title, gram: int = 4) -> Column:
     """64-bit SimHash of the letters and digits of a title by character n-grams: each bit is set where more grams' hashes have it than
-    not. Null and empty: 0."""
+    not. Null and empty: 0. Word, grams and votes are made once a title."""
     word = F.regexp_replace(F.lower(F.coalesce(col(title), F.lit(""))), r"[^\p{L}\p{N}]+", "")
-    n = F.greatest(F.length(word) - (gram - 1), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.substring(word, k, F.lit(gram))))
-    zero = F.array_repeat(F.lit(0), 64)
-    votes = F.aggregate(grams, zero, lambda acc, h: F.transform(acc, lambda v, k: v + F.call_function("shiftright", h, k).bitwiseAND(F.lit(1).cast("long")).cast("int")))
-    bits = F.transform(votes, lambda v, k: F.when(v * 2 > F.size(grams), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return F.when(word == "", F.lit(0).cast("long")).otherwise(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def hashes(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (gram - 1), F.lit(1))), lambda k: F.xxhash64(F.substring(w, k, F.lit(gram))))
+        return F.when(w == "", F.array().cast("array<bigint>")).otherwise(each)
+
+    def majority(grams: Column) -> Column:
+        votes = F.aggregate(grams, F.array_repeat(F.lit(0), 64), lambda acc, h: F.transform(acc, lambda v, k: v + F.call_function("shiftright", h, k).bitwiseAND(one).cast("int")))
+        bits = lambda v: F.transform(v, lambda x, k: F.when(x * 2 > F.size(grams), F.call_function("shiftleft", one, k)).otherwise(zero))
+        return _once(votes, lambda v: F.aggregate(bits(v), zero, lambda a, b: a.bitwiseOR(b)))
+
+    return _once(_once(word, hashes), majority)
 
 
 def bands(fp, parts: int = 4) -> Column:
