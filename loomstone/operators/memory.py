@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..sources.tables import written
+from ..sources.tables import tasks_for, written
 
 CAUSAL_FROM = 0.7
 # Weight of an edge's kind under an intent, in the order causal, temporal, entity, semantic.
@@ -94,11 +94,14 @@ def to_events(rows: DataFrame, key: str, title: str, body: str, at: str, now: Co
     return rows.select(F.col(key).cast("string").alias("id"), content.alias("content"), F.coalesce(F.col(at), now).alias("timestamp"), (F.col(vector) if vector else F.lit(None)).alias("embedding"), known.alias("attributes"))
 
 
-def append_chain(events: DataFrame, new: DataFrame, key: str = "event_id", at: str = "ts", by: str | None = None) -> tuple[DataFrame, DataFrame]:
+def append_chain(events: DataFrame, new: DataFrame, key: str = "event_id", at: str = "ts", by: str | None = None, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, edges (src, dst, hours)): the chain after new events; an id that is there is left alone. Each event is followed by the next
-    in time, ties by id; `by` makes a chain for each of its values, which keeps any one chain's sort bounded."""
-    fresh = new.dropDuplicates([key]).join(events.select(key), key, "left_anti")
+    in time, ties by id; `by` makes a chain for each of its values, which keeps any one chain's sort bounded. rows: how many both have, at
+    most; tasks are then of bounded size."""
+    dealt = lambda df, c: df if rows is None else df.repartition(tasks_for(rows), c)
+    fresh = dealt(new, key).dropDuplicates([key]).join(dealt(events.select(key), key), key, "left_anti")
     every = events.unionByName(fresh.select(*events.columns))
+    every = dealt(every, by) if by else every
     w = Window.partitionBy(*([by] if by else [])).orderBy(at, key)
     hours = (F.unix_micros(F.lead(at).over(w).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 3.6e9
     return every, every.select(F.col(key).alias("src"), F.lead(key).over(w).alias("dst"), hours.alias("hours")).where("dst IS NOT NULL")

@@ -247,6 +247,21 @@ def test_mmr_by_brute_force(spark, sf):
         assert [r["id"] for r in sorted((r for r in rows if r["query_id"] == query), key=lambda r: r["place"])] == picked
 
 
+def test_merges_and_chains_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    keys = spark.createDataFrame([(k % 90, k % 7) for k in range(300)] + [(None, 1)] * 2, "a int, b int")
+    merged = tables.upsert(keys, keys, ["a", "b"], rows=604)
+    assert merged.rdd.getNumPartitions() == 13
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted({*((k % 90, k % 7) for k in range(300)), (None, 1)}, key=str)
+    wide = keys.where("a IS NOT NULL").withColumn("v", F.lit("old"))
+    newer = wide.where("a < 10").withColumn("v", F.lit("new"))
+    got = tables.upsert(wide, newer, ["a"], rows=400)
+    assert got.rdd.getNumPartitions() == 8 and {(r["a"], r["v"]) for r in got.collect()} == {(a, "new" if a < 10 else "old") for a in range(90)}
+    rows = spark.createDataFrame([(k, k % 5, k // 2) for k in range(100)], "event_id int, user_id int, ts int").withColumn("ts", F.timestamp_seconds("ts"))
+    plain, dealt = (memory.append_chain(rows.where("event_id % 2 = 0"), rows, by="user_id", rows=n)[1] for n in (None, 200))
+    assert dealt.rdd.getNumPartitions() == 4 and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_budget_that_skips(spark, sf):
     turns = {}
     for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
