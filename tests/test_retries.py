@@ -96,3 +96,27 @@ def test_times_go_to_the_nearest_millisecond(spark, tmp_path):
     due = {100 + 5 * k: base + 180_000 - 5_000 * k for k in range(12, 18)} | {5: base + 60_002, 10: base + 60_001, 20: base + 119_999}
     assert {(r["item"], r["due"]) for r in got if r["kind"] == "retry"} == set(due.items())
     assert [(r["item"], r["due"]) for r in got if r["kind"] == "dead"] == [(13, None)]
+
+
+def test_what_waits_in_a_part_is_one_value(spark, tmp_path, parts=2):
+    """Many hosts and items share a part's value and timer: rows are those of the simulation, and the state has a few rows a part, not some an item."""
+    from loomstone.streaming import windows
+
+    source, made = str(tmp_path / "in"), batches(11, 3)
+    made[0] = made[0] + [(f"n{k}", f"m{k}", 2, START + dt.timedelta(seconds=800 + k), "failed") for k in range(60)]  # a host each; late to be due
+    made[1:] = [[(i, h, a, at + dt.timedelta(seconds=700), o) for i, h, a, at, o in rows] for rows in made[1:]]
+    for number, rows in enumerate(made):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{source}/part-{number}")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        found = []
+        for number in range(len(made)):  # each file is a run of its own, from the checkpoint of those before
+            stream = spark.readStream.schema(SCHEMA).parquet(f"{source}/part-[0-{number}]")
+            query = retries.retry_stream(stream, parts=parts).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda rows, _: found.extend(rows.collect())).start()
+            query.awaitTermination()
+            assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * parts + 2 * number
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, waiting = simulate([x for rows in made for x in (rows, [])])
+    got = [(r["kind"], r["host"], r["item"], r["attempt"], r["due"] and int(r["due"].replace(tzinfo=dt.timezone.utc).timestamp() * 1000)) for r in found]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and waiting and sum(r[0] == "retry" for r in got) > 60
