@@ -1,14 +1,16 @@
 """Communities by modularity: local moves, refinement into well-connected parts, aggregation, and splits of what is still too large.
 
 Graphs are edge tables (src, dst, weight), undirected, each edge once. A graph of at most `task_edges` edges, and every subgraph of a split,
-is worked on in one group; a larger one in rounds of Spark jobs that end when its aggregate is small enough for a group. Both paths move
-nodes by the same gain; the bound is a parameter and what a group holds is bounded by it.
+is worked on in one group. Of a larger one each connected component is a group, since no gain reaches beyond a component but by the weight of the
+whole graph, which a group is told; only components that are themselves larger go in rounds of Spark jobs, which end when their aggregate is small
+enough for a group. All paths move nodes by the same gain; the bound is a parameter and what a group holds is bounded by it.
 """
 
 from __future__ import annotations
 
 import random
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,29 +21,38 @@ from ..sources.tables import discard, written
 from ..workers import findable
 from . import graph
 
-TASK_EDGES = 500_000
+TASK_EDGES = 2_000_000
+
+
+class _Near:
+    """The neighbours of each node and their weights, in three arrays."""
+
+    def __init__(self, sizes: np.ndarray, to: np.ndarray, weight: np.ndarray):
+        self.ends, self.to, self.weight = [0, *np.cumsum(sizes).tolist()], to, weight
+
+    def __getitem__(self, v: int) -> Iterator[tuple[int, float]]:
+        x, y = self.ends[v], self.ends[v + 1]
+        return zip(self.to[x:y].tolist(), self.weight[x:y].tolist())
 
 
 class _Graph:
-    """A graph in one task: neighbours and weights of each node without loops, degrees with them."""
+    """A graph in one task: neighbours and weights of each node without loops, degrees with them. two_m: that of the graph it is a part of."""
 
-    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, two_m: float | None = None):
         self.n = n
         self.degree = np.bincount(src, weight, n) + np.bincount(dst, weight, n)
         other = src != dst
         a, b, w = np.concatenate([src[other], dst[other]]), np.concatenate([dst[other], src[other]]), np.concatenate([weight[other]] * 2)
         order = np.argsort(a, kind="stable")
-        ends = np.cumsum(np.bincount(a, minlength=n)).tolist()
-        b, w = b[order].tolist(), w[order].tolist()
-        self.near = [list(zip(b[x:y], w[x:y])) for x, y in zip([0, *ends], ends)]
+        self.near = _Near(np.bincount(a, minlength=n), b[order].astype(np.int32), w[order])
         self.edges = (src, dst, weight)
-        self.two_m = float(self.degree.sum())
+        self.two_m = float(self.degree.sum()) if two_m is None else two_m
 
     def aggregate(self, part: np.ndarray, parts: int) -> _Graph:
         src, dst, weight = self.edges
         a, b = np.minimum(part[src], part[dst]), np.maximum(part[src], part[dst])
         key, where = np.unique(a * parts + b, return_inverse=True)
-        return _Graph(parts, key // parts, key % parts, np.bincount(where, weight))
+        return _Graph(parts, key // parts, key % parts, np.bincount(where, weight), self.two_m)
 
     def quality(self, community: np.ndarray, resolution: float) -> float:
         src, dst, weight = self.edges
@@ -119,9 +130,11 @@ def _refine(g: _Graph, community: list[int], resolution: float, order: list[int]
     return part
 
 
-def leiden(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float = 1.0, seed: int = 42, tries: int = 4) -> np.ndarray:
-    """The community (0 ...) of each of n nodes. Repeated from its own result while the modularity grows, at most `tries` times."""
-    first, rng = _Graph(n, src, dst, weight), random.Random(seed)
+def leiden(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float = 1.0, seed: int = 42, tries: int = 4, two_m: float | None = None) -> np.ndarray:
+    """The community (0 ...) of each of n nodes. Repeated from its own result while the modularity grows, at most `tries` times.
+
+    two_m: twice the weight of the graph whose modularity counts, where this one is all of some of its components."""
+    first, rng = _Graph(n, src, dst, weight, two_m), random.Random(seed)
     found = np.arange(n)
     if first.two_m <= 0:
         return found
@@ -148,23 +161,26 @@ def leiden(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolut
     return found
 
 
-def _in_groups(edges: DataFrame, resolution: float, seed: int) -> DataFrame:
-    """(part, node, community) of graphs (part, src, dst, weight) that each fit in a task; a community is named by its smallest node."""
+def _in_groups(edges: DataFrame, resolution: float, seed: int, two_m: float | None = None) -> DataFrame:
+    """(part, node, community) of graphs (part, src, dst, weight) that each fit in a task; a community is named by its smallest node. Parts are dealt
+    over the tasks by their edges."""
     kinds = {c: edges.schema[c].dataType.simpleString() for c in ("part", "src")}
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         node, at = np.unique(np.concatenate([group["src"].to_numpy(), group["dst"].to_numpy()]), return_inverse=True)
         src, dst = np.split(at, 2)
         order = np.lexsort((dst, src))
-        found = leiden(len(node), src[order], dst[order], group["weight"].to_numpy(np.float64)[order], resolution, seed)
+        found = leiden(len(node), src[order], dst[order], group["weight"].to_numpy(np.float64)[order], resolution, seed, two_m=two_m)
         _, first = np.unique(found, return_index=True)  # nodes are sorted, so the first is the smallest
         return pd.DataFrame({"part": group["part"].iloc[0], "node": node, "community": node[first][found]})
 
-    findable(edges.sparkSession)
-    return edges.select("part", "src", "dst", "weight").groupBy("part").applyInPandas(work, f"part {kinds['part']}, node {kinds['src']}, community {kinds['src']}")
+    spark = edges.sparkSession
+    findable(spark)
+    dealt = edges.select("part", "src", "dst", "weight").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    return dealt.groupBy("part").applyInPandas(work, f"part {kinds['part']}, node {kinds['src']}, community {kinds['src']}")
 
 
-def _moves(edges: DataFrame, resolution: float, patience: int) -> DataFrame:
+def _moves(edges: DataFrame, resolution: float, patience: int, two_m: float) -> DataFrame:
     """(node, community) by local moves of many nodes at once, in rounds; loops count in the degrees only.
 
     Each round every node looks at its neighbours' communities and the best gain wins (ties: the smaller name); only nodes of one of some hash
@@ -175,7 +191,6 @@ def _moves(edges: DataFrame, resolution: float, patience: int) -> DataFrame:
     k = written(ends.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "node"))
     e = written(ends.where("src <> dst"))
     loops = edges.where("src = dst").select(F.col("src").alias("node"), (2 * F.col("weight")).alias("loop"))
-    two_m = k.agg(F.sum("k")).first()[0] or 1.0
     state = best = written(k.join(loops, "node", "left").select("node", "k", F.coalesce("loop", F.lit(0.0)).alias("loop"), F.col("node").alias("community")))
     most, worse, r = float("-inf"), 0, 0
     while True:
@@ -205,11 +220,16 @@ def _moves(edges: DataFrame, resolution: float, patience: int) -> DataFrame:
         state, r = next_, r + 1
 
 
-def _in_rounds(edges: DataFrame, resolution: float, seed: int, task_edges: int, patience: int) -> DataFrame:
-    """(node, community) of one graph of any size: rounds of moves, connected parts, their aggregate; the last level in one group."""
+def _weight(edges: DataFrame) -> float:
+    """Twice the weight of all edges, to 12 digits: the last ones depend on the order of the sum."""
+    return float(f"{2 * edges.agg(F.sum('weight')).first()[0]:.12g}") or 1.0
+
+
+def _in_rounds(edges: DataFrame, resolution: float, seed: int, task_edges: int, patience: int, two_m: float) -> DataFrame:
+    """(node, community) of components of any size: rounds of moves, connected parts, their aggregate; the last level in one group."""
     level, of = written(edges.select("src", "dst", "weight")), None
     while level.count() > task_edges:
-        state = _moves(level, resolution, patience)
+        state = _moves(level, resolution, patience, two_m)
         inner = level.join(state.toDF("src", "cs"), "src").join(state.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst")
         parts = written(graph.components(inner, state))
         nodes, left = parts.count(), parts.select("component").distinct().count()
@@ -222,7 +242,7 @@ def _in_rounds(edges: DataFrame, resolution: float, seed: int, task_edges: int,
         ends = level.join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst")
         level, old = written(ends.groupBy(a.alias("src"), b.alias("dst")).agg(F.sum("weight").alias("weight"))), level
         discard(old, parts)
-    last = _in_groups(level.withColumn("part", F.lit(0)), resolution, seed).select(F.col("node").alias("community"), F.col("community").alias("name"))
+    last = _in_groups(level.withColumn("part", F.lit(0)), resolution, seed, two_m).select(F.col("node").alias("community"), F.col("community").alias("name"))
     if of is None:
         return last.select(F.col("community").alias("node"), F.col("name").alias("community"))
     named = of.join(last, "community", "left").select("node", F.coalesce("name", "community").alias("name"))
@@ -230,12 +250,41 @@ def _in_rounds(edges: DataFrame, resolution: float, seed: int, task_edges: int,
     return named.join(smallest, "name").select("node", "community")
 
 
+def _by_component(edges: DataFrame, resolution: float, seed: int, task_edges: int, patience: int) -> DataFrame:
+    """(node, community) of one graph of any size: its components in groups, those of more than task_edges edges in rounds.
+
+    A component of more than an eighth of task_edges has a group of its own; smaller ones share groups of about a quarter.
+    """
+    two_m = _weight(edges)
+    if not task_edges:
+        return _in_rounds(edges, resolution, seed, task_edges, patience, two_m)
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    of = written(graph.components(edges, nodes).select(F.col("node").alias("src"), "component"))
+    placed = written(edges.join(of, "src"))
+    sizes = written(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    shared = F.col("n") * 8 <= task_edges
+    total = sizes.where(shared).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bins = max(1, -(-4 * total // task_edges))
+    part = F.when(shared, F.concat(F.lit("shared "), F.pmod(F.xxhash64("component"), F.lit(bins)))).otherwise(F.concat(F.lit("own "), F.col("component").cast("string")))
+    each = written(placed.join(sizes.where(F.col("n") <= task_edges), "component").select(part.alias("part"), "src", "dst", "weight"))
+    found = written(_in_groups(each, resolution, seed, two_m).select("node", "community"))
+    large = written(placed.join(sizes.where(F.col("n") > task_edges), "component", "left_semi").select("src", "dst", "weight"))
+    if large.take(1):
+        found, old = written(found.unionByName(_in_rounds(large, resolution, seed, task_edges, patience, two_m))), found
+        discard(old)
+    discard(of, placed, sizes, each, large)
+    return found
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, task_edges: int = TASK_EDGES, patience: int = 2) -> DataFrame:
     """(node, community) of every node with an edge; a community is named by its smallest node. Deterministic.
 
     task_edges bounds the edges that one task holds; 0 keeps all levels in Spark's rounds. Weights must be positive. No edges: no rows.
     """
-    return _in_rounds(edges, resolution, seed, task_edges, patience)
+    whole = written(edges.select("src", "dst", "weight"))
+    if whole.count() > task_edges:
+        return _by_component(whole, resolution, seed, task_edges, patience)
+    return _in_groups(whole.withColumn("part", F.lit(0)), resolution, seed).select("node", "community")
 
 
 def hierarchy(edges: DataFrame, most: int = 10, depth: int = 10, resolution: float = 1.0, seed: int = 42, task_edges: int = TASK_EDGES, patience: int = 2) -> DataFrame:
@@ -256,7 +305,8 @@ def hierarchy(edges: DataFrame, most: int = 10, depth: int = 10, resolution: flo
             small = rest.where(~F.col("part").isin(large)) if large else rest
             parts = _in_groups(small, resolution, seed).select("node", "community", F.col("part").alias("parent"))
             for part in large:
-                parts = parts.unionByName(_in_rounds(rest.where(F.col("part") == part), resolution, seed, task_edges, patience).withColumn("parent", F.lit(part)))
+                parts = parts.unionByName(communities(rest.where(F.col("part") == part), resolution, seed, task_edges, patience).withColumn("parent", F.lit(part)))
+            parts = written(parts)  # read twice
             divided = parts.groupBy("parent").agg(F.countDistinct("community").alias("n")).where("n > 1").select("parent")
             found = written(parts.join(divided, "parent").select("node", "community", "parent"))
         sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"))

@@ -170,3 +170,25 @@ def test_part_graph_in_rounds_matches_one_group(spark, sf):
     rows = [(x["src"], x["dst"], x["weight"]) for x in edges.collect()]
     q = [plain_modularity(rows, {x["node"]: x["community"] for x in leiden.communities(edges, task_edges=k).collect()}) for k in (500_000, 50)]
     assert q[1] > q[0] - 0.03
+
+
+def test_components_of_a_large_graph_are_groups(spark, monkeypatch):
+    """A graph beyond task_edges whose components are not goes without rounds, to the communities of one group; the whole graph's weight counts."""
+
+    def refused(*_):
+        raise AssertionError("rounds")
+
+    r = random.Random(5)
+    parts = [(f"p{c}-{i // 20 if r.random() < 0.9 else r.randrange(3)}-{i % 20:02d}", c) for c in range(3) for i in range(60)]
+    edges = {(min(a, b), max(a, b)) for a, x in parts for b, y in parts if x == y and a != b and r.random() < (0.5 if a[:4] == b[:4] else 0.03)}
+    edges |= {(f"t{k}a", f"t{k}b") for k in range(40)} | {("loop", "loop")}
+    rows = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(edges)], "src string, dst string, weight double")
+    one = {x["node"]: x["community"] for x in leiden.communities(rows).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(leiden, "_moves", refused)
+        of = {x["node"]: x["community"] for x in leiden.communities(rows, task_edges=len(edges) // 2).collect()}
+    mixed = {x["node"]: x["community"] for x in leiden.communities(rows, task_edges=100).collect()}  # the three parts in rounds, pairs in groups
+    q = [plain_modularity([(a, b, 1) for a, b in edges], x) for x in (one, of, mixed)]
+    assert set(one) == set(of) == set(mixed) and q[1] >= q[0] - 0.005 and q[2] >= q[0] - 0.03
+    assert all(x[f"t{k}b"] == f"t{k}a" for k in range(40) for x in (one, of, mixed)) and mixed["loop"] == of["loop"] == "loop"
+    assert of == {x["node"]: x["community"] for x in leiden.communities(rows.orderBy(F.rand(3)), task_edges=len(edges) // 2).collect()}
